@@ -51,14 +51,14 @@ def without(pattern: str, text: str) -> str:
 
 
 def words_in(text: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({text}, '{SPACED}+'), x -> x <> ''))"
+    return f"len(list_filter(regexp_split_to_array({text}, '{SPACED}+'), lambda x: x <> ''))"
 
 
 QUALITY = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
-    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACED}+'), x -> x <> '') AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACED}+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
 ),
 win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 twice AS (SELECT rid, g FROM win GROUP BY rid, g HAVING count(*) > 1),
