@@ -1,0 +1,299 @@
+"""Measures that walk a whole graph, one (corpus, period) graph to a task, with numpy.
+
+A period's graph is the unit that the analysis defines; its size is checked against ``MOST`` before it is gathered, and a
+larger one is refused rather than measured in part.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MOST = 5_000_000
+
+
+class Graph:
+    def __init__(self, t: pa.Table):
+        a, b = t.column("src").to_numpy(), t.column("dst").to_numpy()
+        self.ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        n, x, y = len(self.ids), at[: len(a)], at[len(a) :]
+        lo, hi = np.minimum(x, y), np.maximum(x, y)
+        pair, k = np.unique(lo * n + hi, return_inverse=True)
+        w = np.zeros(len(pair))
+        np.maximum.at(w, k, t.column("sim").to_numpy())
+        self.n, self.u, self.v, self.w = n, pair // n, pair % n, np.maximum(w, 0)
+        self.near: list[list[int]] = [[] for _ in range(n)]
+        self.weight: list[dict[int, float]] = [{} for _ in range(n)]
+        for p, q, m in zip(self.u.tolist(), self.v.tolist(), self.w.tolist(), strict=True):
+            self.near[p].append(q)
+            self.near[q].append(p)
+            self.weight[p][q] = self.weight[q][p] = m
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """The sum of x over each node's neighbours."""
+        out = np.zeros(self.n)
+        np.add.at(out, self.u, x[self.v])
+        np.add.at(out, self.v, x[self.u])
+        return out
+
+    def hops(self, start: int) -> np.ndarray:
+        far = np.full(self.n, -1)
+        far[start], todo = 0, deque([start])
+        while todo:
+            p = todo.popleft()
+            for q in self.near[p]:
+                if far[q] < 0:
+                    far[q] = far[p] + 1
+                    todo.append(q)
+        return far
+
+
+def per_graph(edges: DataFrame, name: str, f: Callable[[Graph], np.ndarray], kind: str = "double") -> DataFrame:
+    sizes = edges.groupBy("period").count().agg(F.max("count")).first()[0] or 0
+    if sizes > MOST:
+        raise ValueError(f"a period of {sizes} edges; at most {MOST} fit a task")
+    arrow = {"double": pa.float64(), "long": pa.int64()}[kind]
+
+    def one(t: pa.Table) -> pa.Table:
+        g = Graph(t)
+        return pa.table({"period": pa.array([t.column("period")[0].as_py()] * g.n, pa.string()), "id": pa.array(g.ids, pa.int64()), name: pa.array(f(g), arrow)})
+
+    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, f"period string, id long, {name} {kind}")
+
+
+def louvain(g: Graph, resolution: float = 1.0, seed: int = 42) -> np.ndarray:
+    """Communities by local moves and aggregation in seeded order, split into connected parts; ids by falling size."""
+    rng = np.random.default_rng(seed)
+    near = [dict(w) for w in g.weight]
+    loops = [0.0] * g.n
+    of = list(range(g.n))
+    while True:
+        n = len(near)
+        degree = [sum(w.values()) + 2 * loops[p] for p, w in enumerate(near)]
+        total = sum(degree)
+        if not total:
+            break
+        com, mass, moved, again = list(range(n)), list(degree), False, True
+        order = rng.permutation(n).tolist()
+        while again:
+            again = False
+            for p in order:
+                c = com[p]
+                mass[c] -= degree[p]
+                links: dict[int, float] = {c: 0.0}
+                for q, w in near[p].items():
+                    links[com[q]] = links.get(com[q], 0.0) + w
+                best = max(sorted(links), key=lambda x: links[x] - resolution * degree[p] * mass[x] / total)
+                gain = lambda x: links[x] - resolution * degree[p] * mass[x] / total  # noqa: B023, E731
+                if gain(best) <= gain(c) + 1e-12:
+                    best = c
+                mass[best] += degree[p]
+                if best != c:
+                    com[p], again, moved = best, True, True
+        if not moved:
+            break
+        new = {c: k for k, c in enumerate(dict.fromkeys(com))}
+        of = [new[com[c]] for c in of]
+        merged: list[dict[int, float]] = [{} for _ in new]
+        own = [0.0] * len(new)
+        for p, ws in enumerate(near):
+            a = new[com[p]]
+            own[a] += loops[p]
+            for q, w in ws.items():
+                b = new[com[q]]
+                if a == b:
+                    own[a] += w / 2
+                else:
+                    merged[a][b] = merged[a].get(b, 0.0) + w
+        near, loops = merged, own
+    part, k = [-1] * g.n, 0
+    for s in range(g.n):
+        if part[s] < 0:
+            part[s], todo = k, [s]
+            while todo:
+                p = todo.pop()
+                for q in g.near[p]:
+                    if part[q] < 0 and of[q] == of[p]:
+                        part[q] = k
+                        todo.append(q)
+            k += 1
+    size = np.bincount(part, minlength=k)
+    order = np.lexsort((np.arange(k), -size))
+    rank = np.empty(k, np.int64)
+    rank[order] = np.arange(k)
+    return rank[part]
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    return per_graph(edges, "community", louvain, "long")
+
+
+def cores(g: Graph) -> np.ndarray:
+    degree = np.array([len(x) for x in g.near])
+    core, left, k = np.zeros(g.n, np.int64), set(range(g.n)), 0
+    while left:
+        low = [p for p in left if degree[p] <= k]
+        if not low:
+            k += 1
+            continue
+        for p in low:
+            core[p] = k
+            left.discard(p)
+            for q in g.near[p]:
+                degree[q] -= 1
+    return core
+
+
+def core_number(edges: DataFrame) -> DataFrame:
+    return per_graph(edges, "core_number", cores, "long")
+
+
+def sampled(ids: np.ndarray, most: int, seed: int = 42) -> list[int]:
+    """Places of at most most ids, in the order of a hash."""
+    if len(ids) <= most:
+        return list(range(len(ids)))
+    h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.sort(np.argsort(h ^ (h >> np.uint64(31)))[:most]).tolist()
+
+
+def brandes(g: Graph, most: int = 256) -> np.ndarray:
+    """Betweenness from at most most sources, scaled up to all and normalised."""
+    out, sources = np.zeros(g.n), sampled(g.ids, most)
+    for s in sources:
+        order, before = [], [[] for _ in range(g.n)]
+        paths, far = np.zeros(g.n), np.full(g.n, -1)
+        paths[s], far[s], todo = 1, 0, deque([s])
+        while todo:
+            p = todo.popleft()
+            order.append(p)
+            for q in g.near[p]:
+                if far[q] < 0:
+                    far[q] = far[p] + 1
+                    todo.append(q)
+                if far[q] == far[p] + 1:
+                    paths[q] += paths[p]
+                    before[q].append(p)
+        share = np.zeros(g.n)
+        for q in reversed(order):
+            for p in before[q]:
+                share[p] += paths[p] / paths[q] * (1 + share[q])
+            if q != s:
+                out[q] += share[q]
+    return out * g.n / max(1, len(sources)) / max(1, (g.n - 1) * (g.n - 2))
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    return per_graph(edges, "betweenness", brandes)
+
+
+def harmonic(edges: DataFrame) -> DataFrame:
+    def f(g: Graph) -> np.ndarray:
+        h = np.array([(1.0 / d[d > 0]).sum() for d in map(g.hops, range(g.n))])
+        return h / max(h.max(initial=0), 1e-12)
+
+    return per_graph(edges, "harmonic", f)
+
+
+def eigenvector(edges: DataFrame) -> DataFrame:
+    def f(g: Graph) -> np.ndarray:
+        x = np.full(g.n, 1 / np.sqrt(g.n))
+        for _ in range(200):
+            y = g.spread(x) + x
+            y /= np.linalg.norm(y)
+            if np.abs(y - x).max() < 1e-10:
+                break
+            x = y
+        return y
+
+    return per_graph(edges, "eigenvector", f)
+
+
+def katz(edges: DataFrame) -> DataFrame:
+    def f(g: Graph) -> np.ndarray:
+        alpha, x = 1 / (1 + max(len(p) for p in g.near)), np.ones(g.n)
+        for _ in range(50):
+            x = 1 + alpha * g.spread(x)
+        return x / np.linalg.norm(x)
+
+    return per_graph(edges, "katz", f)
+
+
+def spectral(edges: DataFrame, most: int = 3000) -> DataFrame:
+    """Of each period: the second Laplacian eigenvalue, and the gap to the third; null under 3 or over most nodes."""
+
+    def one(t: pa.Table) -> pa.Table:
+        g = Graph(t)
+        got = (None, None)
+        if 3 <= g.n <= most:
+            m = np.zeros((g.n, g.n))
+            m[g.u, g.v] = m[g.v, g.u] = -g.w
+            m[np.arange(g.n), np.arange(g.n)] = -m.sum(1)
+            e = np.linalg.eigvalsh(m)
+            got = (float(e[1]), float(e[2] - e[1]))
+        return pa.table({"period": [t.column("period")[0].as_py()], "n": pa.array([g.n], pa.int64()), "algebraic_connectivity": pa.array([got[0]], pa.float64()), "spectral_gap": pa.array([got[1]], pa.float64())})
+
+    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, "period string, n long, algebraic_connectivity double, spectral_gap double")
+
+
+def path_length(edges: DataFrame, members: DataFrame, most: int = 200, sources: int = 50) -> DataFrame:
+    """Mean hops between reachable members within a cluster, from all or, over most members, a hashed sample of sources."""
+    inside = edges.join(members.toDF("src", "c"), "src").join(members.toDF("dst", "c2"), "dst").filter("c = c2")
+
+    def one(t: pa.Table) -> pa.Table:
+        g = Graph(t)
+        mean = None
+        if g.n >= 3:
+            d = np.concatenate([x[x > 0] for x in map(g.hops, sampled(g.ids, g.n if g.n <= most else sources))])
+            mean = float(d.mean()) if len(d) else None
+        return pa.table({"period": [t.column("period")[0].as_py()], "c": pa.array([t.column("c")[0].as_py()], pa.int64()), "avg_path_length": pa.array([mean], pa.float64())})
+
+    return inside.select(F.col("period").cast("string").alias("period"), F.col("c").cast("long").alias("c"), "src", "dst", "sim").groupBy("period", "c").applyInArrow(one, "period string, c long, avg_path_length double")
+
+
+def cluster_geometry(vectors: DataFrame) -> DataFrame:
+    """elongation (uncentred singular values 1 to 2, 1..100, from 5 members), volume (product of the first three), skew and kurtosis along the first two principal components (sign: largest loading positive)."""
+
+    def moments(x: np.ndarray) -> tuple[float, float]:
+        z = x - x.mean()
+        s = z.std()
+        return (0.0, 0.0) if s < 1e-12 else (float((z**3).mean() / s**3), float((z**4).mean() / s**4 - 3))
+
+    def one(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("v").to_pylist(), np.float64)
+        n = len(x)
+        s = np.sqrt(np.maximum(0, np.linalg.eigvalsh(x.T @ x)[::-1]))
+        elongation = float(np.clip(s[0] / max(s[1], 1e-12), 1, 100)) if n >= 5 and len(s) > 1 else None
+        volume = float(max(np.prod(s[:3]), 1e-6))
+        shape = [None] * 4
+        if n >= 3:
+            z = x - x.mean(0)
+            _, axes = np.linalg.eigh(z.T @ z)
+            for k in range(2):
+                a = axes[:, -1 - k]
+                a = a * np.sign(a[np.abs(a).argmax()])
+                shape[2 * k : 2 * k + 2] = moments(z @ a)
+        names = ["pc1_skew", "pc1_kurt", "pc2_skew", "pc2_kurt"]
+        return pa.table({"c": pa.array([t.column("c")[0].as_py()], pa.int64()), "size": pa.array([n], pa.int64()), "elongation": pa.array([elongation], pa.float64()), "volume": pa.array([volume], pa.float64()), **{k: pa.array([v], pa.float64()) for k, v in zip(names, shape, strict=True)}})
+
+    rows = vectors.filter("c is not null and v is not null").select(F.col("c").cast("long").alias("c"), "v")
+    return rows.groupBy("c").applyInArrow(one, "c long, size long, elongation double, volume double, pc1_skew double, pc1_kurt double, pc2_skew double, pc2_kurt double")
+
+
+def intrinsic_dim(edges: DataFrame, vectors: DataFrame, share: float = 0.9) -> DataFrame:
+    """Components that hold 90 % of the variance of a node's neighbourhood; null under 3 neighbours. A node has k rows."""
+    near = edges.join(vectors.toDF("dst", "v"), "dst").select("src", "v")
+
+    def one(t: pa.Table) -> pa.Table:
+        x = np.array(t.column("v").to_pylist(), np.float64)
+        dim = None
+        if len(x) >= 3:
+            e = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+            dim = int(np.searchsorted(np.cumsum(e) / max(e.sum(), 1e-12), share) + 1)
+        return pa.table({"id": t.column("src")[:1], "intrinsic_dim": pa.array([dim], pa.int64())})
+
+    return near.groupBy("src").applyInArrow(one, "id long, intrinsic_dim long")
