@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
 
 
 def periods(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:

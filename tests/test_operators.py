@@ -95,6 +95,6 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = events.periods(events.source(spark, str(tmp_path / "in"), src.schema), late="60 days")
     q = stream.writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    batch = src.groupBy(F.window("ts", "1 day").start.alias("p"), "event_type").count()
+    batch = src.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").start.alias("p"), "event_type").count()
     got = {(r.period_start, r.event_type): r.n for r in spark.table("streamed").collect()}
     assert got == {(r.p, r.event_type): r["count"] for r in batch.collect()}
