@@ -47,7 +47,7 @@ def composite_score(s, d):
     return ops.composite(match_candidates(s, d), members(s, d))
 
 
-#: The test tables' clusters keep no more than a few members, so these queries take any pair of clusters that share one.
+#: Candidates of these queries: any pair of clusters that share a member.
 TIES = f"{MEMBERS}, ties AS (SELECT DISTINCT a.period, a.c AS child, b.c AS parent FROM members a JOIN members b ON a.period = b.period + 1 AND a.chunk = b.chunk)"
 
 
