@@ -9,8 +9,10 @@ stretches of text go through numpy together. Weights start anew with each BLOCK
 The word model beside it counts every token of the training texts, with no cap. Tokens seen twice or more, the ``top``
 most frequent ones at most (12 bytes each), are broadcast; all others are looked up by an exact join, at every size.
 
-What is broadcast is bounded: 2**bits slots of 64 bytes a context, with bits following the training bytes up to
-MOST_BITS, and ``top`` tokens.
+A context has 2**bits slots of 16 bytes, one for each SLOT_BYTES of training text or a little more, however large that
+is (bits end with the 32-bit hash, at 1 TB). Tables are not broadcast and never meet the driver: tasks send the slots they
+saw, parts of the tables are added up and stored, and each executor lays them out in one file that its workers map.
+Broadcast are ``top`` tokens at most.
 
 Defined results: a null text is an empty one, of which the end alone is scored; a null doc_id is of the training rows;
 rows that repeat are scored alike; without training rows the base score is 0; an empty table gives an empty table.
@@ -18,11 +20,17 @@ rows that repeat are scored alike; without training rows the base score is 0; an
 
 from __future__ import annotations
 
+import fcntl
 import math
+import os
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +38,11 @@ from driftloom.llm.common import map_rows, shared_folder, small_batches, stored
 from driftloom.llm.wordhash import BASE, IS_WORD, MOD, Powers, blocks
 
 CONTEXTS = 5
-LEAST_BITS, MOST_BITS = 12, 16
+LEAST_BITS, HASH_BITS = 12, 32
 #: Training bytes for each slot.
 SLOT_BYTES = 1 << 8
-#: Slots of a part in which tables are added up.
-PART = 1 << 11
+#: Entries that a task holds before it sends them.
+HELD = 12_000_000
 BLOCK, BUFFER = 512, 3 << 19
 RATE, START = 0.02, 0.3
 ONE, LEAST = np.float32(1), np.float32(1 / 4096)
@@ -45,11 +53,21 @@ END = np.uint64(0x5851F42D4C957F2D)
 _LETTERS = Powers(BASE)
 
 #: The nodes, in a half-byte's tree of 15, that its four bits pass.
-_HALF = np.array([[1, 2 | v >> 3, 4 | v >> 2, 8 | v >> 1] for v in range(16)], np.uint32)
+_HALF = np.array([[1, 2 | v >> 3, 4 | v >> 2, 8 | v >> 1] for v in range(16)], np.int64)
 #: 1 where its bit is a one, else -1.
 _SIGN = np.array([[1 if v >> b & 1 else -1 for b in (3, 2, 1, 0)] for v in range(16)], np.int8)
 
 
+def bits_for(size: int) -> int:
+    """Of the slots of a context, for training texts of size bytes."""
+    return max(LEAST_BITS, min(HASH_BITS, math.ceil(math.log2(size / SLOT_BYTES + 1))))
+
+
+def part_bits(bits: int) -> int:
+    """Of the slots of a part in which tables are added up: at most 1024 parts a context."""
+    return max(11, bits - 10)
+
+
 def scramble(x: np.ndarray, bits: int) -> np.ndarray:
     """In the place of x."""
     x ^= x >> np.uint32(15)
@@ -104,10 +122,13 @@ def slots(data: np.ndarray, starts: np.ndarray, bits: int):
             low *= np.uint32(0x85EBCA77)
             low += h
             h, low = scramble(h, bits), scramble(low, bits)
-            h <<= four
+            if bits > 28:  # with the half-byte over 32 bits
+                h, low = h.astype(np.uint64), low.astype(np.uint64)
+                high, byte = high.astype(np.uint64), byte.astype(np.uint64)
+            h <<= h.dtype.type(4)
             h |= high
-            low <<= four
-            low |= byte & np.uint32(15)
+            low <<= low.dtype.type(4)
+            low |= byte & byte.dtype.type(15)
             yield k, own, h, low
 
 
@@ -129,21 +150,101 @@ def portions(texts: list[bytes], most: int):
         yield first, len(texts)
 
 
+def tallied(entries: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries, sorted, and how often each came (as uint32)."""
+    if counts is None:
+        entries.sort()
+    else:
+        order = np.argsort(entries, kind="stable")
+        entries, counts = entries[order], counts[order]
+    first = np.flatnonzero(np.append(True, entries[1:] != entries[:-1])) if len(entries) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(entries))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
+    return entries[first], n.astype(np.uint32)
+
+
 class Tables:
-    """Counts of half-bytes by context and slot."""
+    """Counts of half-bytes by context and slot; only those that came are held."""
 
     def __init__(self, bits: int):
-        self.bits, self.counts = bits, np.zeros((CONTEXTS, 16 << bits), np.uint32)
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.made: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
+        self.held = 0
 
     def add(self, texts: list[bytes]) -> None:
         for a, b in portions(texts, BUFFER):
             data, starts = joined(texts[a:b])
-            seen = np.empty((2, len(data)), np.int64)
+            seen = np.empty((2, len(data)), np.uint64 if self.bits > 28 else np.uint32)
             for k, own, first, last in slots(data, starts, self.bits):
                 seen[0, own], seen[1, own] = first, last
                 if own.stop == len(data):
-                    now = np.bincount(seen.ravel(), minlength=16 << self.bits)
-                    np.add(self.counts[k], now, out=self.counts[k], casting="unsafe")
+                    now = tallied(seen.ravel())  # sorts a view: each context fills it anew
+                    self.made[k].append(now)
+                    self.held += len(now[0])
+
+    def totals(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.made[k]:
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        return tallied(*(np.concatenate(x) for x in zip(*self.made[k], strict=True)))
+
+    @property
+    def counts(self) -> np.ndarray:
+        """All slots, for small tables."""
+        out = np.zeros((CONTEXTS, 16 << self.bits), np.uint32)
+        for k in range(CONTEXTS):
+            at, n = self.totals(k)
+            out[k, at] = n
+        return out
+
+    def parts(self):
+        """(context and part, packed entries and counts)."""
+        shift = part_bits(self.bits) + 4
+        for k in range(CONTEXTS):
+            at, n = self.totals(k)
+            if not len(at):
+                continue
+            part = (at >> at.dtype.type(shift)).astype(np.int64)
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True):
+                yield (k << 32) + int(part[a]), packed((at[a:b] & at.dtype.type((1 << shift) - 1)).astype(np.uint32), n[a:b])
+
+
+def packed(at: np.ndarray, n: np.ndarray) -> bytes:
+    """Steps between rising places and counts, by bytes of equal weight, so that zeros lie together for the codec."""
+    both = np.stack([np.diff(at, prepend=np.uint32(0)), n]).astype("<u4")
+    return both.view(np.uint8).reshape(2, len(at), 4).transpose(0, 2, 1).tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = np.frombuffer(blob, np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)
+    both = np.ascontiguousarray(m).view("<u4")[:, :, 0]
+    return np.cumsum(both[0], dtype=np.int64), both[1]
+
+
+class Odds:
+    """The log odds of all slots, stored by parts; workers of an executor map one file, which the first of them writes."""
+
+    def __init__(self, bits: int, files: list[str]):
+        self.bits, self.files, self.name = bits, files, f"driftloom-odds-{uuid.uuid4().hex}"
+
+    def mapped(self) -> np.ndarray:
+        path = os.path.join(SparkFiles.getRootDirectory(), self.name)
+        with open(f"{path}.lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(path):
+                with open(f"{path}.new", "wb") as f:
+                    f.truncate(CONTEXTS * 16 << self.bits)
+                    for uri in self.files:
+                        fs, at = FileSystem.from_uri(uri)
+                        with fs.open_input_file(at) as source:
+                            for b in pq.ParquetFile(source).iter_batches(64, columns=["h", "odds"]):
+                                for h, odds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                                    f.seek(((h >> 32) * 16 << self.bits) + ((h & 0xFFFFFFFF) * 16 << part_bits(self.bits)))
+                                    f.write(odds)
+                os.rename(f"{path}.new", path)
+        return np.memmap(path, np.int8, "r", shape=(CONTEXTS, 16 << self.bits))
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -161,12 +262,18 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 class Mixer:
     def __init__(self, bits: int, odds: np.ndarray):
-        """odds: CONTEXTS rows of slots of 16 log odds, kept as the four that each half-byte passes, in one word.
-
-        Those of a zero change their sign, so that every entry is the log odds of the bit that came.
-        """
+        """odds: CONTEXTS rows of slots of 16 log odds."""
         self.bits = bits
-        self.tables = [np.ascontiguousarray(t.reshape(-1, 16)[:, _HALF] * _SIGN).view(np.uint32).ravel() for t in odds]
+        self.tables = [np.asarray(t) for t in odds]
+
+    def passed(self, k: int, entries: np.ndarray) -> np.ndarray:
+        """The four log odds that each half-byte passes, in one word; of a zero with its sign changed: those of the bit that came."""
+        half = entries & entries.dtype.type(15)
+        at = _HALF.take(half, axis=0)
+        at += (entries ^ half).astype(np.int64)[:, None]
+        out = self.tables[k].take(at)
+        out *= _SIGN.take(half, axis=0)
+        return out.view(np.uint32)[:, 0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each text with its end."""
@@ -177,8 +284,8 @@ class Mixer:
         n = len(data)
         inputs = np.empty((CONTEXTS, n, 2), np.uint32)
         for k, own, first, last in slots(data, starts, self.bits):
-            inputs[k, own, 0] = self.tables[k][first]
-            inputs[k, own, 1] = self.tables[k][last]
+            inputs[k, own, 0] = self.passed(k, first)
+            inputs[k, own, 1] = self.passed(k, last)
         inputs = inputs.view(np.uint64)[:, :, 0]
         ends = np.append(starts[1:], n)
         lanes = [(a, min(a + BLOCK, e), i) for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) for a in range(s, e, BLOCK)]
@@ -238,6 +345,13 @@ def gathered(df: DataFrame, text: str, key: str, bits: int) -> DataFrame:
             n = np.bincount(at, np.concatenate(seen_n)).astype(np.int64)
             return [np.zeros(len(h), np.int32), h.astype(np.int64), n, [None] * len(h)]
 
+        def parts():
+            made = list(tables.parts())
+            tables.clear()
+            for a in range(0, len(made), 1000):
+                now = made[a : a + 1000]
+                yield [[1] * len(now), [h for h, _ in now], [0] * len(now), [b for _, b in now]]
+
         for ids, texts in batches:
             own = [(t or "").encode() for i, t in zip(ids, texts, strict=True) if not held_out(i)]
             if not own:
@@ -253,34 +367,31 @@ def gathered(df: DataFrame, text: str, key: str, bits: int) -> DataFrame:
             if size > 2_000_000:
                 yield tokens()
                 seen_h, seen_n, size = [], [], 0
+            if tables.held > HELD:
+                yield from parts()
         if seen_h:
             yield tokens()
-        for k in range(CONTEXTS):
-            parts = tables.counts[k].reshape(-1, PART * 16)
-            used = np.flatnonzero(parts.any(1))
-            if len(used):
-                yield [[1] * len(used), (k << 32) + used, [0] * len(used), [parts[j].tobytes() for j in used]]
+        yield from parts()
 
     return map_rows(df, [F.col(key).cast("long"), F.col(text)], run, "kind int, h long, n long, blob binary")
 
 
 def fit(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000_000):
-    """(mixer, token counts (h, n), the most frequent ones as sorted arrays, the least count among them, N, V)."""
+    """(odds, token counts (h, n), the most frequent ones as sorted arrays, the least count among them, N, V)."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(size / SLOT_BYTES + 1))))
+    bits = bits_for(size)
+    cells = 16 << part_bits(bits)
     made = stored(gathered(df, text, key, bits))
     counts = stored(made.filter("kind = 0").groupBy("h").agg(F.sum("n").alias("n")))
 
     def added(t: pa.Table) -> pa.Table:
-        total = np.zeros(PART * 16, np.uint64)
+        total = np.zeros(cells, np.uint64)
         for b in t.column("blob").to_pylist():
-            total += np.frombuffer(b, np.uint32)
+            at, n = unpacked(b)
+            total[at] += n
         return pa.table({"h": pa.array(t.column("h")[:1].to_pylist(), pa.int64()), "odds": pa.array([log_odds(total).tobytes()], pa.binary())})
 
-    tables = np.zeros((CONTEXTS, 16 << bits), np.int8)
-    for r in made.filter("kind = 1").groupBy("h").applyInArrow(added, "h long, odds binary").toLocalIterator():  # 2**bits slots a context
-        k, part = r.h >> 32, r.h & 0xFFFFFFFF
-        tables[k, part * PART * 16 : (part + 1) * PART * 16] = np.frombuffer(r.odds, np.int8)
+    tables = stored(made.filter("kind = 1").groupBy("h").applyInArrow(added, "h long, odds binary"))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = 2  # tokens seen once are most of a vocabulary; at every size they are left to the join
     if v > top:  # the least count that top tokens or fewer reach
@@ -293,7 +404,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000
     rows = counts.filter(F.col("n") >= least).select("h", "n").toArrow()  # at most top rows
     h, c = rows.column("h").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
-    return Mixer(bits, tables), counts, (h[order], np.minimum(c[order], 2**32 - 1).astype(np.uint32)), least, int(n), int(v)
+    return Odds(bits, tables.inputFiles()), counts, (h[order], np.minimum(c[order], 2**32 - 1).astype(np.uint32)), least, int(n), int(v)
 
 
 def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000_000) -> DataFrame:
@@ -301,12 +412,13 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_0
     spark = df.sparkSession
     shared_folder(spark)
     small_batches(spark)
-    mixer, counts, frequent, least, total, distinct = fit(df, text, key, top)
-    sent = spark.sparkContext.broadcast((mixer, *frequent))
+    odds, counts, frequent, least, total, distinct = fit(df, text, key, top)
+    sent = spark.sparkContext.broadcast((odds, *frequent))
     under = total + distinct + 1
 
     def run(batches):
-        model, h, c = sent.value
+        stored_odds, h, c = sent.value
+        model = Mixer(stored_odds.bits, stored_odds.mapped())
         logs = lambda x: np.log10((x + 1.0) / under)
         for ids, texts in batches:
             raw = [(t or "").encode() for t in texts]

@@ -264,3 +264,19 @@ def test_pipeline(spark, docs):
         assert new.columns == docs.columns if i < 4 else new.columns == [*docs.columns, "ids"]
         now = new.cache()
     assert 0 < now.count() < docs.count() * 3
+
+
+def test_lm_tables_grow_with_the_training_text():
+    assert [lm.bits_for(n) for n in (10**8, 5 * 10**8, 3 * 10**10)] == [19, 21, 27]
+    texts = [" ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "x1", "é"], k=50)).encode() for i in range(40)]
+    tables = lm.Tables(18)
+    tables.add(texts[:20])
+    tables.add(texts[20:])
+    dense, cells = np.zeros((lm.CONTEXTS, 16 << 18), np.uint32), 16 << lm.part_bits(18)
+    for h, blob in tables.parts():
+        at, n = lm.unpacked(blob)
+        dense[h >> 32, (h & 0xFFFFFFFF) * cells + at] += n
+    assert (dense == tables.counts).all() and (dense.sum(1) == 2 * sum(len(t) + 1 for t in texts)).all()
+    data, starts = lm.joined(texts)
+    top = max(int(e.max()) for *_, a, b in lm.slots(data, starts, 30) for e in (a, b))
+    assert 1 << 33 < top < 1 << 34
