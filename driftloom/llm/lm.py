@@ -4,7 +4,9 @@ Each bit of a text (and of an end byte) is predicted from hashed contexts: the l
 and the word so far. A context's slot holds how often each half-byte followed it in the training texts; the predictor's input
 is the log odds of the next bit there. Inputs are combined by weights that the bit's place in its byte gates; after every
 byte the weights take a gradient step on the coding cost. As no two bits of a byte share weights, its eight bits and many
-stretches of text go through numpy together. Weights start anew with each BLOCK bytes, contexts don't.
+texts go through numpy together. Weights are carried through the whole text. A last stage refines the mix: a bias for each
+bit's place and each range of the mixed log odds, which also learns from every byte. The tables of counts are fitted once
+and do not change while a text is scored.
 
 The word model beside it counts every token of the training texts, with no cap. Tokens seen twice or more, the ``top``
 most frequent ones at most (12 bytes each), are broadcast; all others are looked up by an exact join, at every size.
@@ -43,8 +45,12 @@ LEAST_BITS, HASH_BITS = 12, 32
 SLOT_BYTES = 1 << 8
 #: Entries that a task holds before it sends them.
 HELD = 12_000_000
-BLOCK, BUFFER = 512, 3 << 19
+BUFFER = 3 << 19
+#: Bytes of text that are sorted by length before they are scored.
+GATHER = 16 << 20
 RATE, START = 0.02, 0.3
+#: Of the refinement: its rate, and ranges of half a nat.
+BIAS_RATE, RANGES = 0.02, 24
 ONE, LEAST = np.float32(1), np.float32(1 / 4096)
 #: Bytes whose slots are worked out at a time.
 PIECE = 1 << 15
@@ -56,6 +62,8 @@ _LETTERS = Powers(BASE)
 _HALF = np.array([[1, 2 | v >> 3, 4 | v >> 2, 8 | v >> 1] for v in range(16)], np.int64)
 #: 1 where its bit is a one, else -1.
 _SIGN = np.array([[1 if v >> b & 1 else -1 for b in (3, 2, 1, 0)] for v in range(16)], np.int8)
+#: The same by bytes.
+_SIGNS = np.concatenate([np.repeat(_SIGN, 16, 0), np.tile(_SIGN, (16, 1))], 1).astype(np.float32)
 
 
 def bits_for(size: int) -> int:
@@ -277,7 +285,11 @@ class Mixer:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each text with its end."""
-        return np.concatenate([self._scores(texts[a:b]) for a, b in portions(texts, BUFFER)]) if texts else np.zeros(0)
+        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))  # texts of like lengths go together
+        texts, out = [texts[i] for i in order], np.zeros(len(texts))
+        for a, b in portions(texts, BUFFER):
+            out[order[a:b]] = self._scores(texts[a:b])
+        return out
 
     def _scores(self, texts: list[bytes]) -> np.ndarray:
         data, starts = joined(texts)
@@ -288,17 +300,21 @@ class Mixer:
             inputs[k, own, 1] = self.passed(k, last)
         inputs = inputs.view(np.uint64)[:, :, 0]
         ends = np.append(starts[1:], n)
-        lanes = [(a, min(a + BLOCK, e), i) for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) for a in range(s, e, BLOCK)]
-        lanes.sort(key=lambda x: x[0] - x[1])  # the longest first
-        at, size = np.array([x[0] for x in lanes]), np.array([x[1] - x[0] for x in lanes])
-        weights = np.full((CONTEXTS, len(lanes), 8), START / 16, np.float32)  # inputs are in sixteenths
+        order = np.argsort(starts - ends, kind="stable")  # the longest first
+        at, size = starts[order], (ends - starts)[order]
+        lanes = len(order)
+        # one cell for each lane, place and range
+        bias = np.zeros(lanes * 8 * RANGES, np.float32)
+        cells = np.arange(lanes * 8).reshape(lanes, 8) * RANGES + RANGES // 2
+        bias_rate = np.float32(BIAS_RATE)
+        weights = np.full((CONTEXTS, lanes, 8), START / 16, np.float32)  # inputs are in sixteenths
         rate = np.float32(RATE / 256)
-        likely = np.ones((len(lanes), 8), np.float32)
-        cost = np.zeros(len(lanes))
-        came = np.empty(CONTEXTS * len(lanes), np.uint64)
-        x_all, y_all = (np.empty(CONTEXTS * len(lanes) * 8, np.float32) for _ in range(2))
-        p_all = np.empty((len(lanes), 8), np.float32)
-        live = len(lanes)
+        likely = np.ones((lanes, 8), np.float32)
+        cost = np.zeros(lanes)
+        came = np.empty(CONTEXTS * lanes, np.uint64)
+        x_all, y_all = (np.empty(CONTEXTS * lanes * 8, np.float32) for _ in range(2))
+        p_all = np.empty((lanes, 8), np.float32)
+        live = lanes
         for step in range(int(size[0])):
             while size[live - 1] <= step:
                 live -= 1
@@ -311,29 +327,58 @@ class Mixer:
             w, p = weights[:, :live], p_all[:live]
             np.multiply(x, w, out=y)
             np.add.reduce(y, axis=0, out=p)
-            # the probability of the bit that came
-            np.negative(p, out=p)
-            np.exp(p, out=p)
-            p += ONE
-            np.reciprocal(p, out=p)
-            np.maximum(p, LEAST, out=p)
-            np.minimum(p, ONE - LEAST, out=p)
-            likely[:live] *= p
+            sign = _SIGNS.take(data.take(place), axis=0)
+            cell = p * sign
+            cell *= np.float32(2)
+            np.clip(cell, -RANGES // 2, RANGES // 2 - 1, out=cell)
+            cell = np.floor(cell, out=cell).astype(np.int64)
+            cell += cells[:live]
+            old = bias.take(cell)
+            q = old * sign
+            q += p
+            # the probabilities of the bit that came, refined and not
+            for z in (p, q):
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += ONE
+                np.reciprocal(z, out=z)
+                np.maximum(z, LEAST, out=z)
+                np.minimum(z, ONE - LEAST, out=z)
+            likely[:live] *= q
             if step % 8 == 7:  # eight factors stay in the range of floats
                 cost += np.log10(likely).sum(1)
                 likely.fill(1)
+            np.subtract(ONE, q, out=q)
+            q *= sign
+            q *= bias_rate
+            q += old
+            bias[cell] = q
             np.subtract(ONE, p, out=p)
             p *= rate
             x *= p
             w += x
         cost += np.log10(likely).sum(1)
-        return np.bincount([x[2] for x in lanes], cost, len(texts))
+        out = np.empty(lanes)
+        out[order] = cost
+        return out
 
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
+def together(batches, most: int):
+    """Batches of ids and texts, joined until their texts hold most characters."""
+    ids, texts, size = [], [], 0
+    for own, t in batches:
+        ids, texts, size = ids + own, texts + t, size + sum(len(x or "") for x in t)
+        if size >= most:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def gathered(df: DataFrame, text: str, key: str, bits: int) -> DataFrame:
     """(kind, h, n, blob) of the training rows: token counts (kind 0) and parts of tables (kind 1), each added up in its task."""
 
@@ -408,7 +453,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000
 
 
 def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000_000) -> DataFrame:
-    """One row per row of df: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of df: key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte (of the text with its end)."""
     spark = df.sparkSession
     shared_folder(spark)
     small_batches(spark)
@@ -420,7 +465,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_0
         stored_odds, h, c = sent.value
         model = Mixer(stored_odds.bits, stored_odds.mapped())
         logs = lambda x: np.log10((x + 1.0) / under)
-        for ids, texts in batches:
+        for ids, texts in together(batches, GATHER):
             raw = [(t or "").encode() for t in texts]
             scores = model.scores(raw)
             n, known, base = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64), np.zeros(len(raw))
@@ -441,15 +486,15 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_0
                     base[own] = np.bincount(doc[hit], logs(c[at].astype(np.float64))[spot[hit]], k)
                 if not hit.all():
                     far.append((words[~hit], doc[~hit] + places.start))
-            yield [[0] * len(raw), ids, marks, [held_out(i) for i in ids], n, known, base, scores, [0] * len(raw)]
+            yield [[0] * len(raw), ids, marks, [held_out(i) for i in ids], n, known, base, scores, scores * -math.log2(10) / np.array([len(t) + 1 for t in raw]), [0] * len(raw)]
             for missed, doc in far:
                 order = np.lexsort((missed, doc))
                 d, w = doc[order], missed[order]
                 first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1])))
                 d, w, m = d[first].tolist(), w[first], np.diff(np.append(first, len(order)))
-                yield [[1] * len(m), [ids[i] for i in d], [marks[i] for i in d], [False] * len(m), m, [0] * len(m), [0.0] * len(m), [0.0] * len(m), w.astype(np.int64)]
+                yield [[1] * len(m), [ids[i] for i in d], [marks[i] for i in d], [False] * len(m), m, [0] * len(m), [0.0] * len(m), [0.0] * len(m), [0.0] * len(m), w.astype(np.int64)]
 
-    rows = map_rows(df, [F.col(key).cast("long"), F.col(text)], run, "kind int, id long, mark long, held_out boolean, n long, known long, base double, score double, h long")
+    rows = map_rows(df, [F.col(key).cast("long"), F.col(text)], run, "kind int, id long, mark long, held_out boolean, n long, known long, base double, score double, bits double, h long")
     rows = stored(rows)
     missed = rows.filter("kind = 1").join(counts.filter(F.col("n") < least).withColumnRenamed("n", "c"), "h", "left")
     logs = F.log10((F.coalesce("c", F.lit(0)) + 1.0) / float(under))
@@ -459,7 +504,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_0
     found = found.join(alike, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2"))).select("id2", "mark2", (F.col("k") / F.col("count")).cast("long").alias("k"), (F.col("b") / F.col("count")).alias("b"))
     rows = rows.filter("kind = 0").join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
     rows = rows.withColumns({"known": F.col("known") + F.coalesce("k", F.lit(0)), "base": F.col("base") + F.coalesce("b", F.lit(0.0))})
-    return rows.select(F.col("id").alias(key), "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    return rows.select(F.col("id").alias(key), "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", F.col("bits").alias("bits_per_byte"))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -280,3 +280,15 @@ def test_lm_tables_grow_with_the_training_text():
     data, starts = lm.joined(texts)
     top = max(int(e.max()) for *_, a, b in lm.slots(data, starts, 30) for e in (a, b))
     assert 1 << 33 < top < 1 << 34
+
+
+def test_lm_learns_through_the_whole_text():
+    rng = random.Random(3)
+    tables, plain = lm.Tables(12), " ".join(rng.choices(["one", "two", "three", "four"], k=3000))
+    tables.add([plain.encode()] * 3)
+    m = lm.Mixer(12, np.stack([lm.log_odds(t).ravel() for t in tables.counts]))
+    text = " ".join(rng.choices(["one", "two", "five", "sieben"], k=3000)).encode()
+    cost = [m.scores([text[:n]])[0] for n in (512, 1024, 8192, 8704)]
+    assert cost[3] - cost[2] > (cost[1] - cost[0]) * 0.97
+    both = m.scores([text, text[:700], b""])
+    assert np.allclose(both, [m.scores([t])[0] for t in (text, text[:700], b"")], rtol=1e-5)
