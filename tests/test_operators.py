@@ -98,3 +98,12 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = src.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").start.alias("p"), "event_type").count()
     got = {(r.period_start, r.event_type): r.n for r in spark.table("streamed").collect()}
     assert got == {(r.p, r.event_type): r["count"] for r in batch.collect()}
+
+
+def test_spectral_of_a_large_period(spark):
+    n = 3100
+    ring = spark.range(n).select(F.lit("p").alias("period"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("sim"))
+    got = local_graph.spectral(ring).first()
+    assert got.n == n
+    assert got.algebraic_connectivity == pytest.approx(2 - 2 * np.cos(2 * np.pi / n), abs=1e-10)
+    assert got.spectral_gap == pytest.approx(0, abs=1e-10)
