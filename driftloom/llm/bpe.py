@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.common import map_rows, small_batches, without
+from driftloom.llm.common import in_batches, map_rows, small_batches, without
 
 #: The white space of the Unicode standard, which is what the tokenizer's own pattern takes as \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -42,6 +42,31 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# Fixed values, as Unicode gives them. The tokenizer splits by Unicode 16.0 and lowers by 17.0; Python's tables are of 15.1
+# and the regex module's are later. First and last of the letters and numbers that 16.0 added:
+ADDED_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x113B7),
+    (0x113D1, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+]
+# Capitals added by 16.0 and 17.0, each with its small letter; of a row of them, first, last and the step to the small one:
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+SMALL_ROWS = [(0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+
+
+def late_letters() -> str:
+    """What the regex module takes for a letter or number, but Unicode 16.0 has not assigned."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    return "".join(c for c in new if not any(a <= ord(c) <= b for a, b in ADDED_16))
+
+
+def late_small() -> dict[int, int]:
+    """Of the capitals that Python's own lower() leaves."""
+    rows = {c: c + step for a, b, step in SMALL_ROWS for c in range(a, b + 1)}
+    return {c: d for c, d in (SMALL | rows).items() if chr(c).lower() == chr(c)}
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -64,7 +89,15 @@ class Bpe:
         self.strings |= {i: s for s, i in self.special.items()}
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.white = regex.compile(f"[{regex.escape(WHITE)}]+")
-        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", regex.escape(WHITE)))
+        pattern = split["pattern"]["Regex"].replace(r"\s", regex.escape(WHITE))
+        self.pieces = regex.compile(pattern)
+        late = regex.escape(late_letters())
+        self.late = regex.compile(f"[{late}]") if late else None
+        for p in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(p, f"[{p}--[{late}]]")
+        self.strict = regex.compile(f"(?V1){pattern}") if late else self.pieces
+        self.small = late_small()
+        self.capitals = regex.compile(f"[{''.join(map(chr, self.small))}]") if self.small else None
         self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -117,7 +150,13 @@ class Bpe:
     def chunk(self, text: str) -> bytes:
         """The ids of a run of text that holds no white space but perhaps at its inside."""
         low = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
-        out = b"".join([self.word(p) for p in self.pieces.findall(low)])
+        pieces = self.pieces
+        if not low.isascii():
+            if self.capitals and self.capitals.search(low):
+                low = low.translate(self.small)
+            if self.late and self.late.search(low):
+                pieces = self.strict
+        out = b"".join([self.word(p) for p in pieces.findall(low)])
         if len(text) <= 64:
             if len(self.chunks) >= CACHED:
                 self.chunks.clear()
@@ -172,7 +211,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str
             made = [np.frombuffer(bpe.encode(t), "<u4").astype(np.int32) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
@@ -187,7 +226,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str =
             made = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()) for x in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def digest(df: DataFrame, path: str | None = None) -> DataFrame:

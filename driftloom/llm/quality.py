@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import SPACE, without
+from driftloom.llm.common import SPACE, columns_of, without
 
 #: Phrases of lines that say nothing of a document's subject; such a line fails if it has at most BOILERPLATE_WORDS words.
 BOILERPLATE = (
@@ -124,4 +124,4 @@ def clean(df: DataFrame) -> DataFrame:
     made = {"text": F.col("__quality.clean")}
     if "n_chars" in df.columns:
         made["n_chars"] = F.length("__quality.clean").cast(df.schema["n_chars"].dataType)
-    return q.withColumns(made).select(*df.columns)
+    return q.withColumns(made).select(*columns_of(df))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.llm.automaton import Dfa, Parser, reverse
-from driftloom.llm.common import map_rows, small_batches, without
+from driftloom.llm.common import in_batches, map_rows, small_batches, without
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", rules: tuple[R
             made = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in own.spans(t)] for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, arrow)], names=[*b.schema.names, out])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(one))]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(one))]))
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.common import WORD, map_rows, shared_folder, small_batches, without
+from driftloom.llm.common import WORD, columns_of, in_batches, map_rows, shared_folder, small_batches, without
 from driftloom.llm.wordhash import blocks, grams
 
 #: Bits of the anchor bitmap, and of each part of it that one group fills.
@@ -233,7 +233,7 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width:
             tk = [text_key(t) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64()), pa.array(tk, pa.int32())], names=[*b.schema.names, "__doc", "__tk"])
 
-    joined = df.mapInArrow(with_key, keyed).join(gone.toDF("__doc", "__tk", "__runs"), ["__doc", "__tk"], "left").select(*[F.col(f"`{c}`") for c in df.columns], "__runs")
+    joined = in_batches(df, with_key, keyed).join(gone.toDF("__doc", "__tk", "__runs"), ["__doc", "__tk"], "left").select(*columns_of(df), "__runs")
     word = re.compile(WORD)
 
     def run(batches):
@@ -253,7 +253,7 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", width:
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[*b.schema.names[:-1], "n_words", "n_removed"])
 
-    return joined.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return in_batches(joined, run, T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
 
 
 def digest(df: DataFrame) -> DataFrame:
