@@ -5,8 +5,8 @@ its known character n-grams of the longest order that has any, less a penalty fo
 has the largest sum; ties go to the language that sorts first.
 
 The model is fitted on a bounded, documented sample of the labelled rows: at most about ``fit_docs`` texts a language,
-those with the smallest hash of their key, and holds at most ``max_words`` words and ``max_grams`` n-grams, the most
-frequent ones. Its size is bounded by these parameters, so it is broadcast. Every text is predicted whole.
+those with the smallest hash of key and text. It holds every word and n-gram of these texts, as the languages that have
+it and their logs, so its size is bounded by the sample, and it is broadcast. Every text is predicted whole.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter, or if nothing could be learned; rows that
 repeat get one prediction each; an empty table gives an empty table; clashing column names are replaced.
@@ -15,6 +15,7 @@ repeat get one prediction each; an empty table gives an empty table; clashing co
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -23,12 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.common import map_rows, small_batches, stored, without
+from driftloom.llm.common import in_batches, map_rows, named, small_batches, stored, without
 
-WORDS = re.compile(r"[^\W\d_]+")
+def numbers() -> str:
+    """The numerals that are no decimal digits, which \\w takes in although they are no letters."""
+    return "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No"))
+
+
+#: Runs of letters (Unicode category L).
+WORDS = re.compile(rf"[^\W\d_{re.escape(numbers())}]+")
 ORDER = 4
 #: What a word loses in natural log for each shorter order that it falls back to.
 PENALTY = 1.0
+#: Numbers that a worker keeps of words already looked up.
+CACHED = 1 << 21
 
 
 def words_of(text: str) -> Counter:
@@ -40,32 +49,42 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Logs:
+    """Log frequencies of names by language: those of the languages that have a name, a common one for each of the others."""
+
+    def __init__(self, names: list[str], langs: np.ndarray, counts: np.ndarray, n_langs: int):
+        """One entry for each name and language that has it; names in order, so that those of a name lie together."""
+        first = [i for i, x in enumerate(names) if not i or x != names[i - 1]]
+        self.at = {names[i]: k for k, i in enumerate(first)}
+        self.bounds = np.array([*first, len(names)])
+        under = np.bincount(langs, counts, n_langs) + 0.1 * max(1, len(first))
+        self.langs, self.logs = langs.astype(np.uint16), np.log((counts + 0.1) / under[langs])
+        self.none = np.log(0.1 / under)
+
+    def get(self, name: str) -> np.ndarray | None:
+        k = self.at.get(name)
+        if k is None:
+            return None
+        out, own = self.none.copy(), slice(self.bounds[k], self.bounds[k + 1])
+        out[self.langs[own]] = self.logs[own]
+        return out
+
+
 class LanguageModel:
-    """words and grams: name -> counts by language."""
-
-    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]]):
-        self.langs = langs
-        self.words = self.logs(words)
-        self.grams = {}
-        for n in range(1, ORDER + 1):
-            self.grams |= self.logs({g: c for g, c in grams.items() if len(g) == n})
+    def __init__(self, langs: list[str], orders: list[Logs]):
+        """orders: of words, then of n-grams of 1 to ORDER letters."""
+        self.langs, self.orders = langs, orders
         self.cache: dict[str, np.ndarray] = {}
 
-    def logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        m = np.array(list(counts.values()), np.float64)
-        return dict(zip(counts, np.log((m + 0.1) / (m.sum(0) + 0.1 * len(m))), strict=True))
-
-    def fallback(self, word: str) -> np.ndarray:
-        if (known := self.cache.get(word)) is not None:
-            return known
-        out = np.zeros(len(self.langs))
-        for n in range(ORDER, 0, -1):
-            if own := [v for g in grams_of(word, n) if (v := self.grams.get(g)) is not None]:
-                out = np.mean(own, axis=0) - PENALTY * (ORDER - n + 1)
-                break
-        if len(self.cache) >= 200_000:
+    def looked_up(self, word: str) -> np.ndarray:
+        out = self.orders[0].get(word)
+        if out is None:
+            out = np.zeros(len(self.langs))
+            for n in range(ORDER, 0, -1):
+                if own := [v for g in grams_of(word, n) if (v := self.orders[n].get(g)) is not None]:
+                    out = np.mean(own, axis=0) - PENALTY * (ORDER - n + 1)
+                    break
+        if len(self.cache) * len(self.langs) >= CACHED:
             self.cache.clear()
         self.cache[word] = out
         return out
@@ -74,22 +93,23 @@ class LanguageModel:
         counts = words_of(text) if text else None
         if not counts or not self.langs:
             return "und", 0.0
-        rows = [v if (v := self.words.get(w)) is not None else self.fallback(w) for w in counts]
+        rows = [v if (v := self.cache.get(w)) is not None else self.looked_up(w) for w in counts]
         total = np.array(list(counts.values()), np.float64) @ np.array(rows)
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(df: DataFrame, text: str, lang: str, key: Column, fit_docs: int = 3000, max_words: int = 150_000, max_grams: int = 60_000) -> LanguageModel:
-    """The model of the labelled rows of df; key: what decides whether a row is of the sample."""
-    df = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in df.groupBy(lang).count().collect()}  # one row a language
+def fit(df: DataFrame, text: str, lang: str, key: str, fit_docs: int = 3000) -> LanguageModel:
+    """The model of the labelled rows of df; key and text decide whether a row is of the sample."""
+    df = df.filter(named(text).isNotNull() & named(lang).isNotNull())
+    sizes = {r[0]: r[1] for r in df.groupBy(named(lang).alias("lang")).count().collect()}  # one row a language
     if not sizes:
-        return LanguageModel([], {}, {})
+        return LanguageModel([], [])
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, fit_docs / n)))])
-    unit = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    sample = df.filter(unit < F.element_at(share, F.col(lang)))
+    unit = F.pmod(F.xxhash64(named(key), named(text)), F.lit(1 << 30)) / float(1 << 30)
+    sample = df.filter(unit < F.element_at(share, named(lang)))
     langs = sorted(sizes)
+    number = {x: i for i, x in enumerate(langs)}
 
     def run(batches):
         seen: Counter = Counter()
@@ -101,24 +121,24 @@ def fit(df: DataFrame, text: str, lang: str, key: Column, fit_docs: int = 3000,
         for labels, texts in batches:
             for own, t in zip(labels, texts, strict=True):
                 for w, n in words_of(t).items():
-                    seen[own, 0, w] += n
+                    seen[number[own], 0, w] += n
                     for order in range(1, ORDER + 1):
                         for g in grams_of(w, order):
-                            seen[own, order, g] += n
-            if len(seen) > 400_000:
-                yield out()
-                seen.clear()
+                            seen[number[own], order, g] += n
+                if len(seen) > 400_000:
+                    yield out()
+                    seen.clear()
         if seen:
             yield out()
 
-    counted = map_rows(sample, [F.col(lang), F.col(text)], run, "lang string, size int, name string, n long")
-    by_name = stored(counted.groupBy("size", "name").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]))
+    counted = map_rows(sample, [named(lang), named(text)], run, "lang int, size int, name string, n long")
+    every = stored(counted.groupBy("size", "name", "lang").agg(F.sum("n").alias("n")))
 
-    def top(these: DataFrame, most: int) -> dict[str, list[int]]:
-        rows = these.orderBy(F.desc("total"), "name").limit(most).collect()  # bounded by most
-        return {r["name"]: [r[f"n{i}"] for i in range(len(langs))] for r in rows}
+    def order(size: int) -> Logs:
+        own = every.filter(F.col("size") == size).select("name", "lang", "n").toArrow().sort_by([("name", "ascending"), ("lang", "ascending")])  # bounded by the sample
+        return Logs(own.column("name").to_pylist(), own.column("lang").to_numpy(), own.column("n").to_numpy().astype(np.float64), len(langs))
 
-    return LanguageModel(langs, top(by_name.filter("size = 0"), max_words), top(by_name.filter("size > 0"), max_grams))
+    return LanguageModel(langs, [order(n) for n in range(ORDER + 1)])
 
 
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -134,7 +154,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
             cols = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "score"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return in_batches(df, run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(fold: int, of: int) -> Column:
@@ -143,8 +163,6 @@ def held_out(fold: int, of: int) -> Column:
 
 def digest(df: DataFrame) -> DataFrame:
     """The columns of op6."""
-    model = fit(df.filter(~held_out(2, 4)), "text", "lang", F.col("doc_id"))
+    model = fit(df.filter(~held_out(2, 4)), "text", "lang", "doc_id")
     rows = df.select("doc_id", held_out(2, 4).alias("held_out"), "text")
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
-
-
