@@ -5,8 +5,9 @@ shuffle, so a line of every document travels once a task). Keys that reach ``min
 bounded size; each shard becomes a minimal perfect hash over its keys, which indexes an array of 64-bit fingerprints and
 an array of counts. Pass 2 streams the documents and probes these arrays: no line is joined and no text is shuffled.
 
-The arrays are broadcast in waves of at most ``wave_bytes``. However many frequent lines there are, no task and not the
-driver holds more than a wave; more waves mean more passes over the documents, and the marks are kept between them.
+Arrays of at most ``most_bytes`` are broadcast. Larger ones never meet the driver: each executor lays them out in one file,
+which its workers map and probe, so that one pass over the documents does however many frequent lines there are. Keys
+that decide nothing (below ``min_docs``) are left out of the arrays.
 
 Defined results: a null text is one empty line; keys shorter than ``min_chars`` code points never go; repeated rows are
 documents of their own; an empty table gives an empty table; clashing column names are replaced.
@@ -14,7 +15,9 @@ documents of their own; an empty table gives an empty table; clashing column nam
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftloom.llm.common import map_rows, shared_folder, small_batches, stored, without
+from driftloom.llm.common import columns_of, in_batches, laid_out, map_rows, named, shared_folder, small_batches, stored, stored_rows, without
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of one shard, at most about this many.
@@ -88,31 +91,63 @@ def build_shard(hi: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[list[byt
     """The levels of the hash over hi, the fingerprints lo and the counts, each in the order of the hash."""
     mph = PerfectHash.build(hi)
     at = mph.index(hi)
-    prints, counts = np.zeros(len(hi), np.uint64), np.zeros(len(hi), np.uint32)
-    prints[at], counts[at] = lo, np.minimum(n, 2**32 - 1)
+    prints, counts = np.zeros(len(hi), np.uint64), np.zeros(len(hi), np.uint64)
+    prints[at], counts[at] = lo, n
     return [w.tobytes() for w in mph.levels], prints.tobytes(), counts.tobytes()
 
 
 class Shards:
-    """Shards of one wave, as they are probed."""
+    """Shards as they are probed: (hash, fingerprints, counts) by number, some numbers with several of them."""
 
-    def __init__(self, rows: dict[int, tuple], total: int):
-        self.total = total
-        self.shards = {k: (PerfectHash([np.frombuffer(x, np.uint64) for x in levels]), np.frombuffer(p, np.uint64), np.frombuffer(c, np.uint32)) for k, (levels, p, c) in rows.items()}
+    def __init__(self, shards: dict[int, list[tuple[PerfectHash, np.ndarray, np.ndarray]]], total: int):
+        self.shards, self.total = shards, total
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[int, list[bytes], bytes, bytes]], total: int) -> Shards:
+        out: dict = {}
+        for k, levels, p, c in rows:
+            out.setdefault(k, []).append((PerfectHash([np.frombuffer(x, np.uint64) for x in levels]), np.frombuffer(p, np.uint64), np.frombuffer(c, np.uint64)))
+        return cls(out, total)
 
     def counts(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The documents of each key, 0 where it isn't in these shards."""
         out = np.zeros(len(hi), np.int64)
-        of = (hi >> np.uint64(40)) % np.uint64(self.total)
-        for k, (mph, prints, n) in self.shards.items():
-            mine = np.flatnonzero(of == k)
-            if len(mine) and len(prints):
+        of = ((hi >> np.uint64(40)) % np.uint64(self.total)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        first = np.searchsorted(of[order], np.arange(self.total + 1)) if self.total < len(hi) else None
+        for k in range(self.total) if first is not None else np.unique(of).tolist():
+            mine = order[first[k] : first[k + 1]] if first is not None else np.flatnonzero(of == k)
+            for mph, prints, n in self.shards.get(k, ()) if len(mine) else ():
                 at = mph.index(hi[mine])
                 known = (at >= 0) & (prints[at] == lo[mine])
                 out[mine[known]] = n[at[known]]
         return out
 
 
+class Laid:
+    """Arrays in one file of an executor; index: for each shard its number, and the bytes of each level, the fingerprints and the counts."""
+
+    def __init__(self, index: list[tuple[int, int, list[int], int]], files: list[str], total: int):
+        self.files, self.total, self.name = files, total, f"driftloom-lines-{uuid.uuid4().hex}"
+        self.index, at = {}, 0
+        for k, nth, levels, size in index:
+            self.index[k, nth] = (at, levels, size)
+            at += sum(levels) + 2 * size
+        self.size = at
+
+    def mapped(self) -> Shards:
+        def write(f) -> None:
+            for k, nth, levels, p, c in stored_rows(self.files, ["shard", "nth", "levels", "prints", "counts"]):
+                f.seek(self.index[k, nth][0])
+                f.write(b"".join([*levels, p, c]))
+
+        data, out = np.memmap(laid_out(self.name, self.size, write), np.uint64, "r"), {}
+        for (k, _), (at, levels, size) in self.index.items():
+            parts = np.split(data[at // 8 : (at + sum(levels) + 2 * size) // 8], np.cumsum([*levels, size]) // 8)
+            out.setdefault(k, []).append((PerfectHash(parts[: len(levels)]), parts[-2], parts[-1]))
+        return Shards(out, self.total)
+
+
 def hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for k in keys]), ">u8").astype(np.uint64).reshape(-1, 2)
     return raw[:, 0], raw[:, 1]
@@ -139,23 +174,30 @@ def line_counts(df: DataFrame, text: str = "text", min_chars: int = 1) -> DataFr
         if seen:
             yield out()
 
-    return map_rows(df, [F.col(text)], run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    return map_rows(df, [named(text)], run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
 
 def build_arrays(frequent: DataFrame, total: int) -> DataFrame:
-    """(shard, levels, prints, counts) of the frequent keys."""
+    """(shard, nth, levels, prints, counts) of the frequent keys; keys equal in hi go to hashes of their own, one after another."""
 
     def one(t: pa.Table) -> pa.Table:
-        hi, lo = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hi", "lo"))
-        first = np.unique(hi, return_index=True)[1]  # keys equal in 64 of 128 bits: the first stays in the array
-        levels, prints, counts = build_shard(hi[first], lo[first], t.column("n").to_numpy()[first])
-        return pa.table({"shard": pa.array(t.column("shard")[:1].to_pylist(), pa.int32()), "levels": [levels], "prints": pa.array([prints], pa.binary()), "counts": pa.array([counts], pa.binary())})
+        hi, lo, n = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("hi", "lo", "n"))
+        made = []
+        while len(hi):
+            first = np.unique(hi, return_index=True)[1]
+            made.append(build_shard(hi[first], lo[first], n[first]))
+            hi, lo, n = (np.delete(x, first) for x in (hi, lo, n))
+        levels, prints, counts = zip(*made, strict=True)
+        return pa.table({
+            "shard": pa.array(t.column("shard")[:1].to_pylist() * len(made), pa.int32()), "nth": pa.array(range(len(made)), pa.int32()), "levels": pa.array(levels, pa.list_(pa.binary())),
+            "prints": pa.array(prints, pa.binary()), "counts": pa.array(counts, pa.binary()),
+        })
 
     shard = F.pmod(F.shiftrightunsigned("hi", 40), F.lit(total)).cast("int")
-    return frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(one, "shard int, levels array<binary>, prints binary, counts binary")
+    return frequent.withColumn("shard", shard).groupBy("shard").applyInArrow(one, "shard int, nth int, levels array<binary>, prints binary, counts binary")
 
 
-def drop_lines(df: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, wave_bytes: int = 64 << 20) -> DataFrame:
+def drop_lines(df: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, most_bytes: int = 64 << 20) -> DataFrame:
     """df with the text of the lines that stay, n_lines (before) and n_dropped."""
     spark = df.sparkSession
     shared_folder(spark)
@@ -164,50 +206,33 @@ def drop_lines(df: DataFrame, text: str = "text", min_docs: int = 10, min_chars:
     frequent = stored(line_counts(df, text, min_chars).filter(F.col("n") >= min_docs))
     keys = frequent.count()
     total = max(1, -(-keys // SHARD_KEYS))
-    arrays = stored(build_arrays(frequent, total)) if keys else None
-    per_wave = max(1, wave_bytes // (SHARD_KEYS * 14))
-    marks = "__marks"
-    schema = T.StructType([*df.schema.fields, T.StructField(marks, T.BinaryType())])
-    df = df.withColumn(marks, F.lit(None).cast("binary"))
+    sent = None
+    if keys:
+        arrays = stored(build_arrays(frequent, total))
+        index = arrays.select("shard", "nth", F.transform("levels", F.octet_length).alias("l"), F.octet_length("prints").alias("p")).collect()  # a row for SHARD_KEYS keys
+        if sum(sum(r.l) + 2 * r.p for r in index) <= most_bytes:
+            rows = arrays.select("shard", "levels", "prints", "counts").collect()  # at most most_bytes
+            sent = spark.sparkContext.broadcast(Shards.of([(r[0], [bytes(x) for x in r[1]], bytes(r[2]), bytes(r[3])) for r in rows], total))
+        else:
+            sent = spark.sparkContext.broadcast(Laid([tuple(r) for r in index], arrays.inputFiles(), total))
     place = df.columns.index(text)
 
-    def pass_over(df: DataFrame, shards, last: bool) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                texts, before = b.column(place).to_pylist(), b.column(len(b.columns) - 1).to_pylist()
-                lines = [(t or "").encode().split(b"\n") for t in texts]
-                keys = [[key_of(x) for x in own] for own in lines]
-                flat = [k for own in keys for k in own]
-                n = shards.value.counts(*hashes(flat)) if shards else np.zeros(len(flat), np.int64)
-                gone, at, marked = n >= min_docs, 0, []
-                for own, old in zip(keys, before, strict=True):
-                    g = np.array([long_enough(k, min_chars) for k in own]) & gone[at : at + len(own)]
-                    at += len(own)
-                    marked.append(g | (np.frombuffer(old, np.uint8) > 0) if old else g)
-                cols = list(b.columns)
-                if last:
-                    cols[place] = pa.array([None if t is None else b"\n".join([x for x, g in zip(own, m, strict=True) if not g]).decode() if m.any() else t for t, own, m in zip(texts, lines, marked, strict=True)], pa.string())
-                    cols[-1] = pa.array([len(m) for m in marked], pa.int64())
-                    cols.append(pa.array([int(m.sum()) for m in marked], pa.int64()))
-                    yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "n_lines", "n_dropped"])
-                else:
-                    cols[-1] = pa.array([m.astype(np.uint8).tobytes() for m in marked], pa.binary())
-                    yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-
-        out = schema if not last else T.StructType([*schema.fields[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-        return df.mapInArrow(run, out)
-
-    starts = range(0, total, per_wave) if keys else [0]
-    for first in starts:
-        shards = None
-        if keys:
-            rows = arrays.filter(F.col("shard").between(first, first + per_wave - 1)).collect()  # at most wave_bytes
-            shards = spark.sparkContext.broadcast(Shards({r.shard: ([bytes(x) for x in r.levels], bytes(r.prints), bytes(r.counts)) for r in rows}, total))
-        last = first + per_wave >= total or not keys
-        df = pass_over(df, shards, last)
-        if not last:
-            df = stored(df)
-    return df
+    def run(batches):
+        shards = sent and (sent.value if isinstance(sent.value, Shards) else sent.value.mapped())
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            lines = [(t or "").encode().split(b"\n") for t in texts]
+            keys = [[key_of(x) for x in own] for own in lines]
+            flat = [k for own in keys for k in own]
+            gone = shards.counts(*hashes(flat)) >= min_docs if shards else np.zeros(len(flat), bool)
+            gone &= np.array([long_enough(k, min_chars) for k in flat])
+            marked = np.split(gone, np.cumsum([len(own) for own in lines])[:-1])
+            cols = list(b.columns)
+            cols[place] = pa.array([None if t is None else b"\n".join([x for x, g in zip(own, m, strict=True) if not g]).decode() if m.any() else t for t, own, m in zip(texts, lines, marked, strict=True)], pa.string())
+            cols += [pa.array([len(m) for m in marked], pa.int64()), pa.array([int(m.sum()) for m in marked], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "n_lines", "n_dropped"])
+
+    return in_batches(df, run, T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -221,4 +246,4 @@ def clean(df: DataFrame) -> DataFrame:
     out = drop_lines(df)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*df.columns)
+    return out.select(*columns_of(df))
