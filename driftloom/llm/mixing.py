@@ -5,8 +5,10 @@ weights, as far as their texts reach (``max_epochs`` times over); what a child c
 weights, and only what no sibling can use is left to the level above. A leaf of T tokens and budget b gives every
 document b // T times, and once more the longest prefix, in the seeded order of the next epoch, of b % T tokens at most.
 
+Budgets are worked out level by level in tables: a task holds the children of one node, and nothing comes to the driver.
 The prefix is found without sorting a leaf: tokens are summed by leaf and hash range, the range in which the budget ends
-is looked up, and only its rows are put in order. What is kept on the driver is one row a leaf.
+is looked up digit by digit (256 sums a leaf at a time), and only its rows are put in order. What each leaf gets is
+joined to the rows; it is broadcast if it has at most ``most_leaves`` rows, and joined as tables are otherwise.
 
 Defined results: null columns form leaves of their own; texts without words take no budget and go along with their leaf;
 rows of the same key and text stand or fall together; a leaf without tokens gives nothing; an empty table gives an empty
@@ -15,18 +17,17 @@ table; clashing column names are replaced.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from driftloom.llm.common import SPACE, stored, without
+from driftloom.llm.common import SPACE, columns_of, named, stored, without
 
-#: Rows of a hash range, at most about so many in the largest leaf.
-RANGE_ROWS = 2000
+#: Rows of a hash range, at most about so many in the largest leaf, and hex digits that are looked up at a time.
+RANGE_ROWS, DIGITS = 2000, 2
 
 
 def shares(budget: int, children: list[tuple[float, int]]) -> list[int]:
@@ -70,37 +71,72 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")).cast("long")
 
 
-def mix(df: DataFrame, levels: list[str], weights: list[Mapping], share: float, max_epochs: int = 3, seed: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+def planned(leaves: DataFrame, weights: list[Mapping], share: float, max_epochs: int) -> DataFrame:
+    """leaves (path array, t tokens) with the budget of each; as budgets(), one level after another."""
+    total = leaves.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
+    nodes = leaves.select(F.slice("path", 1, 0).alias("at")).distinct().withColumn("budget", F.lit(int(total * share)).cast("long"))
+
+    def among(own: Mapping) -> Callable[[pa.Table], pa.Table]:
+        weight = {k: float(w) for k, w in own.items()}
+
+        def one(t: pa.Table) -> pa.Table:
+            rows = sorted(t.to_pylist(), key=lambda r: (r["name"] is None, r["name"]))
+            got = shares(rows[0]["budget"], [(weight.get(r["name"], 1.0), max_epochs * r["t"]) for r in rows])
+            return pa.table({"at": pa.array([r["child"] for r in rows], pa.list_(pa.string())), "budget": pa.array(got, pa.int64())})
+
+        return one
+
+    for level, own in enumerate(weights):
+        children = leaves.groupBy(F.slice("path", 1, level).alias("at"), F.get("path", F.lit(level)).alias("name"), F.slice("path", 1, level + 1).alias("child")).agg(F.sum("t").alias("t"))
+        nodes = stored(children.join(nodes, "at").groupBy("at").applyInArrow(among(own), "at array<string>, budget long"))
+    return leaves.join(nodes.withColumnRenamed("at", "path"), "path")
+
+
+def ends(ranges: DataFrame, digits: int) -> DataFrame:
+    """(leaf, rest, range, before): the hash range of each leaf in which its rest of tokens ends, and the tokens before it.
+
+    ranges: leaf, rest, range (of so many digits), n tokens.
+    """
+    found = None
+    for upto in [*range(DIGITS, digits, DIGITS), digits]:
+        now = ranges
+        if found is not None:
+            now = now.join(found.select("leaf", F.col("range").alias("head"), "before"), "leaf").filter(F.col("range").startswith(F.col("head")))
+        else:
+            now = now.withColumn("before", F.lit(0).cast("long"))
+        sums = now.groupBy("leaf", "rest", "before", F.substring("range", 1, upto).alias("range")).agg(F.sum("n").alias("n"))
+        earlier = F.coalesce(F.sum("n").over(Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = sums.withColumn("before", F.col("before") + earlier).filter("before <= rest and before + n > rest").select("leaf", "rest", "range", "before")
+        found = stored(found)
+    return found
+
+
+def mix(df: DataFrame, levels: list[str], weights: list[Mapping], share: float, max_epochs: int = 3, seed: int = 0, text: str = "text", key: str = "doc_id", most_leaves: int = 100_000) -> DataFrame:
     """df with n_tokens and n_copies, how often the mixture holds the row; share: the budget as a part of df's tokens."""
-    spark = df.sparkSession
-    df = without(df, "n_tokens", "n_copies")
-    leaf = F.to_json(F.array(*[F.col(c).cast("string") for c in levels]))
-    mark = F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text).cast("string"))
-    rows = stored(df.select(leaf.alias("leaf"), mark.alias("mark"), tokens_of(F.col(text)).alias("n")))
-    sizes = {r["leaf"]: (r["t"], r["rows"]) for r in rows.groupBy("leaf").agg(F.sum("n").alias("t"), F.count("*").alias("rows")).collect()}  # one row a leaf
-    total = sum(t for t, _ in sizes.values())
-    got = budgets({tuple(json.loads(k)): t for k, (t, _) in sizes.items()}, weights, int(total * share), max_epochs)
-    plan = [(k, t, got[tuple(json.loads(k))]) for k, (t, _) in sizes.items()]
-    plan = [(k, b // t if t else 0, b % t if t else 0) for k, t, b in plan]
-    schema = T.StructType([T.StructField("leaf", T.StringType()), T.StructField("epochs", T.LongType()), T.StructField("rest", T.LongType())])
-    leaves = F.broadcast(spark.createDataFrame(plan, schema))  # one row a leaf
+    df = without(df, "n_tokens", "n_copies", "__leaf", "__mark", "__epochs", "__rest", "__stop")
+    path = F.array(*[named(c).cast("string") for c in levels])
+    mark = F.concat_ws(":", F.coalesce(named(key).cast("string"), F.lit("")), F.xxhash64(named(text)).cast("string"))
+    rows = stored(df.select(F.to_json(path).alias("leaf"), path.alias("path"), mark.alias("mark"), tokens_of(named(text)).alias("n")))
+    sizes = stored(rows.groupBy("leaf", "path").agg(F.sum("n").alias("t"), F.count("*").alias("rows")))
+    n_leaves, largest = sizes.agg(F.count("*"), F.coalesce(F.max("rows"), F.lit(0))).first()
+    small = F.broadcast if n_leaves <= most_leaves else lambda table: table
+    plan = planned(sizes, weights, share, max_epochs)
+    plan = stored(plan.select("leaf", F.when(F.col("t") > 0, F.expr("budget div t")).otherwise(0).alias("epochs"), F.when(F.col("t") > 0, F.expr("budget % t")).otherwise(0).alias("rest")))
     digits = 1
-    while max((n for _, n in sizes.values()), default=0) / 16**digits > RANGE_ROWS:
+    while largest / 16**digits > RANGE_ROWS:
         digits += 1
-    order = lambda m: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), m))
-    ordered = rows.join(leaves, "leaf").filter("rest > 0").select("leaf", "rest", "n", order(F.col("mark")).alias("at"))
-    ranges = ordered.groupBy("leaf", "rest", F.substring("at", 1, digits).alias("range")).agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("leaf").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = ranges.withColumn("before", before).filter("before <= rest and before + n > rest").select("leaf", "range", "before")  # one row a leaf at most
-    ends = stored(ends)
-    last = ordered.withColumn("range", F.substring("at", 1, digits)).join(F.broadcast(ends), ["leaf", "range"]).groupBy("leaf", "rest", "before", "at").agg(F.sum("n").alias("n"))
+    order = lambda epochs, m: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(epochs).cast("string"), m))
+    ordered = rows.join(small(plan), "leaf").filter("rest > 0").select("leaf", "rest", "n", order("epochs", F.col("mark")).alias("at"))
+    ranges = stored(ordered.groupBy("leaf", "rest", F.substring("at", 1, digits).alias("range")).agg(F.sum("n").alias("n")))
+    ended = ends(ranges, digits)  # one row a leaf at most
+    last = ordered.withColumn("range", F.substring("at", 1, digits)).join(small(ended.drop("rest")), ["leaf", "range"]).groupBy("leaf", "rest", "before", "at").agg(F.sum("n").alias("n"))
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     over = last.withColumn("upto", upto).filter("upto > rest").groupBy("leaf").agg(F.min("at").alias("stop"))  # the first that is too much
-    stops = F.broadcast(stored(leaves.join(over, "leaf", "left").select(F.col("leaf").alias("__leaf"), F.col("epochs"), "rest", "stop")))
-    kept = df.withColumns({"__leaf": leaf, "n_tokens": tokens_of(F.col(text)), "__mark": mark}).join(stops, "__leaf", "left")
-    once = F.when((F.col("rest") > 0) & F.coalesce(order(F.col("__mark")) < F.col("stop"), F.lit(True)), 1).otherwise(0)
-    copies = (F.coalesce(F.col("epochs"), F.lit(0)) + once).cast("long")
-    return kept.withColumn("n_copies", copies).select(*[F.col(f"`{c}`") for c in df.columns], "n_tokens", "n_copies")
+    stops = stored(plan.join(over, "leaf", "left").select(F.col("leaf").alias("__leaf"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.col("stop").alias("__stop")))
+    kept = df.withColumns({"__leaf": F.to_json(path), "n_tokens": tokens_of(named(text)), "__mark": mark}).join(small(stops), "__leaf", "left")
+    once = F.when((F.col("__rest") > 0) & F.coalesce(order("__epochs", F.col("__mark")) < F.col("__stop"), F.lit(True)), 1).otherwise(0)
+    copies = (F.coalesce(F.col("__epochs"), F.lit(0)) + once).cast("long")
+    return kept.withColumn("n_copies", copies).select(*columns_of(df), "n_tokens", "n_copies")
 
 
 #: What production mixes: sources belong to domains; unnamed ones to "other". All are parameters of mix().
@@ -123,7 +159,7 @@ def digest(df: DataFrame) -> DataFrame:
 def mixed(df: DataFrame) -> DataFrame:
     """The mixture of documents: each row as often as the mixture holds it; columns as they came."""
     out = mix(with_domain(df, "__domain"), ["__domain", "lang", "source"], WEIGHTS, SHARE, EPOCHS, SEED)
-    return out.filter("n_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    return out.filter("n_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*columns_of(df))
 
 
 
