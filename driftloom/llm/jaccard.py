@@ -1,37 +1,63 @@
 """N-gram Jaccard join by chosen paths.
 
 A text's set holds its runs of five words (a shorter text that has words: the one run of all of them). Equal sets are one
-class first, so groups of copies cost one set.
+class first, so groups of copies cost one set. A class is named by two hashes of its set, never by a doc_id.
 
 1. Chosen paths. Each set is written as COORDINATES minhashes. From the root of each of RUNS independent trees a set goes
-   down along tokens (coordinate, value) that the node's seeded hash samples with rate 1 / (threshold * COORDINATES), DEPTH
-   levels deep; sets that share a path have shared every token on it. At Jaccard 0.8 a pair keeps one path a tree on
-   average and shares a leaf of at least one of the trees with probability over 0.9999.
-2. Buckets. The sets of a leaf are tied to its smallest member; connected leaves make candidate groups. Nothing is decided
-   here: members that are merely close to a third stay apart in the next step.
-3. Brute force. Within each candidate group all pairs are compared by exact Jaccard, in tiles of bounded size, so a link
-   is lost only if no chain of shared leaves joins its ends. A tile pair returns sums of links and a spanning forest.
+   down along tokens (coordinate, value) that the node's seeded hash samples with rate 1 / (threshold * COORDINATES), so
+   sets that share a path have shared every token on it, and a pair at the threshold keeps one path a level on average.
+2. Buckets. A bucket of at most BUCKET sets goes no deeper: all its pairs are compared by their minhashes, and those that
+   agree on NEAR of 64 are tied. A larger bucket is split along the next level. What is still large at DEPTH is tied to
+   its smallest member: such sets agree on DEPTH tokens.
+3. Brute force. Ties make groups of texts that are near by estimate; within each group all pairs are compared by exact
+   Jaccard, in tiles of bounded size, which return sums of links and a spanning forest.
+
+RUNS repeats bring the recall of a pair at the threshold to 0.99999 where its buckets are small (``missed`` at depth 1 is
+1e-10, fewer than NEAR equal minhashes 4e-6) and to 0.998 where it has to go all the way down (``missed`` at DEPTH is
+0.0014). All trees share the minhashes; the figures have the variance of these in.
 
 Defined results: a null text, or one without words, links with nothing; rows that repeat are copies, linked to each
-other; a null key links with nothing; an empty table gives an empty table.
+other; a doc_id of several texts has a class for each; a null key links with nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from driftloom.llm.common import map_rows, shared_folder, small_batches, stored
+from driftloom.llm.common import columns_of, map_rows, named, shared_folder, small_batches, stored, without
 from driftloom.llm.components import components
 from driftloom.llm.embeddings import forest
 from driftloom.llm.wordhash import blocks, grams, mix
 
 SHINGLE = 5
-COORDINATES, RUNS, DEPTH = 64, 30, 5
+COORDINATES, RUNS, DEPTH = 64, 24, 5
+#: Sets of a bucket that is not split, and minhashes on which a pair of it must agree.
+BUCKET, NEAR = 32, 36
 #: Sets of a tile, and shingles compared at a time.
 TILE, COLUMNS = 512, 8192
+#: Odd multipliers, one a coordinate: shingle hashes are random, so their products order them at random.
+TURNS = mix(np.arange(COORDINATES, dtype=np.uint64), 1000) | np.uint64(1)
+#: Shingles multiplied at a time.
+PIECE = 512
+
+
+def missed(jaccard: float, depth: int, threshold: float = 0.8) -> float:
+    """The chance that no tree keeps a pair of this similarity together for depth levels."""
+    out = 0.0
+    for m in range(COORDINATES + 1):  # how many minhashes are equal
+        chance = math.comb(COORDINATES, m) * jaccard**m * (1 - jaccard) ** (COORDINATES - m)
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - (1 - alive / (threshold * COORDINATES)) ** m
+        out += chance * (1 - alive) ** RUNS
+    return out
 
 
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -46,46 +72,136 @@ def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
-    return np.array([mix(s, 1000 + c).min() for c in range(COORDINATES)], np.uint64)
+    low = np.full(COORDINATES, 2**64 - 1, np.uint64)
+    for a in range(0, len(s), PIECE):
+        np.minimum(low, (s[a : a + PIECE, None] * TURNS).min(0), out=low)
+    return mix(low).astype(np.uint32)
+
+
+def names(s: np.ndarray) -> tuple[int | None, int | None]:
+    """Two independent sums, which name the set; none for an empty one."""
+    if not len(s):
+        return None, None
+    h1, h2 = (int(mix(s, seed).sum(dtype=np.uint64).astype(np.int64)) for seed in (1, 2))
+    return h1, h2
 
 
 def signatures(df: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """(id, h1, h2, n, sig): two independent sums name the set."""
+    """(id, row, h1, h2, sig): row tells rows of one key apart."""
 
     def run(batches):
-        for ids, texts in batches:
+        for ids, rows, texts in batches:
             made = sets(texts, k)
-            h1 = [int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in made]
-            h2 = [int(mix(s, 2).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in made]
-            yield [ids, h1, h2, [len(s) for s in made], [minhashes(s).astype(np.uint32).tobytes() if len(s) else None for s in made]]
+            h = [names(s) for s in made]
+            yield [ids, rows, [x for x, _ in h], [x for _, x in h], [minhashes(s).tobytes() if len(s) else None for s in made]]
+
+    return map_rows(df, [named(key).cast("long"), row_hash(df), named(text)], run, "id long, row long, h1 long, h2 long, sig binary")
 
-    return map_rows(df, [F.col(key).cast("long"), F.col(text)], run, "id long, h1 long, h2 long, n long, sig binary")
 
+def row_hash(df: DataFrame):
+    """Of all columns that Spark can hash."""
+    whole = [named(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*whole)
 
-def paths(reps: DataFrame, threshold: float) -> DataFrame:
-    """(path, rep): the leaves of each set."""
+
+def grown(path: np.ndarray, sig: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place, new path): each path of a set followed along the tokens that its node samples."""
     rate = np.uint64(int(2**64 / (threshold * COORDINATES)))
     coordinate = mix(np.arange(COORDINATES, dtype=np.uint64), 77)
+    i, c = np.nonzero(mix(path[:, None] ^ coordinate[None, :], level) < rate)
+    return i, mix(path[i] + mix(sig[i, c].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(32)), 9), level)
+
+
+def matrix(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES)
+
+
+def first_level(reps: DataFrame, threshold: float) -> DataFrame:
+    """(path, node): of all trees."""
+    roots = mix(np.arange(RUNS, dtype=np.uint64), 5)
 
     def run(batches):
-        for ids, sigs in batches:
-            sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-            ids = np.array(ids, np.int64)
-            for r in range(RUNS):
-                doc, path = np.arange(len(ids)), np.full(len(ids), mix(np.array([r], np.uint64), 5)[0])
-                for level in range(DEPTH):
-                    i, c = np.nonzero(mix(path[:, None] ^ coordinate[None, :], level) < rate)
-                    doc = doc[i]
-                    path = mix(path[i] + mix(sig[doc, c] + (c.astype(np.uint64) << np.uint64(32)), 9), level)
-                yield [path.astype(np.int64), ids[doc]]
+        for nodes, sigs in batches:
+            sig, nodes = matrix(sigs), np.array(nodes, np.int64)
+            for r in roots:
+                i, path = grown(np.full(len(nodes), r), sig, 1, threshold)
+                yield [path.astype(np.int64), nodes[i]]
 
-    return map_rows(reps, [F.col("rep"), F.col("sig")], run, "path long, rep long")
+    return map_rows(reps, [F.col("node"), F.col("sig")], run, "path long, node long")
 
 
-def tied(leaves: DataFrame) -> DataFrame:
-    """(u, v): each member of a leaf and its smallest."""
-    low = leaves.groupBy("path").agg(F.min("rep").alias("v"), F.max("rep").alias("top")).filter("top > v").select("path", "v")
-    return leaves.join(low, "path").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+def next_level(rows: DataFrame, level: int, threshold: float) -> DataFrame:
+    """(path, node) one level down from rows (path, node, sig)."""
+
+    def run(batches):
+        for paths, nodes, sigs in batches:
+            i, path = grown(np.array(paths, np.int64).view(np.uint64), matrix(sigs), level, threshold)
+            yield [path.astype(np.int64), np.array(nodes, np.int64)[i]]
+
+    return map_rows(rows, [F.col("path"), F.col("node"), F.col("sig")], run, "path long, node long")
+
+
+def tied_in_buckets(rows: DataFrame) -> DataFrame:
+    """(u, v) of the near pairs of buckets, as spanning forests; rows: path, node, sig."""
+
+    def pairs(path: np.ndarray, node: np.ndarray, sig: np.ndarray):
+        first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+        size = np.diff(np.append(first, len(path)))
+        u, v = [], []
+        for m in np.unique(size[size > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            start = first[size == m]
+            at_once = max(1, 40_000 // len(i))
+            for a in range(0, len(start), at_once):
+                own = start[a : a + at_once, None]
+                near = (sig[own + i] == sig[own + j]).sum(-1) >= NEAR
+                if m == 2:
+                    at = own[near[:, 0], 0]
+                    u.append(node[at])
+                    v.append(node[at + 1])
+                    continue
+                for k in np.flatnonzero(near.any(1)).tolist():
+                    edges = forest(i[near[k]], j[near[k]], m)
+                    own_nodes = node[int(start[a + k]) :][:m]
+                    u.append(own_nodes[[p for p, _ in edges]])
+                    v.append(own_nodes[[q for _, q in edges]])
+        return [np.concatenate(u), np.concatenate(v)] if u else None
+
+    def run(batches):
+        left: list[np.ndarray] | None = None  # of the bucket that may go on
+        for paths, nodes, sigs in batches:
+            now = [np.array(paths, np.int64), np.array(nodes, np.int64), matrix(sigs).astype(np.uint8)]
+            if left is not None:
+                now = [np.concatenate(x) for x in zip(left, now, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            left = [x[cut:] for x in now]
+            if cut and (made := pairs(*[x[:cut] for x in now])):
+                yield made
+        if left is not None and (made := pairs(*left)):
+            yield made
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "path").sortWithinPartitions("path")
+    return map_rows(dealt, [F.col("path"), F.col("node"), F.col("sig")], run, "u long, v long")
+
+
+def candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): ties whose components hold each pair of near sets; reps: node, sig."""
+    sigs, out = reps.select("node", "sig"), None
+    rows = first_level(reps, threshold)
+    for level in range(1, DEPTH + 1):
+        sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("node").alias("low")).filter("m > 1")
+        shared = stored(rows.join(sizes, "path"))
+        small, large = shared.filter(F.col("m") <= BUCKET), shared.filter(F.col("m") > BUCKET)
+        made = tied_in_buckets(small.select("path", "node").join(sigs, "node"))
+        out = made if out is None else out.union(made)
+        if large.isEmpty():
+            break
+        if level == DEPTH:
+            out = out.union(large.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
+        else:
+            rows = next_level(large.select("path", "node").join(sigs, "node"), level + 1, threshold)
+    return out
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -116,7 +232,7 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], threshold: float, same: boo
 
 
 def compared(members: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n) as in the comparison of embeddings; members: group, tile, pair of tiles, rep, copies, set."""
+    """(u, v, n) as in the comparison of embeddings; members: group, tile, pair of tiles, node, copies, set."""
 
     def one(t: pa.Table) -> pa.Table:
         u, v, n = [], [], []
@@ -125,7 +241,7 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
         for r in rows:
             of.setdefault((r["grp"], r["t1"], r["t2"]), []).append(r)
         for (_, t1, t2), own in of.items():
-            own.sort(key=lambda r: (r["tile"] != t1, r["rep"]))
+            own.sort(key=lambda r: (r["tile"] != t1, r["node"]))
             same = t1 == t2
             x = [r for r in own if r["tile"] == t1]
             y = x if same else [r for r in own if r["tile"] == t2]
@@ -136,7 +252,7 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
                 i, j = (np.array([0]), np.array([1])) if hit else (np.zeros(0, int), np.zeros(0, int))
             else:
                 i, j = linked(sx, sy, threshold, same)
-            ids, ids2 = [r["rep"] for r in x], [r["rep"] for r in y]
+            ids, ids2 = [r["node"] for r in x], [r["node"] for r in y]
             nx = np.bincount(i, np.array([r["copies"] for r in y], np.float64)[j], len(x))
             ny = np.bincount(j, np.array([r["copies"] for r in x], np.float64)[i], len(y))
             for own_ids, m in ((ids, nx), (ids2, ny)):
@@ -154,50 +270,57 @@ def compared(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("bin").applyInArrow(one, "u long, v long, n long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, threshold: float = 0.8) -> DataFrame:
-    """One row per row of df: key, n_links (other rows linked directly), component_id, kept (the row is the component's smallest key)."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    small_batches(spark)
-    signed = signatures(df, text, key, k)
-    rows = stored(signed)
+def decided(df: DataFrame, text: str, key: str, k: int, threshold: float) -> DataFrame:
+    """One row per row of df: id, row, links, c (smallest key of the component), class (null for a row that links with nothing), chosen (its class holds c)."""
+    shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
+    rows = stored(signatures(df, text, key, k))
     has = rows.filter("h1 is not null and id is not null")
-    grouped = has.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(has.join(grouped, ["h1", "h2"]).filter("id = rep").dropDuplicates(["h1", "h2"]).select("h1", "h2", "rep", "copies", "n", "sig"))
-    groups = components(tied(paths(reps, threshold)))
+    grouped = has.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    reps = stored(grouped.withColumn("node", F.xxhash64("h1", "h2")))
+    groups = components(candidates(reps, threshold))
     sizes = groups.groupBy("component").count()
-    total = groups.count()
-    bins = max(1, total // 200)
+    bins = max(1, groups.count() // 200)
     # tiles by hash; a group of up to one tile is one pair of tiles, a larger one has all pairs of its tiles
     dealt = (
         groups.join(sizes, "component")
-        .join(reps.select(F.col("rep").alias("node"), "copies"), "node")
+        .join(reps.select("node", "rep", "h1", "h2", "copies"), "node")
         .withColumn("tiles", F.ceil(F.col("count") / TILE).cast("int"))
-        .select(F.col("component").alias("grp"), F.col("node").alias("rep"), "copies", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+        .select(F.col("component").alias("grp"), "node", "rep", "h1", "h2", "copies", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
     )
 
-    # a key that stands for several texts: the set of the class is told by its name
-    def named(batches):
+    # a key that stands for several texts: the set of the class is told by its names
+    def told(batches):
         for ids, texts in batches:
             made = sets(texts, k)
-            yield [ids, [int(mix(s, 1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in made], [s.tobytes() for s in made]]
+            h = [names(s) for s in made]
+            yield [ids, [x for x, _ in h], [x for _, x in h], [s.tobytes() for s in made]]
 
-    wanted = dealt.join(reps.select("rep", "h1"), "rep")
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t")).join(wanted.select("rep").distinct(), "rep", "left_semi")
-    tokens = map_rows(texts, [F.col("rep"), F.col("t")], named, "rep long, h1 long, tokens binary").dropDuplicates(["rep", "h1"])
+    wanted = stored(dealt)
+    texts = df.select(named(key).cast("long").alias("rep"), named(text).alias("t")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    tokens = map_rows(texts, [F.col("rep"), F.col("t")], told, "rep long, h1 long, h2 long, tokens binary").dropDuplicates(["rep", "h1", "h2"])
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("t1"), F.greatest("tile", j).alias("t2")))
-    members = wanted.join(tokens, ["rep", "h1"]).withColumn("p", F.explode(others)).select(
-        "grp", "tile", F.col("p.t1").alias("t1"), F.col("p.t2").alias("t2"), "rep", "copies", "tokens",
+    members = wanted.join(tokens, ["rep", "h1", "h2"]).withColumn("p", F.explode(others)).select(
+        "grp", "tile", F.col("p.t1").alias("t1"), F.col("p.t2").alias("t2"), "node", "copies", "tokens",
         F.when(F.col("tiles") > 1, F.xxhash64("grp", "p.t1", "p.t2")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins))).alias("bin"),
     )
     found = stored(compared(members, threshold))
-    links = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("found"))
-    whole = components(found.filter("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
-    known = reps.select("h1", "h2", "rep", "copies").join(links, "rep", "left").join(whole, "rep", "left")
-    known = known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(known, ["h1", "h2"], "left")
-    own = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+    links = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("found"))
+    whole = stored(components(found.filter("v is not null").select("u", "v")))
+    heads = whole.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
+    known = reps.select("h1", "h2", "node", "rep", "copies").join(links, "node", "left").join(whole.join(heads, "component").select("node", "head"), "node", "left")
+    known = known.select(
+        "h1", "h2", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("links"), F.coalesce("head.rep", "rep").alias("c"),
+        F.coalesce(F.col("head.node") == F.col("node"), F.lit(True)).alias("chosen"), F.col("node").alias("class"),
+    )
+    out = rows.select("id", "row", F.when(F.col("id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(known, ["h1", "h2"], "left")
+    return out.select("id", "row", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("c", "id").alias("c"), "class", F.coalesce("chosen", F.lit(True)).alias("chosen"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", k: int = SHINGLE, threshold: float = 0.8) -> DataFrame:
+    """One row per row of df: key, n_links (other rows linked directly), component_id, kept (the row has the component's smallest key)."""
+    out = decided(df, text, key, k, threshold)
+    return out.select(F.col("id").alias(key), F.col("links").alias("n_links"), F.col("c").alias("component_id"), F.coalesce(F.col("c") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -205,10 +328,20 @@ def digest(df: DataFrame) -> DataFrame:
     return near_duplicates(df.select("doc_id", "text"))
 
 
-def distinct_documents(df: DataFrame) -> DataFrame:
-    """documents with one of each group, the one of the smallest doc_id; columns as they came."""
-    gone = stored(near_duplicates(df).filter("not kept").select("doc_id").distinct())
-    kept = df.join(gone, "doc_id", "left_anti").select(*df.columns)
-    n = df.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
-    # a doc_id of several rows: rows that repeat in full are copies, of which one stays
-    return kept if n[0] == n[1] else kept.dropDuplicates()
+def distinct_documents(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """df with one row of each group, that of the smallest key (then of the smallest row hash); columns as they came.
+
+    Rows are told apart by key and row hash, so a key may have several texts. Rows that link with nothing all stay.
+    """
+    df = without(df, "__id", "__row", "__n")
+    rows = stored(decided(df, text, key, SHINGLE, 0.8).filter("class is not null"))
+    top = rows.filter("chosen and id = c")
+    stay = stored(top.groupBy("class", "id").agg(F.min("row").alias("row")))
+    gone = rows.join(stay, ["class", "id", "row"], "left_anti").select(F.col("id").alias("__id"), F.col("row").alias("__row")).distinct()
+    marked = df.withColumns({"__id": named(key).cast("long"), "__row": row_hash(df)})
+    kept = marked.join(gone, ["__id", "__row"], "left_anti")
+    again = top.groupBy("id", "row").count().filter("count > 1").select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.lit(True).alias("__n"))
+    if not again.isEmpty():  # a row that repeats in full: one stays
+        nth = F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__row"))
+        kept = kept.join(again, ["__id", "__row"], "left").withColumn("__nth", nth).filter("__n is null or __nth = 1")
+    return kept.select(*columns_of(df))
