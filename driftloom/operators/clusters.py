@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.vectors import dot, normalised
+from driftloom.storage import stored
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def voids(cents: DataFrame, pairs: DataFrame, threshold: float = 0.3) -> DataFra
 
 
 def member_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Of each member, over its out-neighbours: point_density (a mean distance), energy, boundary_score, uncertainty, boundary_proximity."""
+    """Of each member, over its out-neighbours: point_density (a mean distance), boundary_score, uncertainty, boundary_proximity, and energy (1 / density)."""
     d = 1 - F.col("sim")
     own = labelled(edges, members).groupBy("src").agg(
         F.avg(d).alias("m"), F.stddev_pop(d).alias("s"), F.count("*").alias("n"), F.avg((F.col("ca") != F.col("cb")).cast("double")).alias("foreign")
@@ -75,10 +76,16 @@ def member_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
     return own.select(
         "id", "c", F.round(density, 6).alias("point_density"), F.round(1 - density, 6).alias("mean_similarity"),
         F.round(F.coalesce("foreign", F.lit(0.0)), 6).alias("boundary_score"), F.round(F.coalesce(spread / (F.col("m") + 1e-9), F.lit(0.0)), 6).alias("uncertainty"),
-        F.round(F.coalesce(spread, F.lit(0.0)), 6).alias("boundary_proximity"),
+        F.round(F.coalesce(spread, F.lit(0.0)), 6).alias("boundary_proximity"), F.round(1 / F.greatest(density, F.lit(1e-9)), 6).alias("energy"),
     )
 
 
+def centroid_distances(vectors: DataFrame, members: DataFrame, cents: DataFrame) -> DataFrame:
+    """id, c, distance_to_centroid: one less the product of a member's unit vector and its cluster's mean as it is. vectors: id, v."""
+    own = members.join(vectors, "id").join(cents, "c")
+    return own.select("id", "c", (1 - dot(normalised(F.col("v")), F.col("centroid"))).alias("distance_to_centroid"))
+
+
 def cluster_stats(measures: DataFrame) -> DataFrame:
     """Of each cluster: mean density, share of outliers (over mean + 2 sigma), mean uncertainty, boundary sharpness (P90 - P10 from 5 members on)."""
     w = Window.partitionBy("c")
@@ -142,9 +149,11 @@ def pagerank(edges: DataFrame, members: DataFrame, rounds: int = 10, damping: fl
     n = members.count()
     pairs = undirected(edges)
     arcs = pairs.select(F.col("a").alias("s"), F.col("b").alias("t")).union(pairs.select("b", "a"))
-    arcs = arcs.join(arcs.groupBy("s").agg(F.count("*").alias("d")), "s")
+    arcs = stored(arcs.join(arcs.groupBy("s").agg(F.count("*").alias("d")), "s"))
     rank = members.select("id", F.lit(1.0 / n).alias("r"))
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         got = arcs.join(rank.toDF("s", "r"), "s").groupBy(F.col("t").alias("id")).agg(F.sum(F.col("r") / F.col("d")).alias("g"))
         rank = members.select("id").join(got, "id", "left").select("id", ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("r"))
+        if done % 4 == 0 and done < rounds:  # or the plan grows with the rounds
+            rank = stored(rank)
     return rank.select("id", F.round("r", 8).alias("pagerank"))

@@ -5,7 +5,6 @@ Scores join clusters of one period with those of the one before: few rows agains
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,37 +76,3 @@ def surprise(cents: DataFrame) -> DataFrame:
     one = best(cents.select("period", "c", "u").join(lagged(1), "period"), ["period", "c"], "u").select("period", "c", "u", F.col("pu").alias("u1"))
     two = best(one.join(lagged(2), "period"), ["period", "c"], "u1").withColumn("g", F.zip_with("u1", "pu", lambda x, y: 2 * x - y))
     return two.select("period", "c", F.round(F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1 - dot(F.col("u"), normalised(F.col("g"))))), 6).alias("surprise"))
-
-
-def lineages(cents: DataFrame, lookback: int = 2) -> DataFrame:
-    """Persistent ids: a fold over periods in one task, which holds the clusters' centroids, not their members.
-
-    A child takes the id of its matched parent; without one, that of the most similar lineage that ended at most
-    ``lookback`` periods before (reborn), if that is WEAK or better; else a new id. Ids are unique in a period.
-    """
-    import numpy as np
-
-    def fold(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (r["period"], r["c"]))
-        seen: dict[int, tuple[int, np.ndarray]] = {}
-        out, n = {"period": [], "c": [], "lineage": [], "match_type": []}, 0
-        for p in sorted({r["period"] for r in rows}):
-            own = [(r["c"], np.array(r["u"])) for r in rows if r["period"] == p]
-            pairs = sorted(((-round(float(u @ v), 9), p - last, c, k) for c, u in own for k, (last, v) in seen.items() if p - last <= 1 + lookback and u @ v >= WEAK), key=lambda x: (x[1] > 1, *x))
-            child: dict[int, tuple[int, str]] = {}
-            used: set[int] = set()
-            for s, gap, c, k in pairs:
-                if c not in child and k not in used:
-                    child[c] = (k, "reborn" if gap > 1 else "continuation" if -s >= STRONG else "weak")
-                    used.add(k)
-            for c, u in own:
-                if c not in child:
-                    child[c] = (n, "new")
-                    n += 1
-                seen[child[c][0]] = (p, u)
-                for name, x in zip(out, (p, c, f"{child[c][0]:04d}", child[c][1]), strict=True):
-                    out[name].append(x)
-        return pa.table({"period": pa.array(out["period"], pa.int64()), "c": pa.array(out["c"], pa.int64()), "lineage": out["lineage"], "match_type": out["match_type"]})
-
-    one = cents.select(F.lit(0).alias("corpus"), F.col("period").cast("long").alias("period"), F.col("c").cast("long").alias("c"), "u")
-    return one.groupBy("corpus").applyInArrow(fold, "period long, c long, lineage string, match_type string")

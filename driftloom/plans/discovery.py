@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import learn, lineage
+from driftloom.operators import learn, lineage, matcher
 from driftloom.plans.core import plain, query, table
+from driftloom.plans.observed import MEANS, OBS, observed
 from driftloom.plans.panel import PANEL
 
-UNIT = "list_transform(centroid, lambda x: x / sqrt(list_inner_product(centroid, centroid)))"
-CENTS = f"""cents AS (SELECT period, c, {UNIT} AS u, n FROM (SELECT period, c, list(m ORDER BY i) AS centroid, any_value(n) AS n FROM (SELECT vec_id % 4 AS period, label AS c, i, avg(x::DOUBLE) AS m, count(*) AS n
-  FROM (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2, 3) GROUP BY 1, 2))"""
+CENTS = f"{OBS}, {MEANS}, cents AS (SELECT period, c, u, n FROM means)"
 CAND = f"{CENTS}, cand AS (SELECT a.period, a.c AS child, b.c AS parent, round(list_inner_product(a.u, b.u), 6) AS score FROM cents a JOIN cents b ON a.period = b.period + 1 WHERE round(list_inner_product(a.u, b.u), 6) >= {lineage.WEAK})"
 GREEDY = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, child ORDER BY score DESC, parent) AS k FROM cand) WHERE k = 1), two AS (SELECT * FROM (SELECT period, child, parent, score, row_number() OVER (PARTITION BY period, parent ORDER BY score DESC, child) AS k FROM one) WHERE k = 1)"
 TYPES = f"types AS (SELECT c.period, c.c AS child, two.parent, two.score, CASE WHEN two.score >= {lineage.STRONG} THEN 'continuation' WHEN two.score IS NOT NULL THEN 'weak' ELSE 'new' END AS match_type FROM cents c LEFT JOIN two ON c.period = two.period AND c.c = two.child)"
 
 
 def cents(s, d):
-    e = table(s, d, "embeddings").filter("label is not null")
-    return lineage.period_centroids(e.select((F.col("vec_id") % 4).alias("period"), F.col("label").alias("c"), F.col("embedding").alias("v")))
+    return lineage.period_centroids(observed(s, d))
 
 
 @query("match_candidates", f"WITH {CAND} SELECT * FROM cand")
@@ -56,9 +54,26 @@ def surprise(s, d):
     return lineage.surprise(cents(s, d))
 
 
+def match_members(s, d):
+    return observed(s, d).select("period", "c", "chunk", F.get("v", F.lit(0)).alias("w"))
+
+
 @query("lineage_ids")
 def lineage_ids(s, d):
-    return lineage.lineages(cents(s, d))
+    return matcher.match(cents(s, d), match_members(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query("lineage_ids_seeded")
+def lineage_ids_seeded(s, d):
+    """Periods from 1 on, with the clusters of period 0 as the context they begin from."""
+    c = cents(s, d)
+    seed = c.filter("period = 0").select("period", "c", F.format_string("%06d", F.col("c") + 500).alias("lineage"))
+    return matcher.match(c, match_members(s, d), seed).withColumn("score", F.round("score", 6))
+
+
+@query("match_summary")
+def match_summary(s, d):
+    return matcher.summary(matcher.match(cents(s, d), match_members(s, d)))
 
 
 plain("auc_rank", "WITH x AS (SELECT quality, n_chars FROM {labels} JOIN {documents} USING (doc_id) WHERE quality IS NOT NULL), r AS (SELECT quality, (rank() OVER (ORDER BY n_chars) + (rank() OVER (ORDER BY n_chars) + count(*) OVER (PARTITION BY n_chars) - 1)) / 2.0 AS rk FROM x) SELECT round(CAST((sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - sum(quality) * (sum(quality) + 1) / 2.0) / (sum(quality) * sum(1 - quality)) AS DOUBLE), 6) AS auc FROM r")

@@ -1,4 +1,4 @@
-"""Splits and mergers over embeddings (four observations of a chunk, one a period), durations and small-cluster queries."""
+"""Splits and mergers over four periods, durations and small-cluster queries."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import splits as ops
 from driftloom.operators.lineage import SPLIT, WEAK
-from driftloom.plans.core import plain, query, table
+from driftloom.plans.core import plain, query
 from driftloom.plans.discovery import CAND, match_candidates
+from driftloom.plans.observed import OBS, observed
 from driftloom.plans.panel import PANEL
 
-MEMBERS = "members AS (SELECT vec_id % 4 AS period, label AS c, vec_id // 4 AS chunk, CAST(embedding[1] AS DOUBLE) AS w FROM embeddings WHERE label IS NOT NULL)"
+MEMBERS = "members AS (SELECT period, c, chunk, v[1] AS w FROM obs)"
 CORE = "core AS (SELECT m.* FROM members m JOIN (SELECT period, quantile_cont(w, 0.5) AS median FROM members GROUP BY period) USING (period) WHERE w >= median)"
 
 
@@ -33,11 +34,10 @@ def jointly(name: str, of: str, whole: str, part: str) -> str:
 
 
 def members(s, d):
-    e = table(s, d, "embeddings").filter("label is not null")
-    return e.select((F.col("vec_id") % 4).alias("period"), F.col("label").alias("c"), F.floor(F.col("vec_id") / 4).alias("chunk"), F.get("embedding", F.lit(0)).cast("double").alias("w"))
+    return observed(s, d).select("period", "c", "chunk", F.get("v", F.lit(0)).alias("w"))
 
 
-@query("member_overlap", f"WITH {MEMBERS}, {pairs('al', 'members')} SELECT * FROM al")
+@query("member_overlap", f"WITH {OBS}, {MEMBERS}, {pairs('al', 'members')} SELECT * FROM al")
 def member_overlap(s, d):
     return ops.overlap(members(s, d))
 
@@ -48,7 +48,7 @@ def composite_score(s, d):
 
 
 #: Candidates of these queries: any pair of clusters that share a member.
-TIES = f"{MEMBERS}, ties AS (SELECT DISTINCT a.period, a.c AS child, b.c AS parent FROM members a JOIN members b ON a.period = b.period + 1 AND a.chunk = b.chunk)"
+TIES = f"{OBS}, {MEMBERS}, ties AS (SELECT DISTINCT a.period, a.c AS child, b.c AS parent FROM members a JOIN members b ON a.period = b.period + 1 AND a.chunk = b.chunk)"
 
 
 def ties(s, d):

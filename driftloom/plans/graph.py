@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters, local_graph
+from driftloom.operators import clusters, gaps, local_graph
 from driftloom.operators.knn import knn
 from driftloom.plans.core import query, table
 
@@ -35,7 +35,7 @@ SIZES = "sizes AS (SELECT c, count(*) AS n FROM members GROUP BY c)"
 MEASURES = """measures AS (SELECT m.id, m.c, round(coalesce(avg(1 - sim), 0), 6) AS point_density, round(1 - coalesce(avg(1 - sim), 0), 6) AS mean_similarity,
   round(coalesce(avg(CASE WHEN ca <> cb THEN 1.0 ELSE 0.0 END) FILTER (WHERE src IS NOT NULL), 0), 6) AS boundary_score,
   round(coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END / (avg(1 - sim) + 1e-9), 0), 6) AS uncertainty,
-  round(coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END, 0), 6) AS boundary_proximity
+  round(coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END, 0), 6) AS boundary_proximity, round(1 / greatest(coalesce(avg(1 - sim), 0), 1e-9), 6) AS energy
   FROM members m LEFT JOIN both_ends ON src = m.id GROUP BY m.id, m.c)"""
 CENTS = "cents AS (SELECT c, list(m ORDER BY i) AS centroid FROM (SELECT label AS c, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2) GROUP BY c)"
 FEDGE = """SELECT ca AS cluster_a, cb AS cluster_b, n_shared_edges, round(na / a.n, 6) AS overlap_a, round(nb / b.n, 6) AS overlap_b, greatest(round(na / a.n, 6), round(nb / b.n, 6)) AS overlap
@@ -82,10 +82,10 @@ def cluster_centroids(s, d):
 
 @query("void_pairs", f"""WITH {E}, {BOTH}, {CENTS}, cn AS (SELECT c, centroid, sqrt(list_inner_product(centroid, centroid)) AS n FROM cents),
   near AS (SELECT a.c AS a, b.c AS b, 1 - list_inner_product(a.centroid, b.centroid) / (a.n * b.n) AS distance FROM cn a JOIN cn b ON a.c < b.c)
-  SELECT a, b, round(distance, 6) AS distance FROM near WHERE distance <= 1.2 AND NOT EXISTS (SELECT 1 FROM both_ends x WHERE src < dst AND ((ca = a AND cb = b) OR (ca = b AND cb = a)))""")
+  SELECT a, b, round(distance, 6) AS distance FROM near WHERE distance <= 1.2 AND NOT EXISTS (SELECT 1 FROM both_ends x WHERE src < dst AND rank <= 1 AND sim > 0.45 AND ((ca = a AND cb = b) OR (ca = b AND cb = a)))""")
 def void_pairs(s, d):
     cents = clusters.centroids(emb(s, d).filter("label is not null"), "label", "embedding")
-    return clusters.voids(cents, cluster_edges(s, d), 1.2)
+    return clusters.voids(cents, clusters.cluster_edges(edges(s, d).filter("rank <= 1 and sim > 0.45"), members(s, d)), 1.2)
 
 
 @query("member_measures", f"WITH {E}, {BOTH}, {MEASURES} SELECT * FROM measures")
@@ -167,3 +167,83 @@ def cluster_geometry(s, d):
 @query("intrinsic_dim")
 def intrinsic_dim(s, d):
     return local_graph.intrinsic_dim(edges(s, d), emb(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+
+
+@query("distance_to_centroid", f"WITH unit AS ({UNIT}), {CENTS} SELECT id, unit.c, round(1 - list_inner_product(u, centroid), 6) AS distance_to_centroid FROM unit JOIN cents ON unit.c = cents.c")
+def distance_to_centroid(s, d):
+    e = emb(s, d)
+    cents = clusters.centroids(e.filter("label is not null"), "label", "embedding")
+    out = clusters.centroid_distances(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), members(s, d), cents)
+    return out.withColumn("distance_to_centroid", F.round("distance_to_centroid", 6))
+
+
+#: Some vectors are taken out of their clusters, and cluster 9 is cut down to two, so that there is dark matter.
+KEPT = "kept AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN NULL WHEN label = 9 AND r > 2 THEN -1 ELSE label END AS c FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id % 10 = 0, vec_id) AS r FROM embeddings))"
+
+
+def kept(s, d):
+    from pyspark.sql.window import Window
+
+    r = F.row_number().over(Window.partitionBy("label").orderBy(F.col("vec_id") % 10 == 0, "vec_id"))
+    c = F.when(F.col("vec_id") % 10 == 0, None).when((F.col("label") == 9) & (F.col("r") > 2), -1).otherwise(F.col("label"))
+    return emb(s, d).withColumn("r", r).select(F.col("vec_id").alias("id"), c.alias("c"), F.col("embedding").alias("v"))
+
+
+DARK = f"{KEPT}, sz AS (SELECT c, count(*) AS n FROM kept GROUP BY c), marked AS (SELECT id, kept.c, kept.c IS NULL OR kept.c = -1 OR coalesce(n, 0) <= 2 AS is_dark_matter FROM kept LEFT JOIN sz ON kept.c = sz.c)"
+
+
+@query("dark_matter", f"WITH {DARK} SELECT * FROM marked")
+def dark_matter(s, d):
+    return gaps.dark_matter(kept(s, d).select("id", "c"))
+
+
+GAPS = f"""WITH {E}, {DARK}, gm AS (SELECT id, c FROM marked WHERE c IS NOT NULL AND c <> -1), ends AS (SELECT e.*, x.c AS ca, y.c AS cb FROM edges e JOIN gm x ON e.src = x.id JOIN gm y ON e.dst = y.id),
+cn AS (SELECT c, list(m ORDER BY i) AS m FROM (SELECT c, i, avg(x) AS m FROM (SELECT gm.c, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x FROM gm JOIN unit USING (id)) GROUP BY 1, 2) GROUP BY c),
+pt AS (SELECT a, b, cd, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS mid FROM (SELECT p.c AS a, q.c AS b, 1 - list_inner_product(p.m, q.m) AS cd, list_transform(list_zip(p.m, q.m), lambda z: z[1] + z[2]) AS s FROM cn p JOIN cn q ON p.c < q.c)),
+near AS (SELECT a, b, k.id, is_dark_matter, round(1 - list_inner_product(u, mid), 9) AS dd FROM pt, marked k JOIN unit ON unit.id = k.id),
+per AS (SELECT a, b, min(dd) AS void_depth, arg_min(is_dark_matter, (dd, id)) AS nearest_is_dark, count(*) FILTER (WHERE is_dark_matter AND dd < 0.9) AS n_dark_near FROM near GROUP BY 1, 2),
+nd AS (SELECT count(*) AS n_dark FROM marked WHERE is_dark_matter), gs AS (SELECT c, count(*) AS n FROM gm GROUP BY c),
+fr AS (SELECT cn.c, count(*) FILTER (WHERE round(1 - list_inner_product(u, m), 9) < 0.95) / any_value(n) AS f, any_value(n) AS n FROM cn JOIN gs USING (c), marked k JOIN unit ON unit.id = k.id WHERE is_dark_matter GROUP BY cn.c),
+bs AS (SELECT gm.id, gm.c, coalesce(avg(CASE WHEN ca <> cb THEN 1.0 ELSE 0.0 END) FILTER (WHERE src IS NOT NULL), 0) > 0.9 AS edge FROM gm LEFT JOIN ends ON src = gm.id GROUP BY 1, 2),
+em AS (SELECT id, c FROM (SELECT *, bool_or(edge) OVER (PARTITION BY c) AS any_edge FROM bs) WHERE edge OR NOT any_edge),
+bd AS (SELECT x.c AS a, y.c AS b, min(round(1 - list_inner_product(p.u, q.u), 9)) AS boundary_distance FROM em x JOIN em y ON x.c < y.c JOIN unit p ON p.id = x.id JOIN unit q ON q.id = y.id GROUP BY 1, 2),
+tw AS (SELECT ca, cb, count(DISTINCT src) AS k FROM (SELECT ca, cb, src FROM ends WHERE ca <> cb UNION ALL SELECT cb, ca, dst FROM ends WHERE ca <> cb) GROUP BY 1, 2)
+SELECT pt.a AS cluster_a, pt.b AS cluster_b, round(cd, 6) AS centroid_distance, round(boundary_distance, 6) AS boundary_distance, round(void_depth, 6) AS void_depth, n_dark_near, round(CASE WHEN n_dark_near > 0 THEN n_dark_near / (0.81 * n_dark + 1e-9) ELSE 0 END, 6) AS dark_density_near,
+  round(fa.f, 6) AS fringe_density_a, round(fb.f, 6) AS fringe_density_b, round(coalesce(w1.k / fa.n, 0), 6) AS weight_ab, round(coalesce(w2.k / fb.n, 0), 6) AS weight_ba, round(greatest(coalesce(w1.k / fa.n, 0), coalesce(w2.k / fb.n, 0)), 6) AS connection_weight,
+  fa.n AS size_a, fb.n AS size_b, nearest_is_dark, CASE WHEN greatest(coalesce(w1.k / fa.n, 0), coalesce(w2.k / fb.n, 0)) > 0.15 THEN 'bridge' WHEN n_dark_near >= 3 THEN 'proto_cluster' WHEN n_dark_near > 0 OR fa.f > 0.1 OR fb.f > 0.1 THEN 'fringe' ELSE 'void' END AS gap_type
+FROM pt JOIN per USING (a, b) JOIN fr fa ON fa.c = pt.a JOIN fr fb ON fb.c = pt.b LEFT JOIN bd USING (a, b) LEFT JOIN tw w1 ON w1.ca = pt.a AND w1.cb = pt.b LEFT JOIN tw w2 ON w2.ca = pt.b AND w2.cb = pt.a, nd"""
+
+
+@query("gap_pairs", GAPS)
+def gap_pairs(s, d):
+    """Radii are wide, as random vectors are far from each other."""
+    from driftloom.functions.vectors import normalised
+    from driftloom.operators import geometry
+
+    rows = kept(s, d).select("c", F.col("id").alias("chunk"), normalised(F.col("v")).alias("v"))
+    real = rows.filter("c is not null and c <> -1")
+    cents = geometry.means(real, ["c"]).select("c", "m")
+    gm = real.select(F.col("chunk").alias("id"), "c")
+    e = clusters.labelled(edges(s, d), gm)
+    score = e.groupBy(F.col("src").alias("chunk")).agg(F.avg((F.col("ca") != F.col("cb")).cast("double")).alias("boundary_score"))
+    weights = gaps.touching(e, gm)
+    out = gaps.gaps(rows, cents, weights, score, void_radius=0.9, fringe_radius=0.95, boundary_least=0.9)
+    names = ["centroid_distance", "boundary_distance", "void_depth", "dark_density_near", "fringe_density_a", "fringe_density_b", "weight_ab", "weight_ba", "connection_weight"]
+    return out.withColumns({n: F.round(n, 6) for n in names})
+
+
+PROP = f"""WITH {E}, adj AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) JOIN members x ON x.id = src JOIN members y ON y.id = dst WHERE x.c = y.c),
+st AS (SELECT c, id AS s FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5(CAST(id AS VARCHAR)), id) AS k FROM members) WHERE k <= 20),
+h1 AS (SELECT DISTINCT c, s, dst AS t FROM st JOIN adj ON src = s), h2 AS (SELECT DISTINCT c, s, dst AS t FROM h1 JOIN adj ON src = h1.t EXCEPT SELECT c, s, t FROM h1 EXCEPT SELECT c, s, s FROM st),
+h3 AS (SELECT DISTINCT c, s, dst AS t FROM h2 JOIN adj ON src = h2.t EXCEPT SELECT c, s, t FROM h2 EXCEPT SELECT c, s, t FROM h1 EXCEPT SELECT c, s, s FROM st),
+al AS (SELECT c, s, t, 1 AS hop FROM h1 WHERE s <> t UNION ALL SELECT c, s, t, 2 FROM h2 UNION ALL SELECT c, s, t, 3 FROM h3),
+mn AS (SELECT al.c, avg(list_inner_product(a.u, b.u)) FILTER (WHERE hop = 1) AS m1, avg(list_inner_product(a.u, b.u)) FILTER (WHERE hop = 2) AS m2, avg(list_inner_product(a.u, b.u)) FILTER (WHERE hop = 3) AS m3 FROM al JOIN unit a ON a.id = s JOIN unit b ON b.id = t GROUP BY 1)
+SELECT z.c, round(CASE WHEN n >= 5 AND m2 IS NOT NULL THEN (m3 - m1) / 2 END, 6) AS propagation_speed FROM (SELECT c, count(*) AS n FROM members GROUP BY c) z LEFT JOIN mn USING (c)"""
+
+
+@query("propagation_speed", PROP)
+def propagation_speed(s, d):
+    from driftloom.functions.vectors import normalised
+
+    u = emb(s, d).select(F.col("vec_id").alias("id"), normalised(F.col("embedding")).alias("u"))
+    return gaps.propagation(edges(s, d), members(s, d), u).withColumn("propagation_speed", F.round("propagation_speed", 6))

@@ -14,7 +14,7 @@ plain("lateral_pick", "SELECT p_partkey, max_price, suppliers FROM {part} LEFT J
 plain("next_period", f"WITH {PANEL}, p AS (SELECT DISTINCT period FROM panel) SELECT period, lead(period) OVER (ORDER BY period) AS next_period, lag(period) OVER (ORDER BY period) AS previous_period FROM p")
 plain("horizon_pivot", f"WITH {PANEL}, k AS (SELECT lineage, size, row_number() OVER (PARTITION BY lineage ORDER BY period DESC) AS h FROM panel) SELECT lineage, max(CASE WHEN h = 1 THEN size END) AS h1, max(CASE WHEN h = 2 THEN size END) AS h2, max(CASE WHEN h = 3 THEN size END) AS h3 FROM k GROUP BY lineage")
 plain("semi_by_codes", "SELECT o_orderkey, o_custkey FROM {orders} WHERE EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = o_custkey AND c_mktsegment LIKE 'B%')")
-plain("anti_insert", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+plain("anti_insert", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderdate < TIMESTAMP '1996-01-01')")
 OLD = "old AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS v FROM {customer} WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey AS k, upper(c_name) AS v FROM {customer} WHERE c_custkey % 5 <> 0)"
 plain("upsert_keep", f"WITH {OLD} SELECT k, v FROM old UNION ALL SELECT k, v FROM new WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.k = new.k)")
 plain("upsert_fill_null", f"WITH {OLD} SELECT coalesce(old.k, new.k) AS k, coalesce(old.v, new.v) AS v FROM old FULL OUTER JOIN new ON old.k = new.k")
