@@ -40,26 +40,3 @@ plain("prefix_counts", "SELECT p AS prefix, count(*) AS n FROM {part} JOIN (SELE
 plain("default_config", "SELECT source, count(*) AS n, CASE WHEN count(*) < 50 THEN 0.5 ELSE 0.3 END AS void_threshold, CASE WHEN count(*) < 40 THEN 8 ELSE 16 END AS k FROM {documents} GROUP BY source")
 plain("person_dimension", "SELECT lower(trim(c_name)) AS name, c_nationkey AS country, min(c_custkey) AS person_id, count(*) AS n FROM {customer} GROUP BY 1, 2")
 plain("family_dedup", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey) AS k FROM {orders}) WHERE k = 1 AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)")
-
-# Works of several sources: seeds by DOI, then links by DOI, PMID and PMCID in turn, then facts where they are missing.
-WORKS = """oa AS (SELECT nullif(lower(trim(CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat(' 10.1/', upper(c_name)) END)), '') AS doi, CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS pmid, c_custkey AS id FROM {customer} WHERE c_custkey % 2 = 0),
-  pm AS (SELECT nullif(lower(trim(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('10.1/', c_name) END)), '') AS doi, c_custkey AS pmid, c_mktsegment AS journal FROM {customer} WHERE c_custkey % 3 = 0),
-  ep AS (SELECT CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE lower(concat('10.1/', c_name)) END AS doi, CASE WHEN c_custkey % 6 = 0 THEN c_custkey END AS pmid, concat('PMC', CAST(c_custkey AS VARCHAR(20))) AS pmcid FROM {customer} WHERE c_custkey % 5 = 0),
-  seed AS (SELECT doi, min(id) AS id FROM oa WHERE doi IS NOT NULL GROUP BY doi UNION ALL SELECT NULL, id FROM oa WHERE doi IS NULL),
-  s1 AS (SELECT s.doi, oa.pmid, s.id FROM seed s JOIN oa ON s.id = oa.id),
-  p1 AS (SELECT doi, min(pmid) AS pmid FROM pm WHERE doi IS NOT NULL GROUP BY doi),
-  s2 AS (SELECT s1.doi, coalesce(s1.pmid, p1.pmid) AS pmid, concat('W', CAST(id AS VARCHAR(20))) AS work FROM s1 LEFT JOIN p1 ON s1.doi = p1.doi),
-  s3 AS (SELECT doi, pmid, work FROM s2 UNION ALL SELECT doi, pmid, concat('PMID:', CAST(pmid AS VARCHAR(20))) FROM pm WHERE NOT EXISTS (SELECT 1 FROM s2 WHERE s2.pmid = pm.pmid)),
-  byd AS (SELECT doi, min(work) AS work FROM s3 WHERE doi IS NOT NULL GROUP BY doi), byp AS (SELECT pmid, min(work) AS work FROM s3 WHERE pmid IS NOT NULL GROUP BY pmid),
-  link AS (SELECT ep.pmcid, ep.doi, ep.pmid, coalesce(byd.work, byp.work, concat('PMC:', ep.pmcid)) AS work, CASE WHEN byd.work IS NOT NULL THEN 'doi' WHEN byp.work IS NOT NULL THEN 'pmid' ELSE 'new' END AS how FROM ep LEFT JOIN byd ON ep.doi = byd.doi LEFT JOIN byp ON ep.pmid = byp.pmid)"""
-plain("identity_seed", f"WITH {WORKS} SELECT doi, id FROM seed")
-plain("identity_pubmed", f"WITH {WORKS} SELECT doi, pmid, work FROM s3")
-plain("identity_link", f"WITH {WORKS} SELECT pmcid, work, how FROM link")
-FULL = "works AS (SELECT s3.work, max(s3.doi) AS doi, max(s3.pmid) AS pmid, max(l.pmcid) AS pmcid FROM s3 LEFT JOIN link l ON s3.work = l.work GROUP BY s3.work UNION ALL SELECT work, doi, pmid, pmcid FROM link WHERE how = 'new')"
-plain("identity_enrich", f"WITH {WORKS}, {FULL}, j AS (SELECT pmid, min(journal) AS journal FROM pm GROUP BY pmid) SELECT work, doi, works.pmid, pmcid, journal, pmcid IS NOT NULL AS has_fulltext FROM works LEFT JOIN j ON works.pmid = j.pmid")
-plain("identity_coverage", f"WITH {WORKS}, {FULL} SELECT count(*) AS n, count(doi) AS with_doi, count(pmid) AS with_pmid, count(pmcid) AS with_pmcid FROM works")
-plain(
-    "ordered_sections",
-    "SELECT conv_id, array_join(transform(array_sort(collect_list(named_struct('t', turn, 'x', coalesce(text, '')))), s -> s.x), '\\n\\n') AS body, count(*) AS n FROM {conversations} GROUP BY conv_id",
-    "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, coalesce(text, '')) AS body, count(*) AS n FROM {conversations} GROUP BY conv_id",
-)
