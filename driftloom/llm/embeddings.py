@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by tiled comparison in the order of principal components.
 
 Equal vectors of a label become one class first, so a group of copies costs one vector. Classes are dealt, label by
-label, along the first principal component into tiles of bounded size. Two tiles are compared only if the boxes around
-their rotated unit vectors come near enough. In a comparison the leading dimensions are summed first; what the rest can
+label, along the first principal component into tiles of bounded size, by a histogram of BINS places. Two tiles are
+compared only if the boxes around their rotated unit vectors come near enough; boxes are met in blocks of about BLOCK, so
+that no task holds all of a label. In a comparison the leading dimensions are summed first; what the rest can
 add is at most the product of the two suffix norms, and pairs that can't reach the threshold so are left. Each pair is
 met in exactly one pair of tiles: the tile pair returns sums of links and a spanning forest, never the pairs.
 
@@ -17,28 +18,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from driftloom.llm.common import stored
 from driftloom.llm.components import components
 
 TILE = 1024
+#: Places along the first component on each side of 0, and tiles of a block of boxes.
+BINS, BLOCK = 4096, 512
 #: Leading dimensions of the first step, then so many more a step.
 STEP = 16
 #: Nearer to the threshold than this, the cosine is taken again from the vectors as they came.
 CLOSE = 1e-9
 
 
-def unit(rows: np.ndarray) -> np.ndarray:
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """The rows in double precision times a power of two each, so that no square of theirs runs over or under."""
     rows = rows.astype(np.float64)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of corresponding rows, in double precision."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    a, b = scaled(a), scaled(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
+def number_type(vectors: DataFrame, column: str) -> str:
+    """Of stored components: float for vectors of floats, else double."""
+    return "float" if isinstance(vectors.schema[column].dataType.elementType, T.FloatType) else "double"
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, turn: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs with cosine >= threshold; for one tile with itself, those with i < j."""
     x, y = unit(a) @ turn, unit(b) @ turn
@@ -101,32 +117,22 @@ def principal(classes: DataFrame, dims: int) -> np.ndarray:
 
 def tiles_of(classes: DataFrame, turn: np.ndarray) -> DataFrame:
     """(label, tile, ids, copies, vecs, low, high): each label's classes in tiles of at most about TILE."""
-    first = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(v)) for v in turn[:, 0]]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    placed = classes.withColumn("at", first / norm)
-    sizes = {r[0]: r[1] for r in placed.groupBy("label").count().collect()}  # one row a label
-    cuts = {}
-    for n in {-(-n // TILE) for n in sizes.values()} - {1}:
-        rows = placed.filter(F.col("label").isin([k for k, m in sizes.items() if -(-m // TILE) == n]))
-        for r in rows.groupBy("label").agg(F.percentile_approx("at", [k / n for k in range(1, n)], 20 * n).alias("c")).collect():
-            cuts[r["label"]] = list(r["c"])
-    sent = classes.sparkSession.sparkContext.broadcast(cuts)  # a number for each TILE classes
-
-    def part(batches):
-        for b in batches:
-            labels, at = b.column("label").to_pylist(), b.column("at").to_pylist()
-            made = pa.array([int(np.searchsorted(sent.value[k], x)) if k in sent.value else 0 for k, x in zip(labels, at, strict=True)], pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, "range"])
-
-    placed = stored(placed.mapInArrow(part, placed.selectExpr("*", "0 as range").schema))
-    counts = placed.groupBy("label", "range").count().withColumn("pieces", F.ceil(F.col("count") / (2 * TILE)).cast("int"))
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x))).cast("double")
+    first = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(v)) for v in turn[:, 0]]), lambda a, b: a / F.col("top") * b), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top"))))
+    placed = stored(classes.withColumn("top", top).withColumn("bin", F.floor(first / norm * BINS).cast("int")).drop("top"))
+    counted = placed.groupBy("label", "bin").count()
+    before = F.sum("count").over(Window.partitionBy("label").orderBy("bin")) - F.col("count")  # 2 * BINS rows a label at most
+    ranges = stored(counted.withColumn("range", F.floor(before / TILE).cast("int")))
     # many classes at one place of the axis: such a range is split by hash
-    wide = counts.filter("pieces > 1").select("label", "range", "pieces")
-    placed = placed.join(wide, ["label", "range"], "left").withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("rep"), F.col("pieces"))).otherwise(0).cast("int"))
+    sizes = ranges.groupBy("label", "range").agg(F.ceil(F.sum("count") / (2 * TILE)).cast("int").alias("pieces"))
+    ranges = stored(ranges.join(sizes, ["label", "range"]).select("label", "bin", "range", "pieces"))
+    placed = placed.join(ranges, ["label", "bin"]).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int"))
+    number = np.dtype(number_type(classes, "vec"))
     spin = classes.sparkSession.sparkContext.broadcast(turn)
 
     def one(t: pa.Table) -> pa.Table:
-        raw = np.array(t.column("vec").to_pylist(), np.float32)
+        raw = np.array(t.column("vec").to_pylist(), number)
         x = unit(raw) @ spin.value
         key = f"{t.column('range')[0].as_py():09d}-{t.column('piece')[0].as_py():06d}"
         return pa.table({
@@ -138,13 +144,16 @@ def tiles_of(classes: DataFrame, turn: np.ndarray) -> DataFrame:
     return stored(rows.applyInArrow(one, "label string, tile string, ids array<long>, copies array<long>, vecs binary, low array<double>, high array<double>"))
 
 
-def compared(tiles: DataFrame, turn: np.ndarray, threshold: float) -> DataFrame:
+def compared(tiles: DataFrame, turn: np.ndarray, threshold: float, number: str) -> DataFrame:
     """(u, v, n): u and v are linked if v is set; else n of u's links were found."""
-    boxes = tiles.select("label", "tile", "low", "high")
-    other = boxes.toDF("label", "tile2", "low2", "high2")
+    groups = -(-tiles.count() // BLOCK)
+    boxes = tiles.select("label", "tile", "low", "high", F.pmod(F.xxhash64("label", "tile"), F.lit(groups)).alias("g"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    other = boxes.toDF("label", "tile2", "low2", "high2", "g2").withColumn("g", every)
+    boxes = boxes.withColumn("g2", every)
     gap = F.zip_with(F.zip_with("low", "high2", lambda a, b: F.greatest(a - b, F.lit(0.0))), F.zip_with("low2", "high", lambda a, b: F.greatest(a - b, F.lit(0.0))), lambda a, b: F.greatest(a, b))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
-    pairs = boxes.join(other, "label").filter((F.col("tile") <= F.col("tile2")) & (apart <= 2 - 2 * threshold + CLOSE)).select("label", "tile", "tile2")
+    pairs = boxes.join(other, ["label", "g", "g2"]).filter((F.col("tile") <= F.col("tile2")) & (apart <= 2 - 2 * threshold + CLOSE)).select("label", "tile", "tile2")
     left = tiles.select("label", "tile", "ids", "copies", "vecs")
     right = left.toDF("label", "tile2", "ids2", "copies2", "vecs2")
     spin = tiles.sparkSession.sparkContext.broadcast(turn)
@@ -154,7 +163,7 @@ def compared(tiles: DataFrame, turn: np.ndarray, threshold: float) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 same = r["tile"] == r["tile2"]
-                x, y = (np.frombuffer(r[c], np.float32).reshape(-1, dims) for c in ("vecs", "vecs2"))
+                x, y = (np.frombuffer(r[c], number).reshape(-1, dims) for c in ("vecs", "vecs2"))
                 i, j = near_pairs(x, y, spin.value, threshold, same)
                 ids, ids2 = np.array(r["ids"], np.int64), np.array(r["ids2"], np.int64)
                 n = np.bincount(i, np.array(r["copies2"], np.float64)[j], len(ids)), np.bincount(j, np.array(r["copies"], np.float64)[i], len(ids2))
@@ -175,7 +184,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vec: str = "embedding",
     """One row per row of df: key, n_links, component_id, kept."""
     size = F.size(vec)
     good = F.col(label).isNotNull() & F.col(vec).isNotNull() & (size > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    v = F.col(vec).cast("array<float>")
+    v = F.col(vec).cast(f"array<{number_type(df, vec)}>")
     rows = df.select(
         F.col(key).alias("id"), F.when(F.coalesce(good, F.lit(False)), v).alias("vec"), F.concat_ws(":", F.col(label).cast("string"), size).alias("label"),
     ).withColumns({"h1": F.xxhash64("label", "vec"), "h2": F.xxhash64("vec", F.lit(1), "label")})
@@ -185,7 +194,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vec: str = "embedding",
     for (dims,) in classes.select("dims").distinct().collect():  # the lengths of vectors, as a rule one
         own = classes.filter(F.col("dims") == dims)
         turn = principal(own, dims)
-        one = compared(tiles_of(own, turn), turn, threshold)
+        one = compared(tiles_of(own, turn), turn, threshold, number_type(classes, "vec"))
         found = one if found is None else found.union(one)
     if found is None:
         return df.select(F.col(key), F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept"))
