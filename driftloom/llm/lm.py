@@ -1,12 +1,13 @@
 """Language-model scoring by logistic context mixing, bit by bit.
 
-Each bit of a text (and of an end byte) is predicted from hashed contexts: the last byte, the last two, three and five,
+Each bit of a text (and of its end) is predicted from hashed contexts: the last byte, the last two, three and five,
 and the word so far. A context's slot holds how often each half-byte followed it in the training texts; the predictor's input
-is the log odds of the next bit there. Inputs are combined by weights that the bit's place in its byte gates; after every
-byte the weights take a gradient step on the coding cost. As no two bits of a byte share weights, its eight bits and many
-texts go through numpy together. Weights are carried through the whole text. A last stage refines the mix: a bias for each
-bit's place and each range of the mixed log odds, which also learns from every byte. The tables of counts are fitted once
-and do not change while a text is scored.
+is the log odds of the next bit there. Inputs are combined by weights that the bit's place in its byte gates; TOGETHER
+bytes are predicted by the same weights, which then take a gradient step on the coding cost of all of them. As no two bits
+of a byte share weights, these bits and many texts go through numpy together. Weights are carried through the whole text.
+A last stage refines the mix: a bias for each bit's place and each range of the mixed log odds, which learns at the same
+steps (from the last bit of those that meet in a range). The tables of counts are fitted once and do not change while a
+text is scored. The end of a text is a byte that UTF-8 never holds, so the probabilities of all texts add up to one at most.
 
 The word model beside it counts every token of the training texts, with no cap. Tokens seen twice or more, the ``top``
 most frequent ones at most (12 bytes each), are broadcast; all others are looked up by an exact join, at every size.
@@ -22,44 +23,48 @@ rows that repeat are scored alike; without training rows the base score is 0; an
 
 from __future__ import annotations
 
-import fcntl
 import math
-import os
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow.fs import FileSystem
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import map_rows, shared_folder, small_batches, stored
-from driftloom.llm.wordhash import BASE, IS_WORD, MOD, Powers, blocks
+from driftloom.llm.common import laid_out, map_rows, shared_folder, small_batches, stored, stored_rows
+from driftloom.llm.wordhash import BASE, IS_WORD, STEP, Powers, blocks
 
 CONTEXTS = 5
 LEAST_BITS, HASH_BITS = 12, 32
+#: Of the slots of a page, in which a context and what follows its first half-bytes lie together.
+GROUP_BITS = 8
 #: Training bytes for each slot.
 SLOT_BYTES = 1 << 8
 #: Entries that a task holds before it sends them.
-HELD = 12_000_000
+HELD = 6_000_000
 BUFFER = 3 << 19
 #: Bytes of text that are sorted by length before they are scored.
 GATHER = 16 << 20
 RATE, START = 0.02, 0.3
 #: Of the refinement: its rate, and ranges of half a nat.
 BIAS_RATE, RANGES = 0.02, 24
-ONE, LEAST = np.float32(1), np.float32(1 / 4096)
+ONE = np.float32(1)
+#: The most that log odds come to: one in 4096.
+FAR = np.float32(math.log(4095))
 #: Bytes whose slots are worked out at a time.
 PIECE = 1 << 15
+#: Bytes of a text that are predicted by the same weights, before these learn from all of them.
+TOGETHER = 16
+_AHEAD = np.arange(TOGETHER)
+#: What ends a text: a byte that UTF-8 has no use for.
+LAST_BYTE = b"\xff"
 #: Hash of the end of a text, as a token.
 END = np.uint64(0x5851F42D4C957F2D)
 _LETTERS = Powers(BASE)
 
-#: The nodes, in a half-byte's tree of 15, that its four bits pass.
-_HALF = np.array([[1, 2 | v >> 3, 4 | v >> 2, 8 | v >> 1] for v in range(16)], np.int64)
+#: How far to shift a slot's low or high word for the nodes that a half-byte's second to fourth bit meets.
+_SECOND, _THIRD, _FOURTH = (np.array([8 * (node(v)) for v in range(16)], np.uint64) for node in (lambda v: 2 | v >> 3, lambda v: 4 | v >> 2, lambda v: v >> 1))
 #: 1 where its bit is a one, else -1.
 _SIGN = np.array([[1 if v >> b & 1 else -1 for b in (3, 2, 1, 0)] for v in range(16)], np.int8)
 #: The same by bytes.
@@ -86,10 +91,21 @@ def scramble(x: np.ndarray, bits: int) -> np.ndarray:
     return x
 
 
+def followed(slot: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The slot in which last half-bytes are counted, after a first one seen in slot: on the same page."""
+    low = high + high.dtype.type(1)
+    low *= low.dtype.type(0x9E3779B1)
+    low += slot * low.dtype.type(0x85EBCA77)
+    low &= low.dtype.type(0xFFFFFFFF)
+    low >>= low.dtype.type(32 - GROUP_BITS)
+    low |= slot >> slot.dtype.type(GROUP_BITS) << slot.dtype.type(GROUP_BITS)
+    return low
+
+
 def slots(data: np.ndarray, starts: np.ndarray, bits: int):
-    """(context, place, entries of the first halves, those of the last) by pieces of data that stay in cache.
+    """(context, place, entries) by pieces of data that stay in cache.
 
-    An entry is a slot's number and the half-byte seen there; starts: where texts begin in data.
+    An entry is a slot's number and the byte seen there; starts: where texts begin in data.
     """
     n = len(data)
     wide = data.astype(np.uint32)
@@ -112,38 +128,32 @@ def slots(data: np.ndarray, starts: np.ndarray, bits: int):
         opens[starts] = True
         first = np.flatnonzero(opens)
         size = np.diff(np.append(first, n))
-        return (((total[:-1] - np.repeat(total[first], size)) * np.repeat(_LETTERS.down[first], size)) >> np.uint64(29)).astype(np.uint32)
+        out = (total[:-1] - np.repeat(total[first], size)) * np.repeat(_LETTERS.down[first], size)
+        out *= np.uint64(STEP)  # or the first letters, which stand in the low bits, are lost
+        out >>= np.uint64(32)
+        return out.astype(np.uint32)
 
     b1 = back(1)
     two = b1 | back(2) << np.uint32(8)
     three = two | back(3) << np.uint32(16)
     five = three * np.uint32(0x01000193) ^ (back(4) | back(5) << np.uint32(8)) * np.uint32(0x27D4EB2F)
-    four = np.uint32(4)
     for k, context in enumerate((b1, two, three, five, words())):
         for a in range(0, n, PIECE):
             own = slice(a, min(a + PIECE, n))
-            byte = wide[own]
-            high = byte >> four
             h = context[own] + np.uint32(k + 1)
             h *= np.uint32(0x9E3779B1)
-            low = high + np.uint32(1)
-            low *= np.uint32(0x85EBCA77)
-            low += h
-            h, low = scramble(h, bits), scramble(low, bits)
-            if bits > 28:  # with the half-byte over 32 bits
-                h, low = h.astype(np.uint64), low.astype(np.uint64)
-                high, byte = high.astype(np.uint64), byte.astype(np.uint64)
-            h <<= h.dtype.type(4)
-            h |= high
-            low <<= low.dtype.type(4)
-            low |= byte & byte.dtype.type(15)
-            yield k, own, h, low
+            h = scramble(h, bits)
+            if bits > 24:  # with the byte over 32 bits
+                h = h.astype(np.uint64)
+            h <<= h.dtype.type(8)
+            h |= wide[own]
+            yield k, own, h
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts with an end byte each, and where each begins."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    return np.frombuffer(b"\0".join(texts) + b"\0", np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    return np.frombuffer(LAST_BYTE.join(texts) + LAST_BYTE, np.uint8), np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
 def portions(texts: list[bytes], most: int):
@@ -171,7 +181,7 @@ def tallied(entries: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.n
 
 
 class Tables:
-    """Counts of half-bytes by context and slot; only those that came are held."""
+    """Counts of bytes by context and slot; only those that came are held."""
 
     def __init__(self, bits: int):
         self.bits = bits
@@ -184,11 +194,11 @@ class Tables:
     def add(self, texts: list[bytes]) -> None:
         for a, b in portions(texts, BUFFER):
             data, starts = joined(texts[a:b])
-            seen = np.empty((2, len(data)), np.uint64 if self.bits > 28 else np.uint32)
-            for k, own, first, last in slots(data, starts, self.bits):
-                seen[0, own], seen[1, own] = first, last
+            seen = np.empty(len(data), np.uint64 if self.bits > 24 else np.uint32)
+            for k, own, entries in slots(data, starts, self.bits):
+                seen[own] = entries
                 if own.stop == len(data):
-                    now = tallied(seen.ravel())  # sorts a view: each context fills it anew
+                    now = tallied(seen)  # sorted in its place: each context fills it anew
                     self.made[k].append(now)
                     self.held += len(now[0])
 
@@ -199,18 +209,20 @@ class Tables:
 
     @property
     def counts(self) -> np.ndarray:
-        """All slots, for small tables."""
+        """Of half-bytes in all slots, for small tables."""
         out = np.zeros((CONTEXTS, 16 << self.bits), np.uint32)
         for k in range(CONTEXTS):
             at, n = self.totals(k)
-            out[k, at] = n
+            out[k] = spread(at.astype(np.uint64), n, 0, self.bits)
         return out
 
-    def parts(self):
-        """(context and part, packed entries and counts)."""
-        shift = part_bits(self.bits) + 4
+    def parts(self, last: bool = False):
+        """(context and part, packed entries and counts); last: what was held is let go on the way."""
+        shift = part_bits(self.bits) + 8
         for k in range(CONTEXTS):
             at, n = self.totals(k)
+            if last:
+                self.made[k] = []
             if not len(at):
                 continue
             part = (at >> at.dtype.type(shift)).astype(np.int64)
@@ -219,6 +231,15 @@ class Tables:
                 yield (k << 32) + int(part[a]), packed((at[a:b] & at.dtype.type((1 << shift) - 1)).astype(np.uint32), n[a:b])
 
 
+def spread(entries: np.ndarray, n: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """Of 2**bits slots, of which the first has this number: how often each half-byte came; entries go by slots from first on."""
+    slot, byte = entries >> np.uint64(8), entries & np.uint64(255)
+    high = byte >> np.uint64(4)
+    low = followed(slot + np.uint64(first), high) - np.uint64(first)
+    cells = np.concatenate([slot << np.uint64(4) | high, low << np.uint64(4) | byte & np.uint64(15)]).astype(np.int64)
+    return np.bincount(cells, np.concatenate([n, n]).astype(np.float64), 16 << bits)
+
+
 def packed(at: np.ndarray, n: np.ndarray) -> bytes:
     """Steps between rising places and counts, by bytes of equal weight, so that zeros lie together for the codec."""
     both = np.stack([np.diff(at, prepend=np.uint32(0)), n]).astype("<u4")
@@ -238,20 +259,12 @@ class Odds:
         self.bits, self.files, self.name = bits, files, f"driftloom-odds-{uuid.uuid4().hex}"
 
     def mapped(self) -> np.ndarray:
-        path = os.path.join(SparkFiles.getRootDirectory(), self.name)
-        with open(f"{path}.lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(path):
-                with open(f"{path}.new", "wb") as f:
-                    f.truncate(CONTEXTS * 16 << self.bits)
-                    for uri in self.files:
-                        fs, at = FileSystem.from_uri(uri)
-                        with fs.open_input_file(at) as source:
-                            for b in pq.ParquetFile(source).iter_batches(64, columns=["h", "odds"]):
-                                for h, odds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                                    f.seek(((h >> 32) * 16 << self.bits) + ((h & 0xFFFFFFFF) * 16 << part_bits(self.bits)))
-                                    f.write(odds)
-                os.rename(f"{path}.new", path)
+        def write(f) -> None:
+            for h, odds in stored_rows(self.files, ["h", "odds"]):
+                f.seek(((h >> 32) * 16 << self.bits) + ((h & 0xFFFFFFFF) * 16 << part_bits(self.bits)))
+                f.write(odds)
+
+        path = laid_out(self.name, CONTEXTS * 16 << self.bits, write)
         return np.memmap(path, np.int8, "r", shape=(CONTEXTS, 16 << self.bits))
 
 
@@ -272,16 +285,24 @@ class Mixer:
     def __init__(self, bits: int, odds: np.ndarray):
         """odds: CONTEXTS rows of slots of 16 log odds."""
         self.bits = bits
-        self.tables = [np.asarray(t) for t in odds]
+        self.tables = [np.asarray(t).view(np.complex128) for t in odds]  # a slot's 16 bytes are one item
 
     def passed(self, k: int, entries: np.ndarray) -> np.ndarray:
-        """The four log odds that each half-byte passes, in one word; of a zero with its sign changed: those of the bit that came."""
-        half = entries & entries.dtype.type(15)
-        at = _HALF.take(half, axis=0)
-        at += (entries ^ half).astype(np.int64)[:, None]
-        out = self.tables[k].take(at)
-        out *= _SIGN.take(half, axis=0)
-        return out.view(np.uint32)[:, 0]
+        """The eight log odds that each byte passes, in one word of bytes."""
+        byte = entries & entries.dtype.type(255)
+        slot = entries >> entries.dtype.type(8)
+        both = np.empty(2 * len(entries), np.int64)  # side by side, as a byte's two slots lie on one page
+        both[::2], both[1::2] = slot, followed(slot, byte >> byte.dtype.type(4))
+        half = np.empty(len(both), np.uint8)
+        half[::2], half[1::2] = byte >> byte.dtype.type(4), byte & byte.dtype.type(15)
+        slots = self.tables[k].take(both).view(np.uint64)
+        low, high = slots[::2], slots[1::2]
+        out = np.empty((len(both), 4), np.uint8)  # of nodes 1, 2 or 3, 4 to 7 and 8 to 15 of the slot's bytes
+        out[:, 0] = low >> np.uint64(8)
+        out[:, 1] = low >> _SECOND.take(half)
+        out[:, 2] = low >> _THIRD.take(half)
+        out[:, 3] = high >> _FOURTH.take(half)
+        return out.reshape(-1, 8).view(np.uint64)[:, 0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The log10 probability of each text with its end."""
@@ -294,70 +315,55 @@ class Mixer:
     def _scores(self, texts: list[bytes]) -> np.ndarray:
         data, starts = joined(texts)
         n = len(data)
-        inputs = np.empty((CONTEXTS, n, 2), np.uint32)
-        for k, own, first, last in slots(data, starts, self.bits):
-            inputs[k, own, 0] = self.passed(k, first)
-            inputs[k, own, 1] = self.passed(k, last)
-        inputs = inputs.view(np.uint64)[:, :, 0]
+        inputs = np.empty((CONTEXTS, n), np.uint64)
+        for k, own, entries in slots(data, starts, self.bits):
+            inputs[k, own] = self.passed(k, entries)
         ends = np.append(starts[1:], n)
         order = np.argsort(starts - ends, kind="stable")  # the longest first
         at, size = starts[order], (ends - starts)[order]
         lanes = len(order)
-        # one cell for each lane, place and range
-        bias = np.zeros(lanes * 8 * RANGES, np.float32)
-        cells = np.arange(lanes * 8).reshape(lanes, 8) * RANGES + RANGES // 2
-        bias_rate = np.float32(BIAS_RATE)
-        weights = np.full((CONTEXTS, lanes, 8), START / 16, np.float32)  # inputs are in sixteenths
-        rate = np.float32(RATE / 256)
-        likely = np.ones((lanes, 8), np.float32)
+        # the steps' arrays are of bytes, lanes and bits, so that what lanes and bits share is read in one run
+        bias = np.zeros(lanes * 8 * RANGES, np.float32)  # one cell for each lane, bit and range
+        cells = np.arange(lanes * 8) * RANGES + RANGES // 2
+        weights = np.full((CONTEXTS, lanes * 8), START / 16, np.float32)  # inputs are in sixteenths
+        rate, bias_rate = np.float32(RATE / 256), np.float32(BIAS_RATE)
+        room = np.empty(CONTEXTS * TOGETHER * lanes * 8, np.float32)
         cost = np.zeros(lanes)
-        came = np.empty(CONTEXTS * lanes, np.uint64)
-        x_all, y_all = (np.empty(CONTEXTS * lanes * 8, np.float32) for _ in range(2))
-        p_all = np.empty((lanes, 8), np.float32)
         live = lanes
-        for step in range(int(size[0])):
+        for step in range(0, int(size[0]), TOGETHER):
             while size[live - 1] <= step:
                 live -= 1
-            place = at[:live] + step
-            now = came[: CONTEXTS * live].reshape(CONTEXTS, live)
-            for i, own in zip(inputs, now, strict=True):
-                i.take(place, out=own, mode="clip")
-            x, y = (z[: CONTEXTS * live * 8].reshape(CONTEXTS, live, 8) for z in (x_all, y_all))
-            x[...] = now.view(np.int8).reshape(x.shape)
-            w, p = weights[:, :live], p_all[:live]
-            np.multiply(x, w, out=y)
-            np.add.reduce(y, axis=0, out=p)
-            sign = _SIGNS.take(data.take(place), axis=0)
-            cell = p * sign
-            cell *= np.float32(2)
+            left = size[:live] - step
+            place = at[:live] + step + np.minimum(_AHEAD[:, None], left - 1)
+            x = room[: CONTEXTS * TOGETHER * live * 8].reshape(CONTEXTS, TOGETHER, live * 8)
+            for i, own in zip(inputs, x, strict=True):
+                own[...] = i.take(place).view(np.int8)
+            w = weights[:, : live * 8]
+            p = np.einsum("kbm,km->bm", x, w)
+            sign = _SIGNS.take(data.take(place), axis=0).reshape(p.shape)
+            cell = p * np.float32(2)
             np.clip(cell, -RANGES // 2, RANGES // 2 - 1, out=cell)
             cell = np.floor(cell, out=cell).astype(np.int64)
-            cell += cells[:live]
+            cell += cells[: live * 8]
             old = bias.take(cell)
-            q = old * sign
-            q += p
-            # the probabilities of the bit that came, refined and not
-            for z in (p, q):
-                np.negative(z, out=z)
-                np.exp(z, out=z)
-                z += ONE
-                np.reciprocal(z, out=z)
-                np.maximum(z, LEAST, out=z)
-                np.minimum(z, ONE - LEAST, out=z)
-            likely[:live] *= q
-            if step % 8 == 7:  # eight factors stay in the range of floats
-                cost += np.log10(likely).sum(1)
-                likely.fill(1)
-            np.subtract(ONE, q, out=q)
-            q *= sign
-            q *= bias_rate
-            q += old
-            bias[cell] = q
+            p += old
+            p *= sign
+            # the probability of the bit that came
+            np.clip(p, -FAR, FAR, out=p)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
+            p += ONE
+            np.reciprocal(p, out=p)
+            if int(left[-1]) < TOGETHER or (left < TOGETHER).any():  # past the end of a text: nothing is paid or learnt
+                p[np.repeat(_AHEAD[:, None] >= left, 8, axis=1)] = ONE
+            for half in (p[: TOGETHER // 2], p[TOGETHER // 2 :]):  # eight factors stay in the range of floats
+                cost[:live] += np.log10(np.multiply.reduce(half, axis=0)).reshape(live, 8).sum(1)
             np.subtract(ONE, p, out=p)
+            p *= sign
+            old += p * bias_rate
+            bias[cell] = old
             p *= rate
-            x *= p
-            w += x
-        cost += np.log10(likely).sum(1)
+            w += np.einsum("kbm,bm->km", x, p)
         out = np.empty(lanes)
         out[order] = cost
         return out
@@ -391,10 +397,14 @@ def gathered(df: DataFrame, text: str, key: str, bits: int) -> DataFrame:
             return [np.zeros(len(h), np.int32), h.astype(np.int64), n, [None] * len(h)]
 
         def parts():
-            made = list(tables.parts())
+            now: list = []
+            for part in tables.parts(last=True):
+                now.append(part)
+                if len(now) == 100:
+                    yield [[1] * len(now), [h for h, _ in now], [0] * len(now), [b for _, b in now]]
+                    now = []
             tables.clear()
-            for a in range(0, len(made), 1000):
-                now = made[a : a + 1000]
+            if now:
                 yield [[1] * len(now), [h for h, _ in now], [0] * len(now), [b for _, b in now]]
 
         for ids, texts in batches:
@@ -425,15 +435,13 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", top: int = 3_000
     """(odds, token counts (h, n), the most frequent ones as sorted arrays, the least count among them, N, V)."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = bits_for(size)
-    cells = 16 << part_bits(bits)
     made = stored(gathered(df, text, key, bits))
     counts = stored(made.filter("kind = 0").groupBy("h").agg(F.sum("n").alias("n")))
 
     def added(t: pa.Table) -> pa.Table:
-        total = np.zeros(cells, np.uint64)
-        for b in t.column("blob").to_pylist():
-            at, n = unpacked(b)
-            total[at] += n
+        first = (t.column("h")[0].as_py() & 0xFFFFFFFF) << part_bits(bits)
+        at, n = (np.concatenate(x) for x in zip(*map(unpacked, t.column("blob").to_pylist()), strict=True))
+        total = spread(at.astype(np.uint64), n, first, part_bits(bits))
         return pa.table({"h": pa.array(t.column("h")[:1].to_pylist(), pa.int64()), "odds": pa.array([log_odds(total).tobytes()], pa.binary())})
 
     tables = stored(made.filter("kind = 1").groupBy("h").applyInArrow(added, "h long, odds binary"))
