@@ -76,22 +76,16 @@ def match_summary(s, d):
     return matcher.summary(matcher.match(cents(s, d), match_members(s, d)))
 
 
-plain("auc_rank", "WITH x AS (SELECT quality, n_chars FROM {labels} JOIN {documents} USING (doc_id) WHERE quality IS NOT NULL), r AS (SELECT quality, (rank() OVER (ORDER BY n_chars) + (rank() OVER (ORDER BY n_chars) + count(*) OVER (PARTITION BY n_chars) - 1)) / 2.0 AS rk FROM x) SELECT round(CAST((sum(CASE WHEN quality = 1 THEN rk ELSE 0 END) - sum(quality) * (sum(quality) + 1) / 2.0) / (sum(quality) * sum(1 - quality)) AS DOUBLE), 6) AS auc FROM r")
 plain("trajectory_fingerprint", f"WITH {PANEL}, l AS (SELECT lineage, period, size, value, lag(size, 3) OVER (PARTITION BY lineage ORDER BY period) AS size_3, lag(value, 3) OVER (PARTITION BY lineage ORDER BY period) AS value_3, row_number() OVER (PARTITION BY lineage ORDER BY period DESC) AS k FROM panel) SELECT lineage, period, size, value, size_3, value_3 FROM l WHERE k = 1 AND size_3 IS NOT NULL")
 plain("terminal_rates", f"WITH {PANEL}, l AS (SELECT lineage, size, row_number() OVER (PARTITION BY lineage ORDER BY period DESC) AS k FROM panel) SELECT substr(lineage, 1, 4) AS archetype, round(avg(CASE WHEN size < 5 THEN 1.0E0 ELSE 0.0E0 END), 6) AS death_rate, count(*) AS n FROM l WHERE k = 1 GROUP BY 1")
 ITEMS = f"""{PANEL}, nx AS (SELECT *, lead(size) OVER (PARTITION BY lineage ORDER BY period) AS size_next, avg(size) OVER (PARTITION BY lineage) AS ms, avg(value) OVER (PARTITION BY lineage) AS mv, lag(size) OVER (PARTITION BY lineage ORDER BY period) AS size_before FROM panel),
   tx AS (SELECT concat(lineage, CAST(period AS VARCHAR(20))) AS t, size > ms AS a, value > mv AS b, size_before > size AS c, size_next > size AS y FROM nx WHERE size_next IS NOT NULL AND size_before IS NOT NULL),
   items AS (SELECT t, y, 'large' AS item FROM tx WHERE a UNION ALL SELECT t, y, 'dear' FROM tx WHERE b UNION ALL SELECT t, y, 'shrank' FROM tx WHERE c)"""
-plain("rule_mining", f"WITH {ITEMS}, sets AS (SELECT t, y, item AS s FROM items UNION ALL SELECT i.t, i.y, concat(i.item, '+', j.item) FROM items i JOIN items j ON i.t = j.t AND i.item < j.item), n AS (SELECT count(*) AS n, sum(CASE WHEN y THEN 1 ELSE 0 END) * 1.0E0 / count(*) AS base FROM tx), r AS (SELECT s, count(*) AS k, sum(CASE WHEN y THEN 1 ELSE 0 END) AS hit FROM sets GROUP BY s) SELECT s AS antecedent, round(hit * 1.0E0 / n, 6) AS support, round(hit * 1.0E0 / k, 6) AS confidence, round(hit * 1.0E0 / k / base, 6) AS lift, round(hit * 1.0E0 / k / base * hit / k, 6) AS score FROM r CROSS JOIN n WHERE hit * 1.0E0 / n >= 0.03")
 plain("rule_overlap", f"WITH {ITEMS}, g AS (SELECT substr(t, 1, 4) AS corpus, item, avg(CASE WHEN y THEN 1.0E0 ELSE 0.0E0 END) AS conf FROM items GROUP BY 1, 2) SELECT item, count(*) AS n_corpora, round(avg(conf), 6) AS mean_confidence FROM g GROUP BY item HAVING count(DISTINCT corpus) >= 2")
 plain("survival_dataset", f"WITH {PANEL}, m AS (SELECT max(period) AS last FROM panel), k AS (SELECT *, row_number() OVER (PARTITION BY lineage ORDER BY period) AS i FROM panel) SELECT lineage, count(*) AS duration, max(period) < any_value(last) AS observed_death, max(CASE WHEN i = 1 THEN size END) AS entry_size, max(CASE WHEN i = 1 THEN value END) AS entry_value FROM k CROSS JOIN m GROUP BY lineage")
 plain("kaplan_meier", "WITH life AS (SELECT o_custkey, count(*) AS t, max(o_orderdate) < TIMESTAMP '2001-01-01' AS d FROM {orders} GROUP BY o_custkey), e AS (SELECT t, sum(CASE WHEN d THEN 1 ELSE 0 END) AS dead, count(*) AS leaving FROM life GROUP BY t), r AS (SELECT t, dead, sum(leaving) OVER (ORDER BY t DESC) AS at_risk FROM e) SELECT t, dead, at_risk, round(exp(sum(ln(CASE WHEN dead = at_risk THEN 1e-12 ELSE 1 - dead * 1.0E0 / at_risk END)) OVER (ORDER BY t)), 6) AS survival FROM r")
-LAWS = f"""{PANEL}, x AS (SELECT lineage, period, size, value, lead(size) OVER (PARTITION BY lineage ORDER BY period) AS nxt FROM panel), q AS (SELECT {{p}}(size, 0.25) AS s25, {{p}}(value, 0.75) AS v75 FROM panel),
-  law AS (SELECT 'small_dies' AS law, nxt < size AS hit FROM x CROSS JOIN q WHERE nxt IS NOT NULL AND size <= s25 UNION ALL SELECT 'dear_grows', nxt > size FROM x CROSS JOIN q WHERE nxt IS NOT NULL AND value >= v75)"""
-BACK = "SELECT law, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS confirmed, sum(CASE WHEN hit THEN 0 ELSE 1 END) AS refuted, sum(CASE WHEN hit THEN 1 ELSE 0 END) > sum(CASE WHEN hit THEN 0 ELSE 1 END) AS is_confirmed, round(avg(CASE WHEN hit THEN 1.0E0 ELSE 0.0E0 END), 4) AS rate FROM law GROUP BY law"
-plain("law_backtest", f"WITH {LAWS.replace('{p}', 'percentile')} {BACK}", f"WITH {LAWS.replace('{p}', 'quantile_cont')} {BACK}")
 plain("confirmation_rate", "SELECT event_type, round(count(*) FILTER (WHERE value > 50) * 1.0E0 / count(*), 4) AS rate, count(*) AS n FROM {events} GROUP BY event_type")
-plain("hop_mean", "WITH f AS (SELECT c_nationkey AS n, avg(c_acctbal) AS x FROM {customer} GROUP BY 1), e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity > 45), h1 AS (SELECT a AS n, avg(x) AS x FROM e JOIN f ON b = f.n GROUP BY a), h2 AS (SELECT a AS n, avg(x) AS x FROM e JOIN h1 ON b = h1.n GROUP BY a) SELECT f.n, round(f.x, 4) AS x0, round(h1.x, 4) AS x1, round(h2.x, 4) AS x2 FROM f LEFT JOIN h1 ON f.n = h1.n LEFT JOIN h2 ON f.n = h2.n")
+plain("hop_mean", "WITH f AS (SELECT c_nationkey AS n, avg(c_acctbal) AS x FROM {customer} GROUP BY 1), e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey), h1 AS (SELECT a AS n, avg(x) AS x FROM e JOIN f ON b = f.n GROUP BY a), h2 AS (SELECT a AS n, avg(x) AS x FROM e JOIN h1 ON b = h1.n GROUP BY a) SELECT f.n, round(f.x, 4) AS x0, round(h1.x, 4) AS x1, round(h2.x, 4) AS x2 FROM f LEFT JOIN h1 ON f.n = h1.n LEFT JOIN h2 ON f.n = h2.n")
 plain("baseline_r2", f"WITH {PANEL}, x AS (SELECT CAST(size AS DOUBLE) AS size, CAST(lead(size) OVER (PARTITION BY lineage ORDER BY period) AS DOUBLE) AS nxt FROM panel) SELECT round(power(corr(size, nxt), 2), 5) AS r2 FROM x WHERE nxt IS NOT NULL")
 plain("metric_unpivot", f"WITH {PANEL}, m AS (SELECT period, CAST(count(*) AS DOUBLE) AS clusters, CAST(sum(size) AS DOUBLE) AS total, round(avg(value), 3) AS value FROM panel GROUP BY period) SELECT period, 'clusters' AS metric, clusters AS x FROM m UNION ALL SELECT period, 'total', total FROM m UNION ALL SELECT period, 'value', value FROM m")
 plain("class_weight", "SELECT round(sum(1 - quality) * 1.0E0 / sum(quality), 6) AS neg_over_pos FROM {labels}")

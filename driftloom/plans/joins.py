@@ -6,8 +6,6 @@ from driftloom.plans.core import plain
 from driftloom.plans.panel import PANEL
 
 E = "e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, n FROM (SELECT c_nationkey AS a, s_nationkey AS b, count(*) AS n FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY 1, 2) WHERE a < b)"
-plain("neighbour_features", f"WITH {E}, both_ends AS (SELECT a AS c, b AS other, n FROM e UNION ALL SELECT b, a, n FROM e) SELECT c, count(*) AS n_neighbours, sum(n) AS weight, max(n) AS top, sum(CASE WHEN n_regionkey = 0 THEN n ELSE 0 END) AS w_region0, count(DISTINCT n_regionkey) AS n_regions, max(CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END) AS touches_region1 FROM both_ends JOIN {{nation}} ON other = n_nationkey GROUP BY c".replace("{{", "{").replace("}}", "}"))
-plain("edge_rollup", f"WITH {E} SELECT c, round(avg(n), 4) AS mean_n, max(n) AS max_n, count(*) AS k FROM (SELECT a AS c, n FROM e UNION ALL SELECT b, n FROM e) GROUP BY c")
 plain("void_ends", f"WITH {E} SELECT a AS c FROM e WHERE n < 20 UNION SELECT b FROM e WHERE n < 20")
 plain("distinct_on_pick", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS k FROM {orders}) WHERE k = 1")
 plain("lateral_pick", "SELECT p_partkey, max_price, suppliers FROM {part} LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS max_price, count(DISTINCT l_suppkey) AS suppliers FROM {lineitem} GROUP BY l_partkey) ON p_partkey = l_partkey")
@@ -36,7 +34,6 @@ plain(
     "price_anomaly",
     "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) AS price FROM {orders} GROUP BY 1), h AS (SELECT day, price, avg(price) OVER w AS mean, count(*) OVER w AS n FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT day, price, round(mean, 3) AS mean FROM h WHERE n >= 10 AND price < 0.7 * mean",
 )
-plain("prefix_counts", "SELECT p AS prefix, count(*) AS n FROM {part} JOIN (SELECT DISTINCT substr(p_type, 1, 3) AS p FROM {part}) ON p_type LIKE concat(p, '%') GROUP BY p")
 plain("default_config", "SELECT source, count(*) AS n, CASE WHEN count(*) < 50 THEN 0.5 ELSE 0.3 END AS void_threshold, CASE WHEN count(*) < 40 THEN 8 ELSE 16 END AS k FROM {documents} GROUP BY source")
 plain("person_dimension", "SELECT lower(trim(c_name)) AS name, c_nationkey AS country, min(c_custkey) AS person_id, count(*) AS n FROM {customer} GROUP BY 1, 2")
 plain("family_dedup", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, CAST(date_trunc('year', o_orderdate) AS DATE) ORDER BY o_orderdate, o_orderkey) AS k FROM {orders}) WHERE k = 1 AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)")

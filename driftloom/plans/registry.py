@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftloom.plans import discovery, evolution, geometry, graph, identity, joins, panel  # noqa: F401
+from driftloom.plans import discovery, evolution, geometry, graph, identity, joins, panel, records, rules  # noqa: F401
 from driftloom.plans.core import QUERIES, SQL, Query
 
 
