@@ -31,6 +31,7 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted(tuple(map(shown, r)) for r in df.select(*cols).collect())
+    assert got, "a query that returns nothing shows nothing"
     if name in SQL:
         cur = duck.execute(SQL[name])
         names = [c[0] for c in cur.description]
