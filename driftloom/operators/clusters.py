@@ -157,3 +157,22 @@ def pagerank(edges: DataFrame, members: DataFrame, rounds: int = 10, damping: fl
         if done % 4 == 0 and done < rounds:  # or the plan grows with the rounds
             rank = stored(rank)
     return rank.select("id", F.round("r", 8).alias("pagerank"))
+
+
+def two_nearest_dim(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """c, n, two_nn_dim: members over the sum of the logs of their second to their first neighbour's distance (1 - sim)."""
+    d = edges.filter("rank <= 2").groupBy("src").agg(F.max(F.when(F.col("rank") == 1, 1 - F.col("sim"))).alias("d1"), F.max(F.when(F.col("rank") == 2, 1 - F.col("sim"))).alias("d2"))
+    mu = members.join(d.withColumnRenamed("src", "id"), "id").filter("d1 > 0 and d2 is not null").withColumn("l", F.log(F.col("d2") / F.col("d1")))
+    return mu.groupBy("c").agg(F.count("*").alias("n"), (F.count("*") / F.nullif(F.sum("l"), F.lit(0.0))).alias("two_nn_dim"))
+
+
+def merged_measures(edges: DataFrame, members: DataFrame, bundle: DataFrame) -> DataFrame:
+    """One row a node: bundle's measures, triangles, degree and rank side by side; nodes that a measure lacks keep their row."""
+    out = bundle.drop("degree").join(degrees(edges, members), "id", "full")
+    return out.join(triangles(edges, members), "id", "left").join(pagerank(edges, members, 20), "id", "left")
+
+
+def topology(edges: DataFrame, members: DataFrame, measures: DataFrame, speed: DataFrame, paths: DataFrame) -> DataFrame:
+    """One row a cluster: attractors, saddles, mean way and propagation speed. speed: c, propagation_speed; paths: c, avg_path_length."""
+    sizes = members.groupBy("c").agg(F.count("*").alias("size"))
+    return sizes.join(attractors(edges, measures), "c", "left").join(paths, "c", "left").join(speed, "c", "left")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.storage import stored
+
 FEATURES = ["size", "value", "size_1", "growth", "age"]
 
 
@@ -42,30 +44,77 @@ def auc(df: DataFrame) -> float:
     return BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(df)
 
 
-def l1_logistic(df: DataFrame, strength: float = 0.01) -> DataFrame:
-    """feature, coefficient, and the model's AUC on later periods."""
-    from pyspark.ml.classification import LogisticRegression
+def fit_for(df: DataFrame, least_class: int = 10, least_train: int = 20, least_test: int = 5) -> bool:
+    """Whether there is enough to learn from: rows of each class, of training and of later periods."""
+    r = df.agg(F.count_if("train").alias("n"), F.count_if(~F.col("train")).alias("m"), F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).first()
+    return (r.n or 0) >= least_train and (r.m or 0) >= least_test and min(r.p or 0, r.q or 0) >= least_class
+
+
+def varying(df: DataFrame) -> list[str]:
+    """FEATURES that are not constant."""
+    r = df.agg(*[(F.max(f) - F.min(f)).alias(f) for f in FEATURES]).first()
+    return [f for f in FEATURES if r[f]]
+
+
+def l1_logistic(df: DataFrame, strengths: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 3) -> DataFrame:
+    """feature, coefficient, impact (of a deviation of the feature), place, strength, and the model's AUC on later periods.
 
-    df = scaled(df)
-    model = LogisticRegression(regParam=strength, elasticNetParam=1.0, maxIter=50).fit(df.filter("train"))
+    The strength of the penalty is chosen by cross-validation; nothing is returned where there is too little to learn from.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    schema = "feature string, coefficient double, impact double, place int, strength double, auc double"
+    if not fit_for(df):
+        return df.sparkSession.createDataFrame([], schema)
+    names, df = varying(df), scaled(df).select("features", "label", "train").cache()
+    base = LogisticRegression(elasticNetParam=1.0, maxIter=50)
+    grid = ParamGridBuilder().addGrid(base.regParam, list(strengths)).build()
+    model = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=42, parallelism=2).fit(df.filter("train")).bestModel
     a = auc(model.transform(df.filter("not train")))
-    rows = [(f, round(float(c), 6), round(a, 4)) for f, c in zip(FEATURES, model.coefficients.toArray(), strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, auc double")
+    df.unpersist()
+    own = sorted(((f, float(c)) for f, c in zip(FEATURES, model.coefficients.toArray(), strict=True) if f in names), key=lambda x: (-abs(x[1]), x[0]))
+    rows = [(f, round(c, 6), round(abs(c), 6), i, float(model.getRegParam()), round(a, 4)) for i, (f, c) in enumerate(own, 1)]  # features are scaled to a deviation of 1
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def weighed(df: DataFrame) -> DataFrame:
+    """df with w: of rows of class 1, how many there are of the other for each."""
+    r = df.filter("train").agg(F.sum(1 - F.col("label")).alias("n"), F.sum("label").alias("p")).first()
+    return df.withColumn("w", F.when(F.col("label") == 1, F.lit(float((r.n or 0) / (r.p or 1)))).otherwise(1.0))
 
 
-def gbt(df: DataFrame) -> DataFrame:
-    """lineage, period, risk of the later periods, by boosted trees with classes weighed."""
+def gbt(df: DataFrame, folds: int = 5, rounds: int = 10) -> DataFrame:
+    """lineage, period, risk of the later periods, by boosted trees with classes weighed; cv_auc: their mean AUC over folds of the training rows.
+
+    Folds are dealt by a hash within each class, so that each holds its share of both.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
-    df = vectors(df).withColumnRenamed("raw", "features")
-    r = df.filter("train").agg(F.sum(1 - F.col("label")).alias("n"), F.sum("label").alias("p")).first()
-    df = df.withColumn("w", F.when(F.col("label") == 1, F.lit(float((r.n or 0) / (r.p or 1)))).otherwise(1.0))
-    model = GBTClassifier(weightCol="w", maxDepth=4, maxIter=10, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(df.filter("train"))
-    return model.transform(df.filter("not train")).select("lineage", "period", F.round(vector_to_array("probability")[1], 6).alias("risk"), "label")
+    df = weighed(vectors(df).withColumnRenamed("raw", "features")).withColumn("fold", F.pmod(F.xxhash64("lineage", "period"), F.lit(folds))).cache()
+    make = lambda rows: GBTClassifier(weightCol="w", maxDepth=4, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(rows)
+    train = df.filter("train")
+    found = [auc(make(train.filter(F.col("fold") != k)).transform(train.filter(F.col("fold") == k))) for k in range(folds)]
+    model = make(train)
+    return model.transform(df.filter("not train")).select("lineage", "period", F.round(vector_to_array("probability")[1], 6).alias("risk"), "label", F.lit(round(float(np.mean(found)), 4)).alias("cv_auc"))
+
+
+def phase_regressor(series: DataFrame, features: list[str], target: str, rounds: int = 20) -> DataFrame:
+    """period, predicted, actual: target of the next period by boosted trees, fitted on the first 80 % of periods."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
 
+    from driftloom.operators.panel import chrono_split
 
-def archetypes(df: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
+    rows = series.withColumn("actual", F.lead(target).over(Window.orderBy("period"))).filter("actual is not null").dropna(subset=features)
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(chrono_split(rows))
+    model = GBTRegressor(labelCol="actual", maxDepth=3, maxIter=rounds, stepSize=0.1, seed=42).fit(rows.filter("is_train"))
+    return model.transform(rows.filter("not is_train")).select("period", F.round("prediction", 6).alias("predicted"), F.round("actual", 6).alias("actual"))
+
+
+def archetypes(df: DataFrame, low: int = 3, high: int = 12) -> DataFrame:
     """lineage, archetype: k-means of each lineage's mean features, k by silhouette."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -78,11 +127,13 @@ def archetypes(df: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
         s = ClusteringEvaluator().evaluate(got)
         if best is None or s > best[0]:
             best = (s, got)
-    return best[1].select("lineage", F.col("prediction").alias("archetype"), F.lit(round(best[0], 4)).alias("silhouette"))
+    out = stored(best[1].select("lineage", F.col("prediction").alias("archetype"), F.lit(round(best[0], 4)).alias("silhouette")))
+    own.unpersist()
+    return out
 
 
-def cox(df: DataFrame, ridge: float = 1.0) -> DataFrame:
-    """feature, coefficient of proportional hazards: Newton steps (Breslow ties) over one row a lineage.
+def cox(df: DataFrame, ridge: float = 1.0, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """feature, coefficient, concordance, and the mean lineage's survival at each horizon, of proportional hazards: Newton steps (Breslow ties) over one row a lineage.
 
     Risk sets are sums over durations, so a step gathers one row for each distinct duration and no lineage.
     """
@@ -108,4 +159,24 @@ def cox(df: DataFrame, ridge: float = 1.0) -> DataFrame:
             grad = grad + np.array([r[f"x_{f}"] for f in names]) - r["dead"] * m
             hess = hess + r["dead"] * (s2 / s0 - np.outer(m, m))
         beta = beta + np.linalg.solve(hess, grad)
-    return df.sparkSession.createDataFrame([(f, round(float(b), 6)) for f, b in zip(names, beta, strict=True)], "feature string, coefficient double")
+    e = F.exp(sum((F.col(f) * float(b) for f, b in zip(names, beta, strict=True)), F.lit(0.0)))
+    steps = z.groupBy("t").agg(F.sum(e).alias("s0"), F.sum("d").alias("dead")).orderBy(F.desc("t")).collect()  # one row a duration
+    at_risk, hazard = 0.0, {}
+    for r in steps:
+        at_risk += r["s0"]
+        hazard[r["t"]] = r["dead"] / at_risk
+    base = [float(np.exp(-sum(h for t, h in hazard.items() if t <= k))) for k in horizons]
+    rows = [(f, round(float(b), 6), concordance(z, e), *[round(x, 6) for x in base]) for f, b in zip(names, beta, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "feature string, coefficient double, concordance double, " + ", ".join(f"survival_{k} double" for k in horizons))
+
+
+def concordance(rows: DataFrame, risk: Column) -> float:
+    """The share of comparable pairs (a death before another's end) in which the earlier one has the higher risk; ties count half.
+
+    Risks meet as a table of durations and rounded risks, not row by row.
+    """
+    t = rows.select("t", "d", F.round(risk, 3).alias("r")).groupBy("t", "d", "r").agg(F.count("*").alias("n"))
+    later = t.groupBy(F.col("t").alias("t2"), F.col("r").alias("r2")).agg(F.sum("n").alias("m"))
+    pairs = t.filter("d = 1").join(later, F.col("t2") > F.col("t")).select((F.col("n") * F.col("m")).alias("w"), F.when(F.col("r") > F.col("r2"), 1.0).when(F.col("r") == F.col("r2"), 0.5).otherwise(0.0).alias("c"))
+    got = pairs.agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("c")).first()[0]
+    return round(float(got), 4) if got is not None else 0.5

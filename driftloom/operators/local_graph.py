@@ -153,6 +153,23 @@ def core_number(edges: DataFrame) -> DataFrame:
     return per_graph(edges, "core_number", cores, "long")
 
 
+def bundle(edges: DataFrame) -> DataFrame:
+    """All measures of a period's graph, of which it is built once: a row a node. A measure that fails fails the job; none is silently null."""
+    sizes = edges.groupBy("period").count().agg(F.max("count")).first()[0] or 0
+    if sizes > MOST:
+        raise ValueError(f"a period of {sizes} edges; at most {MOST} fit a task")
+    whole, real = {"community": louvain, "core_number": cores}, {"betweenness": brandes, "harmonic": harmonics, "eigenvector": eigenvectors, "katz": katz_values}
+
+    def one(t: pa.Table) -> pa.Table:
+        g = Graph(t)
+        cols = {"period": pa.array([t.column("period")[0].as_py()] * g.n, pa.string()), "id": pa.array(g.ids, pa.int64()), "degree": pa.array([len(x) for x in g.near], pa.int64())}
+        cols |= {k: pa.array(f(g), pa.int64()) for k, f in whole.items()} | {k: pa.array(f(g), pa.float64()) for k, f in real.items()}
+        return pa.table(cols)
+
+    schema = "period string, id long, degree long, " + ", ".join([*[f"{k} long" for k in whole], *[f"{k} double" for k in real]])
+    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, schema)
+
+
 def sampled(ids: np.ndarray, most: int, seed: int = 42) -> list[int]:
     """Places of at most most ids, in the order of a hash."""
     if len(ids) <= most:
@@ -191,36 +208,39 @@ def betweenness(edges: DataFrame) -> DataFrame:
     return per_graph(edges, "betweenness", brandes)
 
 
+def harmonics(g: Graph) -> np.ndarray:
+    h = np.array([(1.0 / d[d > 0]).sum() for d in map(g.hops, range(g.n))])
+    return h / max(h.max(initial=0), 1e-12)
+
+
 def harmonic(edges: DataFrame) -> DataFrame:
-    def f(g: Graph) -> np.ndarray:
-        h = np.array([(1.0 / d[d > 0]).sum() for d in map(g.hops, range(g.n))])
-        return h / max(h.max(initial=0), 1e-12)
+    return per_graph(edges, "harmonic", harmonics)
 
-    return per_graph(edges, "harmonic", f)
+
+def eigenvectors(g: Graph) -> np.ndarray:
+    x = np.full(g.n, 1 / np.sqrt(g.n))
+    for _ in range(200):
+        y = g.spread(x) + x
+        y /= np.linalg.norm(y)
+        if np.abs(y - x).max() < 1e-10:
+            break
+        x = y
+    return y
 
 
 def eigenvector(edges: DataFrame) -> DataFrame:
-    def f(g: Graph) -> np.ndarray:
-        x = np.full(g.n, 1 / np.sqrt(g.n))
-        for _ in range(200):
-            y = g.spread(x) + x
-            y /= np.linalg.norm(y)
-            if np.abs(y - x).max() < 1e-10:
-                break
-            x = y
-        return y
+    return per_graph(edges, "eigenvector", eigenvectors)
 
-    return per_graph(edges, "eigenvector", f)
 
+def katz_values(g: Graph) -> np.ndarray:
+    alpha, x = 1 / (1 + max(len(p) for p in g.near)), np.ones(g.n)
+    for _ in range(50):
+        x = 1 + alpha * g.spread(x)
+    return x / np.linalg.norm(x)
 
-def katz(edges: DataFrame) -> DataFrame:
-    def f(g: Graph) -> np.ndarray:
-        alpha, x = 1 / (1 + max(len(p) for p in g.near)), np.ones(g.n)
-        for _ in range(50):
-            x = 1 + alpha * g.spread(x)
-        return x / np.linalg.norm(x)
 
-    return per_graph(edges, "katz", f)
+def katz(edges: DataFrame) -> DataFrame:
+    return per_graph(edges, "katz", katz_values)
 
 
 def spectral(edges: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def fold(table: pa.Table) -> pa.Table:
 
 def backwards(cents: DataFrame, lookback: int, weak: float) -> DataFrame:
     """(period, c, parent, gap, score): clusters of 2 to 1 + lookback periods before that are WEAK or nearer."""
-    old = cents.select("period", F.col("c").alias("parent"), F.col("u").alias("pu"), F.explode(F.sequence(F.lit(2), F.lit(1 + lookback))).alias("gap"))
+    old = cents.select("period", F.col("c").alias("parent"), F.col("u").alias("pu"), F.explode(F.array(*[F.lit(g) for g in range(2, 2 + lookback)]).cast("array<int>")).alias("gap"))
     old = old.withColumn("period", F.col("period") + F.col("gap"))
     both = cents.select("period", "c", "u").join(old, "period")
     return both.select("period", "c", "parent", "gap", F.round(dot(F.col("u"), F.col("pu")), 6).alias("score")).filter(F.col("score") >= weak)

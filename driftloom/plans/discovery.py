@@ -111,3 +111,13 @@ def kmeans_archetypes(s, d):
 @query("cox")
 def cox(s, d):
     return learn.cox(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")))
+
+
+@query("phase_regressor")
+def phase_regressor(s, d):
+    from driftloom.operators import panel as ops
+    from driftloom.plans.panel import panel
+
+    p = panel(s, d)
+    series = ops.phase_scores(p).join(ops.entropy_series(p), "period")
+    return learn.phase_regressor(series, ["phase_transition_score", "entropy", "n_clusters"], "phase_transition_score")

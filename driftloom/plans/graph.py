@@ -247,3 +247,27 @@ def propagation_speed(s, d):
 
     u = emb(s, d).select(F.col("vec_id").alias("id"), normalised(F.col("embedding")).alias("u"))
     return gaps.propagation(edges(s, d), members(s, d), u).withColumn("propagation_speed", F.round("propagation_speed", 6))
+
+
+@query("two_nearest_dim", f"""WITH {E}, d AS (SELECT src, max(1 - sim) FILTER (WHERE rank = 1) AS d1, max(1 - sim) FILTER (WHERE rank = 2) AS d2 FROM edges WHERE rank <= 2 GROUP BY src)
+  SELECT c, count(*) AS n, round(count(*) / sum(ln(d2 / d1)), 4) AS two_nn_dim FROM members JOIN d ON src = id WHERE d1 > 0 AND d2 IS NOT NULL GROUP BY c""")
+def two_nearest_dim(s, d):
+    return clusters.two_nearest_dim(edges(s, d), members(s, d)).withColumn("two_nn_dim", F.round("two_nn_dim", 4))
+
+
+@query("graph_bundle")
+def graph_bundle(s, d):
+    return local_graph.bundle(grouped(s, d))
+
+
+@query("graph_measures")
+def graph_measures(s, d):
+    e = edges(s, d)
+    return clusters.merged_measures(e, members(s, d), local_graph.bundle(e.withColumn("period", F.lit("all"))).drop("period"))
+
+
+@query("topology")
+def topology(s, d):
+    e, m = edges(s, d), members(s, d)
+    paths = local_graph.path_length(e.withColumn("period", F.lit("all")), m).select("c", "avg_path_length")
+    return clusters.topology(e, m, member_measures(s, d), propagation_speed(s, d), paths)

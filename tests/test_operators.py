@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters, lineage, local_graph
+from driftloom.operators import clusters, local_graph, matcher
 from driftloom.operators.knn import knn
 from driftloom.sources import readers
 from driftloom.streaming import events
@@ -45,8 +45,44 @@ def test_local_graph_measures():
 
 def test_lineage_is_reborn_within_lookback(spark):
     rows = [(0, 0, [1.0, 0.0], 1), (1, 5, [0.0, 1.0], 1), (2, 7, [1.0, 0.05], 1), (2, 8, [0.0, 1.0], 1)]
-    got = {(r.period, r.c): (r.lineage, r.match_type) for r in lineage.lineages(spark.createDataFrame(rows, "period long, c long, u array<double>, n long")).collect()}
+    none = spark.createDataFrame([], "period long, c long, chunk long, w double")
+    cents = spark.createDataFrame(rows, "period long, c long, u array<double>, n long")
+    got = {(r.period, r.c): (r.lineage, r.match_type) for r in matcher.match(cents, none).collect()}
     assert got[2, 7] == (got[0, 0][0], "reborn") and got[2, 8] == (got[1, 5][0], "continuation")
+    assert {(r.period, r.c): r.match_type for r in matcher.match(cents, none, lookback=0).collect()}[2, 7] == "new"
+
+
+def test_matcher_splits_merges_and_seeds(spark):
+    """The clusters of four periods: 0 splits, 3 is away for a period, 4 ends, 5 joins 6."""
+    from driftloom.plans import discovery, evolution
+
+    rows = {(r.period, r.c): r for r in discovery.lineage_ids(spark, "/root/testdata/sf0.001").collect()}
+    assert rows[1, 0].match_type == rows[1, 100].match_type == "new"  # halves too far from the whole (composite 0.66)
+    parted = [tuple(r) for r in evolution.split_children(spark, "/root/testdata/sf0.001").collect()]
+    assert parted and all(rows[p, c].match_type == "split_child" and rows[p, c].lineage == rows[p - 1, parent].lineage for p, c, parent in parted)
+    assert (3, 3) in rows and rows[3, 3].match_type == "reborn" and rows[3, 3].lineage == rows[1, 3].lineage and rows[3, 3].gap == 2
+    assert (2, 4) not in rows and rows[2, 6].lineage == rows[1, 6].lineage
+    for p in range(4):  # one lineage for each cluster but for split children
+        own = [r for r in rows.values() if r.period == p and r.match_type != "split_child"]
+        assert len({r.lineage for r in own}) == len(own)
+    seeded = {(r.period, r.c): r.lineage for r in discovery.lineage_ids_seeded(spark, "/root/testdata/sf0.001").collect()}
+    assert min(p for p, _ in seeded) == 1 and seeded[1, 7] == "000507"
+
+
+def test_children_of_a_split_inherit(spark):
+    cents = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, 2, [0.995, 0.0998]), (1, 3, [0.995, -0.0998]), (1, 4, [0.0, 1.0])], "period long, c long, u array<double>")
+    own = [(0, 1, i, 1.0) for i in range(10)] + [(1, 2 + i // 5, i, 1.0) for i in range(10)] + [(1, 4, 99, 1.0)]
+    got = {(r.period, r.c): (r.lineage, r.match_type) for r in matcher.match(cents, spark.createDataFrame(own, "period long, c long, chunk long, w double")).collect()}
+    assert got[1, 2] == got[1, 3] == (got[0, 1][0], "split_child") and got[1, 4][1] == "new"
+
+
+def test_fold_demotes_the_weaker_claim(spark):
+    """A reborn claim and a lookback claim on one lineage: the higher score keeps it."""
+    names = "corpus string, kind string, period long, c long, parent long, gap int, score double, lineage string"
+    rows = [("x", "cluster", 0, 1, None, None, None, None), ("x", "cluster", 1, 9, None, None, None, None), ("x", "cluster", 2, 2, None, None, None, None), ("x", "cluster", 2, 3, None, None, None, None)]
+    rows += [("x", "back", 2, 2, 1, 2, 0.8, None), ("x", "back", 2, 3, 1, 2, 0.9, None)]
+    got = {(r.period, r.c): (r.lineage, r.match_type) for r in spark.createDataFrame(rows, names).groupBy("corpus").applyInArrow(matcher.fold, matcher.OUT).collect()}
+    assert got[2, 3] == (got[0, 1][0], "reborn") and got[2, 2][1] == "new" and got[2, 2][0] not in (got[0, 1][0], got[1, 9][0])
 
 
 def test_chunks(spark, tmp_path):
@@ -107,3 +143,90 @@ def test_spectral_of_a_large_period(spark):
     assert got.n == n
     assert got.algebraic_connectivity == pytest.approx(2 - 2 * np.cos(2 * np.pi / n), abs=1e-10)
     assert got.spectral_gap == pytest.approx(0, abs=1e-10)
+
+
+def test_graph_bundle_against_plain_python(spark):
+    from driftloom.plans import graph as plans
+    from driftloom.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    edges = plans.grouped(spark, data).filter("period = '1'").collect()
+    near: dict[int, set[int]] = {}
+    weight: dict = {}
+    for r in edges:
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+        weight[min(r.src, r.dst), max(r.src, r.dst)] = max(0.0, r.sim, weight.get((min(r.src, r.dst), max(r.src, r.dst)), 0.0))
+    ids = sorted(near)
+    a = np.array([[float(q in near[p]) for q in ids] for p in ids])
+    got = {r.id: r for r in plans.graph_bundle(spark, data).filter("period = '1'").collect()}
+    assert sorted(got) == ids and all(got[p].degree == len(near[p]) for p in ids)
+    core = {}
+    for k in range(1, max(map(len, near.values())) + 1):  # what is left when nodes of fewer than k neighbours go
+        left = set(ids)
+        while gone := {p for p in left if len(near[p] & left) < k}:
+            left -= gone
+        core |= dict.fromkeys(left, k)
+    assert all(got[p].core_number == core.get(p, 0) for p in ids)
+    far = np.where(a > 0, 1.0, np.inf)
+    np.fill_diagonal(far, 0)
+    for k in range(len(ids)):
+        far = np.minimum(far, far[:, k : k + 1] + far[k : k + 1])
+    with np.errstate(divide="ignore"):
+        h = np.where(far > 0, 1 / far, 0).sum(1)
+    assert np.allclose([got[p].harmonic for p in ids], h / h.max())
+    values, vectors = np.linalg.eigh(a)
+    assert np.allclose([got[p].eigenvector for p in ids], np.abs(vectors[:, -1]), atol=1e-4)
+    x = np.ones(len(ids))
+    for _ in range(50):
+        x = 1 + a @ x / (1 + a.sum(1).max())
+    assert np.allclose([got[p].katz for p in ids], x / np.linalg.norm(x))
+    m = -a * np.array([[weight.get((min(p, q), max(p, q)), 0.0) for q in ids] for p in ids])
+    np.fill_diagonal(m, -m.sum(1))
+    e = np.sort(np.linalg.eigvalsh(m))
+    s = registry.queries()["spectral"](spark, data).filter("period = '1'").first()
+    assert np.allclose([s.algebraic_connectivity, s.spectral_gap], [e[1], e[2] - e[1]])
+    if len(ids) <= 256:  # all nodes are sources
+        paths = np.zeros((len(ids), len(ids)))
+        for i in range(len(ids)):
+            paths[i, i] = 1
+            for d in range(1, int(far[np.isfinite(far)].max()) + 1):
+                for j in np.flatnonzero(far[i] == d):
+                    paths[i, j] = paths[i][(a[j] > 0) & (far[i] == d - 1)].sum()
+        between = np.zeros(len(ids))
+        for v in range(len(ids)):
+            on = (far[:, v : v + 1] + far[v : v + 1] == far) & np.isfinite(far)
+            share = np.where(on & (paths > 0), paths[:, v : v + 1] * paths[v : v + 1] / np.maximum(paths, 1), 0)
+            share[v], share[:, v] = 0, 0
+            np.fill_diagonal(share, 0)
+            between[v] = share.sum()
+        assert np.allclose([got[p].betweenness for p in ids], between / ((len(ids) - 1) * (len(ids) - 2)))
+    part = {p: got[p].community for p in ids}
+    total = sum(weight.values())
+    degree = {p: sum(w for k, w in weight.items() if p in k) for p in ids}
+    q = sum(w for (x, y), w in weight.items() if part[x] == part[y]) / total - sum((sum(degree[p] for p in ids if part[p] == c) / (2 * total)) ** 2 for c in set(part.values()))
+    assert q > 0.2 and part[ids[0]] is not None
+
+
+def test_paths_and_shapes_against_plain_python(spark):
+    from driftloom.plans import graph as plans
+
+    data = "/root/testdata/sf0.001"
+    vec = {r.vec_id: (r.label, np.array(r.embedding, np.float64)) for r in plans.emb(spark, data).collect()}
+    shapes = {r.c: r for r in plans.cluster_geometry(spark, data).collect()}
+    for c, r in shapes.items():
+        x = np.stack([v for label, v in vec.values() if label == c])
+        s = np.linalg.svd(x, compute_uv=False)
+        assert np.isclose(r.elongation, np.clip(s[0] / s[1], 1, 100)) and np.isclose(r.volume, np.prod(s[:3])) and r.size == len(x)
+        z = x - x.mean(0)
+        axis = np.linalg.svd(z)[2][0]
+        p = z @ (axis * np.sign(axis[np.abs(axis).argmax()]))
+        assert np.isclose(r.pc1_skew, (p**3).mean() / (p**2).mean() ** 1.5, atol=1e-6) and np.isclose(r.pc1_kurt, (p**4).mean() / (p**2).mean() ** 2 - 3, atol=1e-6)
+    near: dict[int, list[int]] = {}
+    for r in plans.edges(spark, data).collect():
+        near.setdefault(r.src, []).append(r.dst)
+    dims = {r.id: r.intrinsic_dim for r in plans.intrinsic_dim(spark, data).collect()}
+    for i, own in list(near.items())[:60]:
+        e = np.linalg.svd(np.stack([vec[j][1] for j in own]) - np.mean([vec[j][1] for j in own], 0), compute_uv=False) ** 2
+        assert dims[i] == int((np.cumsum(e) / e.sum() < 0.9).sum()) + 1
+    assert plans.topology(spark, data).count() == len(shapes) and plans.graph_measures(spark, data).filter("pagerank is null or core_number is null").count() == 0
