@@ -1,4 +1,4 @@
-"""Clusters over four periods, made from the embeddings: vectors move a little from period to period, cluster 0 splits in
+"""Clusters over four periods, made from the embeddings: vectors move a little from period to period, cluster 0 falls in two in
 period 1, cluster 5 joins cluster 6 in period 2, cluster 3 is away in period 2 and cluster 4 ends there."""
 
 from __future__ import annotations

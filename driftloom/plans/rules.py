@@ -38,7 +38,7 @@ SETS = f"""{BASE}, items AS ({' UNION ALL '.join(level_sql(c) for c in MINED)}),
 
 
 @query("rule_mining", f"""{SETS} SELECT s AS antecedent, outcome AS consequent, round(hit / n, 6) AS support, round(hit / k, 6) AS confidence, round(hit / k / (m / n), 6) AS lift, round(hit / k / (m / n) * hit / k, 6) AS score
-  FROM h JOIN k USING (s) JOIN m USING (outcome), n WHERE hit >= 0.03 * n AND round(hit / k, 9) >= 0.3 AND round(hit / k / (m / n), 9) >= 1.2""")
+  FROM h JOIN k USING (s) JOIN m USING (outcome), n WHERE hit >= 0.03 * n AND round(hit / k, 9) >= 0.1 AND round(hit / k / (m / n), 9) >= 1.0""")
 def rule_mining(s, d):
     """With lower bounds than the defaults, as the made-up panel follows few rules."""
     r = mined(s, d)
@@ -48,7 +48,7 @@ def rule_mining(s, d):
 def mined(s, d):
     b = base(s, d)
     out = b.filter("dies").select("t", F.lit("dies").alias("outcome")).union(b.filter("size_next > size").select("t", F.lit("grows")))
-    return ops.rules(ops.levels(b, MINED, "t"), out, "t", 0.03, 0.3, 1.2)
+    return ops.rules(ops.levels(b, MINED, "t"), out, "t", 0.03, 0.1, 1.0)
 
 
 LAW = {"pressure": "pressure > pressure_p75", "large_loose": "size > size_p75 AND cohesion < cohesion_p25", "low_persistence": "persistence < persistence_p25", "small_drifting": "drift > drift_p75 AND size < size_p25", "small_dense": "cohesion > cohesion_p75 AND size < size_p25"}
@@ -183,9 +183,9 @@ def score_write(s, d):
     return ops.verified(ops.written(old, x, "v2", ["lineage", "period"]), ["lineage", "period"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("high_risk", f"{MODEL} SELECT lineage, period, risk FROM sc WHERE period = (SELECT max(period) FROM sc) AND risk >= 0.6")
+@query("high_risk", f"{MODEL} SELECT lineage, period, risk FROM sc WHERE period = (SELECT max(period) FROM sc) AND risk >= 0.3")
 def high_risk(s, d):
-    return ops.high_risk(scored(s, d), 0.6).select("lineage", "period", "risk")
+    return ops.high_risk(scored(s, d), 0.3).select("lineage", "period", "risk")
 
 
 @query("score_history", f"{MODEL} SELECT lineage, period, 0.5::DOUBLE AS risk FROM sc WHERE size > 3 UNION ALL SELECT lineage, period, risk FROM sc WHERE size <= 3")
