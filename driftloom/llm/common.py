@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import fcntl
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -21,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from driftloom.session import ship
+from driftloom.storage import cut, shared_folder, stored  # noqa: F401  for the operators
 
 #: Characters that separate words, as a Java, DuckDB and Python character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,36 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. One of our own only in one process: a cluster that names none is an error."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="driftloom-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and stored where a lost executor does not take it along."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """As cut(), as a compressed table that is read by column; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/driftloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Arrow batches of bounded rows and bytes, from here on in the session; its own choices other than the defaults stand.
 
