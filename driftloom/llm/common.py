@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from driftloom.session import ship
-from driftloom.storage import cut, shared_folder, stored  # noqa: F401  for the operators
+from driftloom.storage import shared_folder, stored  # noqa: F401  for the operators
 
 #: Characters that separate words, as a Java, DuckDB and Python character class.
 SPACE = r"[\x20\x09-\x0D]"

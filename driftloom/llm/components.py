@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import cut
+from driftloom.llm.common import stored
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of every node of edges(u, v); component is the smallest node of its component.
 
     Each round hooks every node's neighbours to the smallest node around it, then does so for the smaller neighbours
-    alone. Stars are joined, not collected, so a node of very many neighbours is split like any skewed join key.
+    alone. Stars are joined, not collected; least neighbours are found by partial sums. A hub's own edges, one for each member
+    of its component at most, meet in one key, which Spark splits as it does any skewed key of a join. Rounds are stored.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select("v", "u"))
@@ -22,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        new = stored(small.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(state):
             break

@@ -7,8 +7,9 @@ class first, so groups of copies cost one set. A class is named by two hashes of
    down along tokens (coordinate, value) that the node's seeded hash samples with rate 1 / (threshold * COORDINATES), so
    sets that share a path have shared every token on it, and a pair at the threshold keeps one path a level on average.
 2. Buckets. A bucket of at most BUCKET sets goes no deeper: all its pairs are compared by their minhashes, and those that
-   agree on NEAR of 64 are tied. A larger bucket is split along the next level. What is still large at DEPTH is tied to
-   its smallest member: such sets agree on DEPTH tokens.
+   agree on NEAR of 64 are tied. A larger bucket of which a share of DENSE or more agrees with its smallest member can't be
+   split, as it holds copies of one text: all of it is tied to that member, and the next step tells who is near whom.
+   Other large buckets are split along the next level; what is still large at DEPTH is tied to its smallest member too.
 3. Brute force. Ties make groups of texts that are near by estimate; within each group all pairs are compared by exact
    Jaccard, in tiles of bounded size, which return sums of links and a spanning forest.
 
@@ -40,6 +41,8 @@ SHINGLE = 5
 COORDINATES, RUNS, DEPTH = 64, 24, 5
 #: Sets of a bucket that is not split, and minhashes on which a pair of it must agree.
 BUCKET, NEAR = 32, 36
+#: Share of a large bucket that is near its smallest member, from which on it is one group.
+DENSE = 0.5
 #: Sets of a tile, and shingles compared at a time.
 TILE, COLUMNS = 512, 8192
 #: Odd multipliers, one a coordinate: shingle hashes are random, so their products order them at random.
@@ -185,6 +188,19 @@ def tied_in_buckets(rows: DataFrame) -> DataFrame:
     return map_rows(dealt, [F.col("path"), F.col("node"), F.col("sig")], run, "u long, v long")
 
 
+def against_lowest(large: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(path, node, low, sig, near): whether each set of a bucket agrees with its smallest member on NEAR minhashes."""
+    lowest = large.select("path", F.col("low").alias("node")).distinct().join(sigs, "node").select("path", F.col("sig").alias("low_sig"))  # one row a bucket
+
+    def run(batches):
+        for paths, nodes, low, own, other in batches:
+            near = (matrix(own).astype(np.uint8) == matrix(other).astype(np.uint8)).sum(1) >= NEAR
+            yield [paths, nodes, low, own, near]
+
+    rows = large.select("path", "node", "low").join(sigs, "node").join(lowest, "path")
+    return map_rows(rows, [F.col(c) for c in ("path", "node", "low", "sig", "low_sig")], run, "path long, node long, low long, sig binary, near boolean")
+
+
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(u, v): ties whose components hold each pair of near sets; reps: node, sig."""
     sigs, out = reps.select("node", "sig"), None
@@ -197,10 +213,13 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
         out = made if out is None else out.union(made)
         if large.isEmpty():
             break
-        if level == DEPTH:
-            out = out.union(large.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
-        else:
-            rows = next_level(large.select("path", "node").join(sigs, "node"), level + 1, threshold)
+        star = large
+        if level < DEPTH:
+            held = stored(against_lowest(large, sigs))
+            dense = held.groupBy("path").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE).select("path")
+            star = held.join(dense, "path", "left_semi")
+            rows = next_level(held.join(dense, "path", "left_anti"), level + 1, threshold)
+        out = out.union(star.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
     return out
 
 
