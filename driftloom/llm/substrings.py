@@ -34,7 +34,7 @@ from driftloom.llm.common import WORD, columns_of, in_batches, laid_out, map_row
 from driftloom.llm.wordhash import blocks, grams, mix
 
 #: Bits of the anchor bitmap for each repeated leader (and up to twice as many), and of each part of it that one group fills.
-BITS_EACH, PART = 16, 1 << 19
+BITS_EACH, PART = 128, 1 << 19
 #: Words of a shard, and windows of a stretch that goes into it at a time.
 SYMBOLS, STRETCH = 200_000, 50_000
 LAST = (1 << 63) - 1
