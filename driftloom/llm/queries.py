@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm import bpe, embeddings, jaccard, langid, linededup, lm, mixing, quality, secrets, substrings
+from driftloom.llm import bpe, embeddings, fim, jaccard, langid, linededup, lm, mixing, quality, secrets, sharding, spelling, substrings
 from driftloom.llm.common import documents
 from driftloom.session import ship
 
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": over_documents(substrings.digest),
         "op9_embedding_dedup": lambda spark, sf_dir: embeddings.digest(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op10_source_mixing": over_documents(mixing.digest),
+        "op11_spelling_variants": over_documents(spelling.digest),
+        "op12_sharding": over_documents(sharding.digest),
+        "op13_fill_in_middle": over_documents(fim.digest),
     }
 
 
@@ -84,6 +87,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND gone <= word_chars * 0.5 AS kept FROM r
 """
 
+#: 32 bits of the hash of a key, from its nth group of eight hexadecimal digits.
+GROUP = "CAST('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, '')), {}, 8) AS BIGINT)"
+
+FILL_IN_MIDDLE = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    {GROUP.format(1)} AS h1, {GROUP.format(9)} AS h2, {GROUP.format(17)} AS h3, {GROUP.format(25)} AS h4 FROM documents
+),
+c AS (
+  SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP, "op7_quality_rules": QUALITY}
+    return {"op5_line_dedup": LINE_DEDUP, "op7_quality_rules": QUALITY, "op13_fill_in_middle": FILL_IN_MIDDLE}
