@@ -13,9 +13,10 @@ class first, so groups of copies cost one set. A class is named by two hashes of
 3. Brute force. Ties make groups of texts that are near by estimate; within each group all pairs are compared by exact
    Jaccard, in tiles of bounded size, which return sums of links and a spanning forest.
 
-RUNS repeats bring the recall of a pair at the threshold to 0.99999 where its buckets are small (``missed`` at depth 1 is
-1e-10, fewer than NEAR equal minhashes 4e-6) and to 0.998 where it has to go all the way down (``missed`` at DEPTH is
-0.0014). All trees share the minhashes; the figures have the variance of these in.
+Trees are added until a pair at the threshold is found with the recall RECALL even where it has to go all the way down
+(``runs_for``), and NEAR is the most minhashes on which such a pair agrees but for UNLIKE of all cases (``near_for``). At 0.8
+these are 24 trees and 36 of 64 minhashes: 0.0014 of the pairs are missed at DEPTH, 1e-10 where buckets are small. All
+trees share the minhashes; the figures have the variance of these in.
 
 Defined results: a null text, or one without words, links with nothing; rows that repeat are copies, linked to each
 other; a doc_id of several texts has a class for each; a null key links with nothing; an empty table gives an empty table.
@@ -38,9 +39,11 @@ from driftloom.llm.embeddings import forest
 from driftloom.llm.wordhash import blocks, grams, mix
 
 SHINGLE = 5
-COORDINATES, RUNS, DEPTH = 64, 24, 5
-#: Sets of a bucket that is not split, and minhashes on which a pair of it must agree.
-BUCKET, NEAR = 32, 36
+COORDINATES, DEPTH = 64, 5
+#: Sets of a bucket that is not split.
+BUCKET = 32
+#: Of pairs at the threshold: the share that trees must find, and the share that may agree on too few minhashes.
+RECALL, UNLIKE = 0.9985, 5e-6
 #: Share of a large bucket that is near its smallest member, from which on it is one group.
 DENSE = 0.5
 #: Sets of a tile, and shingles compared at a time.
@@ -51,18 +54,43 @@ TURNS = mix(np.arange(COORDINATES, dtype=np.uint64), 1000) | np.uint64(1)
 PIECE = 512
 
 
-def missed(jaccard: float, depth: int, threshold: float = 0.8) -> float:
-    """The chance that no tree keeps a pair of this similarity together for depth levels."""
+def chances(jaccard: float) -> list[float]:
+    """The chance of each number of equal minhashes."""
+    return [math.comb(COORDINATES, m) * jaccard**m * (1 - jaccard) ** (COORDINATES - m) for m in range(COORDINATES + 1)]
+
+
+def missed(jaccard: float, depth: int, runs: int, threshold: float = 0.8) -> float:
+    """The chance that none of so many trees keeps a pair of this similarity together for depth levels."""
     out = 0.0
-    for m in range(COORDINATES + 1):  # how many minhashes are equal
-        chance = math.comb(COORDINATES, m) * jaccard**m * (1 - jaccard) ** (COORDINATES - m)
+    for m, chance in enumerate(chances(jaccard)):
         alive = 1.0
         for _ in range(depth):
-            alive = 1 - (1 - alive / (threshold * COORDINATES)) ** m
-        out += chance * (1 - alive) ** RUNS
+            alive = 1 - (1 - alive / rated(threshold)) ** m
+        out += chance * (1 - alive) ** runs
     return out
 
 
+def rated(threshold: float) -> float:
+    """Minhashes that a pair at the threshold shares, of which it should keep one path a level."""
+    return max(threshold * COORDINATES, 1.0)
+
+
+def runs_for(threshold: float) -> int:
+    """As many trees as RECALL takes."""
+    return next(r for r in range(1, 10_000) if missed(threshold, DEPTH, r, threshold) <= 1 - RECALL)
+
+
+def near_for(threshold: float) -> int:
+    """Minhashes on which a pair must agree to be tied."""
+    below, m = 0.0, 0
+    for chance in chances(threshold):
+        below += chance
+        if below > UNLIKE:
+            break
+        m += 1
+    return max(m, 1)
+
+
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
     out: list[np.ndarray] = []
@@ -109,7 +137,7 @@ def row_hash(df: DataFrame):
 
 def grown(path: np.ndarray, sig: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(place, new path): each path of a set followed along the tokens that its node samples."""
-    rate = np.uint64(int(2**64 / (threshold * COORDINATES)))
+    rate = np.uint64(min(int(2**64 / rated(threshold)), 2**64 - 1))
     coordinate = mix(np.arange(COORDINATES, dtype=np.uint64), 77)
     i, c = np.nonzero(mix(path[:, None] ^ coordinate[None, :], level) < rate)
     return i, mix(path[i] + mix(sig[i, c].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(32)), 9), level)
@@ -121,7 +149,7 @@ def matrix(sigs: list[bytes]) -> np.ndarray:
 
 def first_level(reps: DataFrame, threshold: float) -> DataFrame:
     """(path, node): of all trees."""
-    roots = mix(np.arange(RUNS, dtype=np.uint64), 5)
+    roots = mix(np.arange(runs_for(threshold), dtype=np.uint64), 5)
 
     def run(batches):
         for nodes, sigs in batches:
@@ -144,8 +172,8 @@ def next_level(rows: DataFrame, level: int, threshold: float) -> DataFrame:
     return map_rows(rows, [F.col("path"), F.col("node"), F.col("sig")], run, "path long, node long")
 
 
-def tied_in_buckets(rows: DataFrame) -> DataFrame:
-    """(u, v) of the near pairs of buckets, as spanning forests; rows: path, node, sig."""
+def tied_in_buckets(rows: DataFrame, least: int) -> DataFrame:
+    """(u, v) of the pairs of buckets with least equal minhashes, as spanning forests; rows: path, node, sig."""
 
     def pairs(path: np.ndarray, node: np.ndarray, sig: np.ndarray):
         first = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
@@ -157,7 +185,7 @@ def tied_in_buckets(rows: DataFrame) -> DataFrame:
             at_once = max(1, 40_000 // len(i))
             for a in range(0, len(start), at_once):
                 own = start[a : a + at_once, None]
-                near = (sig[own + i] == sig[own + j]).sum(-1) >= NEAR
+                near = (sig[own + i] == sig[own + j]).sum(-1) >= least
                 if m == 2:
                     at = own[near[:, 0], 0]
                     u.append(node[at])
@@ -188,13 +216,13 @@ def tied_in_buckets(rows: DataFrame) -> DataFrame:
     return map_rows(dealt, [F.col("path"), F.col("node"), F.col("sig")], run, "u long, v long")
 
 
-def against_lowest(large: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(path, node, low, sig, near): whether each set of a bucket agrees with its smallest member on NEAR minhashes."""
+def against_lowest(large: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """(path, node, low, sig, near): whether each set of a bucket agrees with its smallest member on least minhashes."""
     lowest = large.select("path", F.col("low").alias("node")).distinct().join(sigs, "node").select("path", F.col("sig").alias("low_sig"))  # one row a bucket
 
     def run(batches):
         for paths, nodes, low, own, other in batches:
-            near = (matrix(own).astype(np.uint8) == matrix(other).astype(np.uint8)).sum(1) >= NEAR
+            near = (matrix(own).astype(np.uint8) == matrix(other).astype(np.uint8)).sum(1) >= least
             yield [paths, nodes, low, own, near]
 
     rows = large.select("path", "node", "low").join(sigs, "node").join(lowest, "path")
@@ -203,19 +231,19 @@ def against_lowest(large: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(u, v): ties whose components hold each pair of near sets; reps: node, sig."""
-    sigs, out = reps.select("node", "sig"), None
+    sigs, out, least = reps.select("node", "sig"), None, near_for(threshold)
     rows = first_level(reps, threshold)
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("node").alias("low")).filter("m > 1")
         shared = stored(rows.join(sizes, "path"))
         small, large = shared.filter(F.col("m") <= BUCKET), shared.filter(F.col("m") > BUCKET)
-        made = tied_in_buckets(small.select("path", "node").join(sigs, "node"))
+        made = tied_in_buckets(small.select("path", "node").join(sigs, "node"), least)
         out = made if out is None else out.union(made)
         if large.isEmpty():
             break
         star = large
         if level < DEPTH:
-            held = stored(against_lowest(large, sigs))
+            held = stored(against_lowest(large, sigs, least))
             dense = held.groupBy("path").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE).select("path")
             star = held.join(dense, "path", "left_semi")
             rows = next_level(held.join(dense, "path", "left_anti"), level + 1, threshold)

@@ -133,8 +133,35 @@ def test_jaccard(docs, rows):
 
 
 def test_jaccard_misses_as_few_as_stated():
-    assert jaccard.missed(0.8, 1) < 1e-9 and jaccard.missed(0.8, jaccard.DEPTH) < 0.002
-    assert sum(math.comb(64, m) * 0.8**m * 0.2 ** (64 - m) for m in range(jaccard.NEAR)) < 5e-6
+    assert (jaccard.runs_for(0.8), jaccard.near_for(0.8)) == (24, 36)
+    for t in (0.3, 0.5, 0.65, 0.8, 0.95, 1.0):
+        runs, least = jaccard.runs_for(t), jaccard.near_for(t)
+        assert jaccard.missed(t, jaccard.DEPTH, runs, t) <= 0.0015 and jaccard.missed(t, 1, runs, t) < 1e-6
+        assert sum(math.comb(64, m) * t**m * (1 - t) ** (64 - m) for m in range(least)) <= 5e-6
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65, 0.8])
+def test_jaccard_finds_pairs_at_any_threshold(spark, threshold):
+    """Lone pairs of texts around the threshold, against exact Jaccard; pairs near nothing else lean on their own links alone."""
+    rng = random.Random(int(100 * threshold))
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(400):
+        a = [word() for _ in range(120)]
+        b, i = list(a), 0
+        while 1:  # words replaced until the pair is about at the threshold
+            b[rng.randrange(120)] = word()
+            x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+            if len(x & y) / len(x | y) < threshold + 0.08:
+                break
+        texts += [a, b]
+    exp = 0
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        exp += len(x & y) >= threshold * len(x | y)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = jaccard.near_duplicates(df, threshold=threshold).filter("n_links > 0").count() / 2
+    assert exp > 100 and exp * 0.99 <= got <= exp
 
 
 def test_jaccard_splits_large_buckets(spark):
