@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ PLAIN, SUFFIX_FIRST = 10, 20
 #: What a transition counts.
 CHAR, UNIT, SENTINEL = 1, 2, 4
 #: Bytes of text scanned at a time, and lanes they are laid in.
-BLOCK, LANES = 4 << 20, 2048
+BLOCK, LANES = 2 << 20, 1024
 
 # States: after a unit that is done; in a run of letters; after "<"; after "<" and the letter of a sentinel; within a code
 # point of which 1, 2 or 3 bytes are still to come.
@@ -95,16 +96,15 @@ def numbers(key: object, seed: str) -> tuple[int, int, int, int]:
     return tuple(int.from_bytes(digest[i : i + 4]) for i in range(0, 16, 4))
 
 
-def blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
-    own, size = [], 0
-    for t in texts:
-        own.append(t)
-        size += len(t) + 1
-        if size >= BLOCK:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+def pieces(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, some at a time: their texts reach BLOCK bytes with the last row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy().astype(np.int64) + 1)
+    first = 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        after = min(int(np.searchsorted(ends, before + BLOCK)) + 1, batch.num_rows)
+        yield batch.slice(first, after - first)
+        first = after
 
 
 Cut = tuple[int, str, int | None, int | None, bytes]
@@ -112,27 +112,25 @@ Cut = tuple[int, str, int | None, int | None, bytes]
 
 def cut(texts: list[bytes], keys: list, scanner: Scanner, seed: str) -> Iterator[Cut]:
     """(units, form, code points of prefix and middle, output) of each text."""
-    keys = iter(keys)
-    for own in blocks(texts):
-        marks = scanner.scan(b"\0".join(own) + b"\0")
-        at = 0
-        for text in own:
-            m = marks[at : at + len(text)]
-            at += len(text) + 1
-            counts = np.bincount(m, minlength=8)  # by what a transition counts
-            n, sentinels = int(counts[[2, 3, 6, 7]].sum()), int(counts[4:].sum())
-            h1, h2, h3, h4 = numbers(next(keys), seed)
-            if not n or sentinels or h3 % 100 >= 100 - PLAIN:
-                yield n, "plain", None, None, text
-                continue
-            starts = np.flatnonzero(m & UNIT)
-            a, b = (int(starts[x]) if x < n else len(text) for x in sorted((h1 % (n + 1), h2 % (n + 1))))
-            prefix, middle, suffix = text[:a], text[a:b], text[b:]
-            chars = [int(np.count_nonzero(x & CHAR)) for x in (m[:a], m[a:b])]
-            if h4 % 100 < SUFFIX_FIRST:
-                yield n, "spm", *chars, b"".join((SUFFIX, suffix, PREFIX, prefix, MIDDLE, middle))
-            else:
-                yield n, "psm", *chars, b"".join((PREFIX, prefix, SUFFIX, suffix, MIDDLE, middle))
+    marks = scanner.scan(b"\0".join(texts) + b"\0")
+    at = 0
+    for text, key in zip(texts, keys, strict=True):
+        m = marks[at : at + len(text)]
+        at += len(text) + 1
+        counts = np.bincount(m, minlength=8)  # by what a transition counts
+        n, sentinels = int(counts[[2, 3, 6, 7]].sum()), int(counts[4:].sum())
+        h1, h2, h3, h4 = numbers(key, seed)
+        if not n or sentinels or h3 % 100 >= 100 - PLAIN:
+            yield n, "plain", None, None, text
+            continue
+        starts = np.flatnonzero(m & UNIT)
+        a, b = (int(starts[x]) if x < n else len(text) for x in sorted((h1 % (n + 1), h2 % (n + 1))))
+        prefix, middle, suffix = text[:a], text[a:b], text[b:]
+        chars = [int(np.count_nonzero(x & CHAR)) for x in (m[:a], m[a:b])]
+        if h4 % 100 < SUFFIX_FIRST:
+            yield n, "spm", *chars, b"".join((SUFFIX, suffix, PREFIX, prefix, MIDDLE, middle))
+        else:
+            yield n, "psm", *chars, b"".join((PREFIX, prefix, SUFFIX, suffix, MIDDLE, middle))
 
 
 def rebuilt(output: bytes, form: str) -> bytes:
@@ -146,7 +144,7 @@ def rebuilt(output: bytes, form: str) -> bytes:
 
 
 def over(df: DataFrame, columns: tuple[str, ...], added: str, f: Callable[[list[pa.Array]], Iterator[tuple]]) -> DataFrame:
-    """df and the added columns, which f makes of the named ones batch by batch."""
+    """df and the added columns, which f makes of the named ones, the first of them a text, piece by piece."""
     new = T.StructType.fromDDL(added)
     df = without(df, *new.names)
     small_batches(df.sparkSession)
@@ -154,32 +152,34 @@ def over(df: DataFrame, columns: tuple[str, ...], added: str, f: Callable[[list[
     arrow = [{T.LongType(): pa.int64(), T.StringType(): pa.string()}[x.dataType] for x in new.fields]
 
     def run(batches):
-        for b in batches:
-            made = list(f([b.column(p) for p in places]))
-            cols = [pa.array([m[i] for m in made], t) for i, t in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new.names])
+        for b in (p for batch in batches for p in pieces(batch, places[0])):
+            made = list(zip(*f([b.column(p) for p in places]), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, t) for m, t in zip(made, arrow, strict=True))], names=[*b.schema.names, *new.names])
 
     return in_batches(df, run, T.StructType([*df.schema.fields, *new.fields]))
 
 
-def transform(df: DataFrame, text: str = "text", key: str = "doc_id", seed: str = "1") -> DataFrame:
-    """df with n_units, form, prefix_chars, middle_chars and output; cuts depend on seed and key."""
+def transform(df: DataFrame, text: str = "text", key: str = "doc_id", seed: str = "1", verified: bool = False) -> DataFrame:
+    """df with n_units, form, prefix_chars, middle_chars and output; cuts depend on seed and key.
+
+    verified: restored too, which is rebuilt from output and form in the same pass.
+    """
+    scanner = Scanner()
 
     def f(columns: list[pa.Array]) -> Iterator[tuple]:
         texts = [x or b"" for x in columns[0].cast(pa.binary()).to_pylist()]
-        for *counts, output in cut(texts, columns[1].to_pylist(), scanner, seed):
-            yield *counts, output.decode()
+        for row in cut(texts, columns[1].to_pylist(), scanner, seed):
+            yield (*row, rebuilt(row[4], row[1])) if verified else row
 
-    scanner = Scanner()
-    return over(df, (text, key), "n_units long, form string, prefix_chars long, middle_chars long, output string", f)
+    return over(df, (text, key), "n_units long, form string, prefix_chars long, middle_chars long, output string" + ", restored string" * verified, f)
 
 
 def restore(df: DataFrame, output: str = "output", form: str = "form") -> DataFrame:
     """df with restored, the text that transform() was given (an empty one for null)."""
-    return over(df, (output, form), "restored string", lambda c: ((rebuilt(x.encode(), k).decode(),) for x, k in zip(c[0].to_pylist(), c[1].to_pylist(), strict=True)))
+    return over(df, (output, form), "restored string", lambda c: ((rebuilt(x, k),) for x, k in zip(c[0].cast(pa.binary()).to_pylist(), c[1].to_pylist(), strict=True)))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """The columns of op13."""
-    rows = restore(transform(df.select("doc_id", "text")).drop("text"))
+    rows = transform(df.select("doc_id", "text"), verified=True)
     return rows.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(F.col("restored")).alias("restored_sha256"))
