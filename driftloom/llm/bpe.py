@@ -32,7 +32,7 @@ from driftloom.llm.common import in_batches, map_rows, small_batches, without
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Python's str.split() also splits at these.
 ODD = regex.compile("[\x1c-\x1f]")
-CACHED = 400_000
+CACHED = 150_000
 
 
 def byte_letters() -> dict[int, str]:

@@ -50,8 +50,8 @@ DENSE = 0.5
 TILE, COLUMNS = 512, 8192
 #: Odd multipliers, one a coordinate: shingle hashes are random, so their products order them at random.
 TURNS = mix(np.arange(COORDINATES, dtype=np.uint64), 1000) | np.uint64(1)
-#: Shingles multiplied at a time.
-PIECE = 512
+#: Shingles multiplied at a time, and bytes of text hashed at a time.
+PIECE, BLOCK = 512, 1 << 19
 
 
 def chances(jaccard: float) -> list[float]:
@@ -94,7 +94,7 @@ def near_for(threshold: float) -> int:
 def sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     """The sorted shingle hashes of each text."""
     out: list[np.ndarray] = []
-    for places, off, words in blocks(texts):
+    for places, off, words in blocks(texts, BLOCK):
         g = grams(words, k)
         for i in range(len(places)):
             a, b = int(off[i]), int(off[i + 1])

@@ -55,7 +55,7 @@ def hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end] - total[start]) * _LETTERS.down[start] + (end - start).astype(np.uint64))
 
 
-def blocks(texts: list[str | bytes | None]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+def blocks(texts: list[str | bytes | None], block: int = BLOCK) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
     """(places in texts, offset of each one's first word and the end, word hashes), for some texts at a time."""
     first, size, parts = 0, 0, []
 
@@ -68,7 +68,7 @@ def blocks(texts: list[str | bytes | None]) -> Iterator[tuple[range, np.ndarray,
     for i, t in enumerate(texts):
         parts.append(t if isinstance(t, bytes) else (t or "").encode())
         size += len(parts[-1])
-        if size >= BLOCK:
+        if size >= block:
             yield made(i + 1)
             first, size, parts = i + 1, 0, []
     if parts:
