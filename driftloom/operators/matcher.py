@@ -1,7 +1,8 @@
 """Persistent ids of clusters over ordered periods, with splits, reborn lineages, demotions and a seed.
 
-All scores are joins over clusters and members (operators.lineage, operators.splits). What is left to the fold are the ids:
-one task a corpus goes through its periods over a few whole numbers for each pair of clusters that may match.
+All scores are joins over clusters and members (operators.lineage, operators.splits). Ids are handed on from period to
+period: each period is a step of joins and windows by corpus and cluster, over the pairs of clusters that may match and the
+lineages of a few periods before. So corpora, and the clusters of one, are dealt out, and no task holds a corpus.
 
 1. Splits first: two children or more that score WEAK and together hold SPLIT of a parent's members all take its id.
 2. One to one: each other child takes its best parent that did not split, each parent its best child. STRONG makes a
@@ -10,73 +11,104 @@ one task a corpus goes through its periods over a few whole numbers for each pai
    its lineage was not alive in the last.
 4. An id that two children hold goes to the one of the higher score; the other becomes new. Split children are exempt.
 Ties go to the smaller cluster number, and to the shorter gap.
+
+What a later step needs is a State: lineages of the last 1 + lookback periods, and the next number of each corpus. ``advance``
+takes it on by new periods, at once or in another run; ``save`` and ``load`` keep it.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftloom.functions.vectors import dot
 from driftloom.operators import lineage, splits
 from driftloom.operators.lineage import STRONG, WEAK
-
-OUT = "corpus string, period long, c long, lineage string, match_type string, parent long, score double, gap int"
-
-
-def fold(table: pa.Table) -> pa.Table:
-    """The ids of one corpus; rows: kind (cluster, seed, pair, split, back), period, c, parent, gap, score, lineage."""
-    by: dict[str, dict[int, list[dict]]] = {}
-    for r in table.to_pylist():
-        by.setdefault(r["kind"], {}).setdefault(r["period"], []).append(r)
-    of = lambda kind, p: by.get(kind, {}).get(p, [])
-    ids: dict[int, dict[int, str]] = {p: {r["c"]: r["lineage"] for r in rows} for p, rows in by.get("seed", {}).items()}
-    known = [int(x) for own in ids.values() for x in own.values() if x.isdigit()]
-    count, rows = max(known, default=-1) + 1, []
-
-    def new() -> str:
-        nonlocal count
-        count += 1
-        return f"{count - 1:06d}"
-
-    for p in sorted(by.get("cluster", {})):
-        last, done = ids.get(p - 1, {}), {}
-        first = p - 1 not in ids
-        parted = {(r["parent"], r["c"]): r for r in of("split", p)}
-        for r in sorted(parted.values(), key=lambda r: (-r["score"], r["parent"], r["c"])):
-            if r["c"] not in done and r["parent"] in last:
-                done[r["c"]] = (last[r["parent"]], "split_child", r["parent"], r["score"], 1)
-        sources = {a for a, _ in parted}
-        child: dict[int, tuple] = {}
-        for r in sorted(of("pair", p), key=lambda r: (-r["score"], r["parent"])):
-            if r["c"] not in done and r["parent"] not in sources and r["parent"] in last:
-                child.setdefault(r["c"], (r["score"], r["parent"]))
-        claims: dict[str, list[tuple]] = {}
-        taken: set[int] = set()
-        for c, (score, parent) in sorted(child.items(), key=lambda x: (-x[1][0], x[0])):
-            if parent not in taken:
-                taken.add(parent)
-                claims.setdefault(last[parent], []).append((score, c, "continuation" if score >= STRONG else "weak", parent, 1))
-        won = {x[1] for own in claims.values() for x in own}
-        alive, best = set(last.values()), {}
-        for r in sorted(of("back", p), key=lambda r: (-r["score"], r["gap"], r["parent"])):
-            lineage_of = ids.get(p - r["gap"], {}).get(r["parent"])
-            if r["c"] not in done and r["c"] not in won and lineage_of is not None and lineage_of not in alive:
-                best.setdefault(r["c"], (r["score"], r["c"], "reborn", r["parent"], r["gap"], lineage_of))
-        for *claim, lineage_of in best.values():
-            claims.setdefault(lineage_of, []).append(tuple(claim))
-        for lineage_of, own in claims.items():
-            score, c, kind, parent, gap = min(own, key=lambda x: (-x[0], x[1]))
-            done[c] = (lineage_of, kind, parent, score, gap)
-        for r in sorted(of("cluster", p), key=lambda r: r["c"]):
-            got = done.get(r["c"]) or (new(), "new", None, None, None)
-            ids.setdefault(p, {})[r["c"]] = got[0]
-            rows.append((p, r["c"], got[0], got[1] if not first or got[1] != "new" else "new", *got[2:]))
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int32()]
-    corpus = pa.array([table.column("corpus")[0].as_py()] * len(rows), pa.string())
-    return pa.table([corpus, *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["corpus", "period", "c", "lineage", "match_type", "parent", "score", "gap"])
+from driftloom.sources import versions
+from driftloom.storage import stored
+
+COLUMNS = ["corpus", "period", "c", "lineage", "match_type", "parent", "score", "gap"]
+
+
+@dataclass
+class State:
+    """ids: corpus, period, c, lineage of the last periods; numbers: corpus, next (the number of its next new lineage)."""
+
+    ids: DataFrame
+    numbers: DataFrame
+
+
+def empty(spark: SparkSession) -> State:
+    return State(spark.createDataFrame([], "corpus string, period long, c long, lineage string"), spark.createDataFrame([], "corpus string, next long"))
+
+
+def save(state: State, path: str) -> None:
+    """Stores the state as one version: a reader sees all of it or the one before."""
+    versions.commit(path, {"ids": state.ids, "numbers": state.numbers})
+
+
+def load(spark: SparkSession, path: str) -> State:
+    tables = versions.current(spark, path)
+    return State(tables["ids"], tables["numbers"])
+
+
+def seeded(seed: DataFrame, corpus: str) -> State:
+    """A state of given lineages: period, c, lineage. New ones are numbered on from the largest that is a number."""
+    ids = seed.select(F.lit(corpus).alias("corpus"), F.col("period").cast("long").alias("period"), F.col("c").cast("long").alias("c"), "lineage")
+    digits = F.when(F.col("lineage").rlike("^[0-9]+$"), F.col("lineage").cast("long"))
+    return State(ids, ids.groupBy("corpus").agg((F.coalesce(F.max(digits), F.lit(-1)) + 1).alias("next")))
+
+
+def first(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each group."""
+    return df.withColumn("k", F.row_number().over(Window.partitionBy("corpus", *by).orderBy(*order))).filter("k = 1").drop("k")
+
+
+def step(p: int, own: DataFrame, pair: DataFrame, parted: DataFrame, back: DataFrame, state: State) -> tuple[DataFrame, State]:
+    """(rows of period p, state after it); own: corpus, c; pair, parted: corpus, c, parent, score; back: these and gap."""
+    names = ["corpus", "c", "lineage", "match_type", "parent", "score", "gap"]
+    last = state.ids.filter(F.col("period") == p - 1).select("corpus", F.col("c").alias("parent"), "lineage")
+    child = ["corpus", "c"]
+    split = first(parted.join(last, ["corpus", "parent"]), ["c"], F.desc("score"), "parent")
+    split = split.select("corpus", "c", "lineage", F.lit("split_child").alias("match_type"), "parent", "score", F.lit(1).alias("gap"))
+    one = pair.join(split.select(*child), child, "left_anti").join(parted.select("corpus", "parent").distinct(), ["corpus", "parent"], "left_anti").join(last, ["corpus", "parent"])
+    one = first(first(one, ["c"], F.desc("score"), "parent"), ["parent"], F.desc("score"), "c")
+    kept_on = F.when(F.col("score") >= STRONG, "continuation").otherwise("weak")
+    one = one.select("corpus", "c", "lineage", kept_on.alias("match_type"), "parent", "score", F.lit(1).alias("gap"))
+    before = state.ids.select("corpus", (F.lit(p) - F.col("period")).cast("int").alias("gap"), F.col("c").alias("parent"), "lineage")
+    again = back.join(split.select(*child), child, "left_anti").join(one.select(*child), child, "left_anti").join(before, ["corpus", "gap", "parent"])
+    again = again.join(last.select("corpus", "lineage").distinct(), ["corpus", "lineage"], "left_anti")
+    again = first(again, ["c"], F.desc("score"), "gap", "parent").select("corpus", "c", "lineage", F.lit("reborn").alias("match_type"), "parent", "score", "gap")
+    claims = first(one.unionByName(again), ["lineage"], F.desc("score"), "c")
+    done = own.join(split.unionByName(claims).select(*names), child, "left")
+    place = F.sum(F.col("lineage").isNull().cast("long")).over(Window.partitionBy("corpus").orderBy("c"))  # one row a cluster of the period
+    number = F.coalesce("next", F.lit(0)) + place - 1
+    done = done.join(state.numbers, "corpus", "left").withColumn("number", F.when(F.col("lineage").isNull(), number))
+    rows = stored(done.select(
+        "corpus", F.lit(p).cast("long").alias("period"), "c", F.coalesce("lineage", F.format_string("%06d", "number")).alias("lineage"),
+        F.coalesce("match_type", F.lit("new")).alias("match_type"), "parent", "score", F.col("gap").cast("int").alias("gap"), "number",
+    ))
+    used = rows.groupBy("corpus").agg((F.max("number") + 1).alias("up_to"))
+    numbers = state.numbers.join(used, "corpus", "full").select("corpus", F.coalesce("up_to", "next", F.lit(0)).alias("next"))
+    return rows.select(*COLUMNS), State(state.ids.unionByName(rows.select("corpus", "period", "c", "lineage")), numbers)
+
+
+def advance(state: State, pairs: DataFrame, parted: DataFrame, back: DataFrame, own: DataFrame, lookback: int) -> tuple[DataFrame, State]:
+    """(rows of the periods of own, state after the last); pairs, parted: corpus, period, c, parent, score; back: these and gap; own: corpus, period, c."""
+    pairs, parted, back, own = (stored(x) for x in (pairs, parted, back, own))
+    at, out = F.col("period"), None
+    for p in [r.period for r in own.select("period").distinct().orderBy("period").collect()]:  # one row a period
+        now = [x.filter(at == p).drop("period") for x in (own, pairs, parted, back)]
+        rows, state = step(p, *now, state)
+        out = rows if out is None else out.unionByName(rows)
+        state = State(stored(state.ids.filter(at >= p - lookback)), stored(state.numbers))
+    if out is None:
+        rows, state = step(0, *[x.filter("false").drop("period") for x in (own, pairs, parted, back)], state)
+        out = rows
+    return out, state
 
 
 def backwards(cents: DataFrame, lookback: int, weak: float) -> DataFrame:
@@ -93,26 +125,47 @@ def pairs_of(cents: DataFrame, members: DataFrame, weak: float = WEAK) -> tuple[
     return scored, splits.split_children(scored, members)
 
 
+def scores(cents: DataFrame, members: DataFrame, lookback: int, weak: float, corpus: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What advance() needs of the clusters of one corpus: pairs, parted and back."""
+    scored, parted = pairs_of(cents, members, weak)
+    names = ["corpus", "period", "c", "parent", "score"]
+    kinds = [F.col("corpus"), *[F.col(n).cast("long").alias(n) for n in ("period", "c", "parent")], F.col("score")]
+    pair = scored.select(F.lit(corpus), "period", "child", "parent", "composite").toDF(*names).select(*kinds)
+    split = parted.join(scored, ["period", "child", "parent"]).select(F.lit(corpus), "period", "child", "parent", "composite").toDF(*names).select(*kinds)
+    back = backwards(cents, lookback, weak).withColumn("corpus", F.lit(corpus)).select(*kinds, F.col("gap").cast("int").alias("gap"))
+    return pair, split, back
+
+
+def increment(cents: DataFrame, members: DataFrame, state: State, lookback: int = 2, weak: float = WEAK, corpus: str = "all") -> tuple[DataFrame, State]:
+    """(rows, state after them) of the clusters that the state doesn't have yet; cents and members reach back as far as the state."""
+    known = state.ids.filter(F.col("corpus") == corpus).select("period", "c")
+    own = cents.join(known, ["period", "c"], "left_anti").select(F.lit(corpus).alias("corpus"), F.col("period").cast("long").alias("period"), F.col("c").cast("long").alias("c"))
+    return advance(state, *scores(cents, members, lookback, weak, corpus), own, lookback)
+
+
 def match(cents: DataFrame, members: DataFrame, seed: DataFrame | None = None, lookback: int = 2, weak: float = WEAK, corpus: str = "all") -> DataFrame:
     """corpus, period, c, lineage, match_type, parent, score, gap.
 
     cents: period, c, u of one corpus; members: period, c, chunk, w. seed: period, c, lineage of the period before the
     first to be matched, whose clusters are in cents and members too but not in the result.
     """
-    scored, parted = pairs_of(cents, members, weak)
-    names = ["kind", "period", "c", "parent", "gap", "score", "lineage"]
-    none = lambda kind: F.lit(None).cast(kind)
-    pair = scored.select(F.lit("pair"), "period", F.col("child"), "parent", F.lit(1), F.col("composite"), none("string")).toDF(*names)
-    split = parted.join(scored, ["period", "child", "parent"]).select(F.lit("split"), "period", "child", "parent", F.lit(1), "composite", none("string")).toDF(*names)
-    back = backwards(cents, lookback, weak).select(F.lit("back"), "period", "c", "parent", "gap", "score", none("string")).toDF(*names)
-    own = cents.select("period", "c")
-    rows = pair.union(split).union(back)
-    if seed is not None:
-        own = own.join(seed.select("period", "c"), ["period", "c"], "left_anti")
-        rows = rows.union(seed.select(F.lit("seed"), "period", "c", none("long"), none("int"), none("double"), "lineage").toDF(*names))
-    rows = rows.union(own.select(F.lit("cluster"), "period", "c", none("long"), none("int"), none("double"), none("string")).toDF(*names))
-    typed = rows.select(F.lit(corpus).alias("corpus"), "kind", *[F.col(n).cast("long").alias(n) for n in ("period", "c", "parent")], F.col("gap").cast("int").alias("gap"), "score", "lineage")
-    return typed.groupBy("corpus").applyInArrow(fold, OUT)
+    state = empty(cents.sparkSession) if seed is None else seeded(seed, corpus)
+    return increment(cents, members, state, lookback, weak, corpus)[0]
+
+
+def match_corpora(corpora: dict[str, tuple[DataFrame, DataFrame]], state: State, lookback: int = 2, weak: float = WEAK) -> tuple[DataFrame, State]:
+    """As increment(), for (cents, members) of several corpora, whose periods are gone through together."""
+    parts = [[*scores(c, m, lookback, weak, k), c.select(F.lit(k).alias("corpus"), F.col("period").cast("long").alias("period"), F.col("c").cast("long").alias("c"))] for k, (c, m) in corpora.items()]
+    pairs, parted, back, own = (union(list(x)) for x in zip(*parts, strict=True))
+    own = own.join(state.ids.select("corpus", "period", "c"), ["corpus", "period", "c"], "left_anti")
+    return advance(state, pairs, parted, back, own, lookback)
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def summary(matched: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writers that can be run again: escaped text, exports by key and period, swapped tables, manifests and claims."""
+"""Writers that can be run again: escaped text, exports by key and period, swapped and versioned tables, manifests and claims."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import periods
+from driftloom.sources import versions
 
 
 def files(spark: SparkSession, path: str):
@@ -48,18 +49,30 @@ def export_by(spark: SparkSession, chunks: dict[str, Callable[[], DataFrame]], p
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Puts df in the place of the table at path: written beside it first, so readers see the old one or the new one."""
+    """Puts df in the place of the table at path, written beside it first; a run that broke between the two renames is mended.
+
+    Between the renames there is no table at path. Readers who must always find one take ``refresh`` and ``view``.
+    """
     spark = df.sparkSession
     new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     df.write.mode("overwrite").parquet(new)
     (at, fs), (new_at, _), (old_at, _) = files(spark, path), files(spark, new), files(spark, old)
-    fs.delete(old_at, True)
     if fs.exists(at):
+        fs.delete(old_at, True)
         fs.rename(at, old_at)
-    fs.rename(new_at, at)
+    fs.rename(new_at, at)  # if this is not reached, .old is the table that was, and stays until the next one is in place
     fs.delete(old_at, True)
 
 
+def refresh(df: DataFrame, path: str) -> int:
+    """Commits df as the next version of a view; readers of view() see the one before until then, and never none."""
+    return versions.commit(path, {"view": df})
+
+
+def view(spark: SparkSession, path: str) -> DataFrame:
+    return versions.current(spark, path)["view"]
+
+
 def write_period(tables: dict[str, DataFrame], path: str, corpus: str, period: str) -> None:
     """The output of a period: each table under its name, corpus and period, in place of what was there; others stay."""
     for name, df in tables.items():
@@ -81,9 +94,8 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
 
 
 def claim(spark: SparkSession, path: str, name: str) -> bool:
-    """Whether this caller is the first to ask for the name; the mark is made by the file system in one step."""
-    at, fs = files(spark, f"{path.rstrip('/')}/{name}.claim")
-    return not fs.exists(at) and bool(fs.createNewFile(at))
+    """Whether this caller is the first to ask for the name; of several at once one alone makes the mark (see ``versions``)."""
+    return versions.made_once(spark, f"{path.rstrip('/')}/{name}.claim", name)
 
 
 def search_windows(counts: DataFrame, cap: int, day: str = "day", n: str = "n") -> DataFrame:

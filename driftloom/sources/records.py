@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from driftloom.sources import versions
 from driftloom.storage import stored
 
 CHUNK = 1 << 20
@@ -263,11 +264,16 @@ def tables(rows: DataFrame, key: str) -> dict[str, DataFrame]:
 
 
 def write_tables(made: dict[str, DataFrame], path: str, mode: str = "append") -> None:
-    """Each table to a folder of its name, the document table last: it tells that its children are there."""
+    """Each table to a folder of its name, the document table last: it tells that its children are there. A run that breaks leaves children; see ``load_tables``."""
     for name in [*[n for n in made if n != "document"], "document"]:
         made[name].write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
 
 
+def load_tables(made: dict[str, DataFrame], path: str, key: str = "doc_id", **more) -> int:
+    """All tables as one commit beside what is there (see ``versions``); documents that come again take their own place, children too."""
+    return versions.append(path, made, {n: [key] for n in made}, **more)
+
+
 def unknown_paths(records: DataFrame, known: list[str], record: str = "record") -> DataFrame:
     """path, n: element paths beyond the known ones, which tell that a format has moved."""
 

@@ -6,7 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from driftloom.sources import exports, records
+from driftloom.sources import exports, records, versions
 
 PATENT = """<exch:doc-list xmlns:exch="x"><exch:exchange-document doc-id="7" country="EP" doc-number="123" kind="A1" family-id="9" date-publ="20200102" is-representative="YES">
 <exch:bibliographic-data><exch:classifications-ipcr><classification-ipcr sequence="1"><text>H01L  21/00        20060101AFI20250627BHCN</text></classification-ipcr></exch:classifications-ipcr>
@@ -54,6 +54,9 @@ def test_archives_and_patents(spark, tmp_path):
     assert (1, "US42A", None) in got["citations"] and max(len(x[2] or "") for x in got["citations"]) == 4000
     records.write_tables(made, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "titles")).count() == 2
+    for _ in range(2):  # a load that runs again adds nothing
+        records.load_tables(made, str(tmp_path / "db"))
+        assert versions.current(spark, str(tmp_path / "db"))["titles"].count() == 2
     left = records.archived(spark, str(tmp_path), "exchange-document", done=rows.select("archive").distinct())
     assert left.count() == 0
 
