@@ -74,12 +74,15 @@ def member_measures(edges: DataFrame, members: DataFrame) -> DataFrame:
     density = F.coalesce("m", F.lit(0.0))
     spread = F.when(F.col("n") >= 2, F.col("s")).otherwise(0.0)
     return own.select(
-        "id", "c", F.round(density, 6).alias("point_density"), F.round(1 - density, 6).alias("mean_similarity"),
-        F.round(F.coalesce("foreign", F.lit(0.0)), 6).alias("boundary_score"), F.round(F.coalesce(spread / (F.col("m") + 1e-9), F.lit(0.0)), 6).alias("uncertainty"),
-        F.round(F.coalesce(spread, F.lit(0.0)), 6).alias("boundary_proximity"), F.round(1 / F.greatest(density, F.lit(1e-9)), 6).alias("energy"),
+        "id", "c", density.alias("point_density"), (1 - density).alias("mean_similarity"), F.coalesce("foreign", F.lit(0.0)).alias("boundary_score"),
+        F.coalesce(spread / (F.col("m") + 1e-9), F.lit(0.0)).alias("uncertainty"), F.coalesce(spread, F.lit(0.0)).alias("boundary_proximity"), (1 / F.greatest(density, F.lit(1e-9))).alias("energy"),
     )
 
 
+#: The measures of a member.
+MEASURES = ["point_density", "mean_similarity", "boundary_score", "uncertainty", "boundary_proximity", "energy"]
+
+
 def centroid_distances(vectors: DataFrame, members: DataFrame, cents: DataFrame) -> DataFrame:
     """id, c, distance_to_centroid: one less the product of a member's unit vector and its cluster's mean as it is. vectors: id, v."""
     own = members.join(vectors, "id").join(cents, "c")
@@ -166,10 +169,10 @@ def two_nearest_dim(edges: DataFrame, members: DataFrame) -> DataFrame:
     return mu.groupBy("c").agg(F.count("*").alias("n"), (F.count("*") / F.nullif(F.sum("l"), F.lit(0.0))).alias("two_nn_dim"))
 
 
-def merged_measures(edges: DataFrame, members: DataFrame, bundle: DataFrame) -> DataFrame:
-    """One row a node: bundle's measures, triangles, degree and rank side by side; nodes that a measure lacks keep their row."""
+def merged_measures(edges: DataFrame, members: DataFrame, bundle: DataFrame, rank: DataFrame) -> DataFrame:
+    """One row a node: bundle's measures, triangles, degree and rank (id, pagerank) side by side; nodes that a measure lacks keep their row."""
     out = bundle.drop("degree").join(degrees(edges, members), "id", "full")
-    return out.join(triangles(edges, members), "id", "left").join(pagerank(edges, members, 20), "id", "left")
+    return out.join(triangles(edges, members), "id", "left").join(rank, "id", "left")
 
 
 def topology(edges: DataFrame, members: DataFrame, measures: DataFrame, speed: DataFrame, paths: DataFrame) -> DataFrame:

@@ -171,16 +171,18 @@ def reachable(pairs: DataFrame) -> DataFrame:
     return both.groupBy("c").agg(F.countDistinct("o").alias("n_reachable"))
 
 
-def hops(pairs: DataFrame, most: int = 10) -> DataFrame:
-    """a, b, hops of all clusters that edges join, by breadth; pairs: cluster_a, cluster_b. Each round is stored, so plans don't grow."""
+def hops(pairs: DataFrame) -> DataFrame:
+    """a, b, hops of all clusters that edges join, by breadth, however far; pairs: cluster_a, cluster_b. Each round is stored, so plans don't grow."""
     arcs = pairs.select(F.col("cluster_a").alias("a"), F.col("cluster_b").alias("b")).union(pairs.select("cluster_b", "cluster_a")).distinct()
     arcs = stored(arcs)
     known = arcs.withColumn("hops", F.lit(1))
-    front = known
-    for n in range(2, most + 1):
+    front, before, n = known, None, 1
+    while True:
+        n += 1
         step = front.select("a", F.col("b").alias("via")).join(arcs.toDF("via", "b"), "via").filter("a <> b").select("a", "b").distinct()
-        front = stored(step.join(known.select("a", "b"), ["a", "b"], "left_anti").withColumn("hops", F.lit(n)))
-        if front.isEmpty():
-            break
-        known = known.union(front)
-    return known
+        for seen in (front, before):  # what is next to a node is as far as it, or one hop nearer or farther
+            step = step if seen is None else step.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        far = stored(step.withColumn("hops", F.lit(n)))
+        if far.isEmpty():
+            return known
+        known, front, before = known.union(far), far, front

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters, gaps, local_graph
+from driftloom.operators import clusters, gaps, shapes, spectra
+from driftloom.operators import communities as leiden
+from driftloom.operators import graph_rounds as rounds
 from driftloom.operators.knn import knn
 from driftloom.plans.core import query, table
+from driftloom.storage import stored
 
 K = 16
 
@@ -32,11 +35,12 @@ members AS (SELECT vec_id AS id, label AS c FROM embeddings WHERE label IS NOT N
 BOTH = "both_ends AS (SELECT e.*, a.c AS ca, b.c AS cb FROM edges e JOIN members a ON e.src = a.id JOIN members b ON e.dst = b.id)"
 PAIRS = "pairs AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, greatest(max(sim), 0.0) AS weight FROM edges GROUP BY 1, 2)"
 SIZES = "sizes AS (SELECT c, count(*) AS n FROM members GROUP BY c)"
-MEASURES = """measures AS (SELECT m.id, m.c, round(coalesce(avg(1 - sim), 0), 6) AS point_density, round(1 - coalesce(avg(1 - sim), 0), 6) AS mean_similarity,
-  round(coalesce(avg(CASE WHEN ca <> cb THEN 1.0 ELSE 0.0 END) FILTER (WHERE src IS NOT NULL), 0), 6) AS boundary_score,
-  round(coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END / (avg(1 - sim) + 1e-9), 0), 6) AS uncertainty,
-  round(coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END, 0), 6) AS boundary_proximity, round(1 / greatest(coalesce(avg(1 - sim), 0), 1e-9), 6) AS energy
+RAW = """measures AS (SELECT m.id, m.c, coalesce(avg(1 - sim), 0) AS point_density, 1 - coalesce(avg(1 - sim), 0) AS mean_similarity,
+  coalesce(avg(CASE WHEN ca <> cb THEN 1.0 ELSE 0.0 END) FILTER (WHERE src IS NOT NULL), 0) AS boundary_score,
+  coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END / (avg(1 - sim) + 1e-9), 0) AS uncertainty,
+  coalesce(CASE WHEN count(sim) >= 2 THEN stddev_pop(1 - sim) ELSE 0.0 END, 0) AS boundary_proximity, 1 / greatest(coalesce(avg(1 - sim), 0), 1e-9) AS energy
   FROM members m LEFT JOIN both_ends ON src = m.id GROUP BY m.id, m.c)"""
+MEASURES = RAW.replace("measures AS", "raw AS") + ", measures AS (SELECT id, c, " + ", ".join(f"round({m}, 6) AS {m}" for m in clusters.MEASURES) + " FROM raw)"
 CENTS = "cents AS (SELECT c, list(m ORDER BY i) AS centroid FROM (SELECT label AS c, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL) GROUP BY 1, 2) GROUP BY c)"
 FEDGE = """SELECT ca AS cluster_a, cb AS cluster_b, n_shared_edges, round(na / a.n, 6) AS overlap_a, round(nb / b.n, 6) AS overlap_b, greatest(round(na / a.n, 6), round(nb / b.n, 6)) AS overlap
   FROM (SELECT ca, cb, count(*) AS n_shared_edges, count(DISTINCT src) AS na, count(DISTINCT dst) AS nb FROM {f} GROUP BY 1, 2) JOIN sizes a ON ca = a.c JOIN sizes b ON cb = b.c"""
@@ -90,14 +94,14 @@ def void_pairs(s, d):
 
 @query("member_measures", f"WITH {E}, {BOTH}, {MEASURES} SELECT * FROM measures")
 def member_measures(s, d):
-    return clusters.member_measures(edges(s, d), members(s, d))
+    return clusters.member_measures(edges(s, d), members(s, d)).withColumns({m: F.round(m, 6) for m in clusters.MEASURES})
 
 
-@query("cluster_stats", f"""WITH {E}, {BOTH}, {MEASURES}, st AS (SELECT *, avg(point_density) OVER (PARTITION BY c) AS mu, stddev_pop(point_density) OVER (PARTITION BY c) AS sd FROM measures)
+@query("cluster_stats", f"""WITH {E}, {BOTH}, {RAW}, st AS (SELECT *, avg(point_density) OVER (PARTITION BY c) AS mu, stddev_pop(point_density) OVER (PARTITION BY c) AS sd FROM measures)
   SELECT c, count(*) AS size, round(avg(point_density), 6) AS mean_density, round(avg(CASE WHEN point_density > mu + 2 * sd THEN 1.0 ELSE 0.0 END), 4) AS outlier_fraction, round(avg(uncertainty), 6) AS mean_uncertainty,
   round(CASE WHEN count(*) >= 5 THEN quantile_cont(boundary_score, 0.9) - quantile_cont(boundary_score, 0.1) END, 6) AS boundary_sharpness FROM st GROUP BY c""")
 def cluster_stats(s, d):
-    return clusters.cluster_stats(member_measures(s, d))
+    return clusters.cluster_stats(clusters.member_measures(edges(s, d), members(s, d)))
 
 
 @query("graph_degree", f"WITH {E}, {PAIRS}, dg AS (SELECT id, count(*) AS degree FROM (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY id) SELECT m.id, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / ((SELECT count(*) FROM members) - 1), 6) AS degree_centrality FROM members m LEFT JOIN dg USING (id)")
@@ -150,23 +154,106 @@ def grouped(s, d):
     return e.select("period", "src", "dst", "sim")
 
 
-for name in ("communities", "core_number", "betweenness", "harmonic", "eigenvector", "katz", "spectral"):
-    query(name)(lambda s, d, f=getattr(local_graph, name): f(grouped(s, d)))
+#: The graphs of the periods: 8 neighbours, the larger similarity of a pair.
+GRAPHS = f"""unit AS ({UNIT}), near AS (SELECT CAST(a.id % 4 AS VARCHAR) AS g, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY round({COS}, 9) DESC, b.id) AS rank
+  FROM unit a JOIN unit b ON a.id <> b.id AND a.id % 4 = b.id % 4), arcs AS MATERIALIZED (SELECT g, src AS s, dst AS t FROM near WHERE rank <= 8 UNION SELECT g, dst, src FROM near WHERE rank <= 8)"""
 
 
-@query("path_length")
+def levels(most: int, given: str) -> str:
+    """(g, s, t, d, paths) of all pairs by the number of hops; deeper graphs than most would show as a difference."""
+    out = f"{given}, l0 AS MATERIALIZED (SELECT g, s, s AS t, 0 AS d, 1.0::DOUBLE AS paths FROM (SELECT DISTINCT g, s FROM arcs)), f0 AS (SELECT g, s, t FROM l0)"
+    for i in range(1, most + 1):
+        out += f""", l{i} AS MATERIALIZED (SELECT l.g, l.s, a.t, {i} AS d, sum(l.paths) AS paths FROM l{i - 1} l JOIN arcs a ON a.g = l.g AND a.s = l.t
+  WHERE NOT EXISTS (SELECT 1 FROM f{i - 1} f WHERE f.g = l.g AND f.s = l.s AND f.t = a.t) GROUP BY l.g, l.s, a.t), f{i} AS MATERIALIZED (SELECT * FROM f{i - 1} UNION ALL SELECT g, s, t FROM l{i})"""
+    return out + ", pairs AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(most + 1)) + ")"
+
+
+@query("core_number", f"""WITH RECURSIVE {GRAPHS}, peel AS (SELECT DISTINCT g, s AS id, 1 AS k FROM arcs UNION ALL
+  SELECT g, id, CASE WHEN low THEN k ELSE k + 1 END FROM (SELECT p.g, p.id, p.k, coalesce(q.d, 0) AS d, bool_or(coalesce(q.d, 0) < p.k) OVER (PARTITION BY p.g) AS low FROM peel p
+    LEFT JOIN (SELECT x.g, x.id, count(*) AS d FROM peel x JOIN arcs ON arcs.g = x.g AND arcs.s = x.id JOIN peel y ON y.g = x.g AND y.id = arcs.t GROUP BY 1, 2) q ON q.g = p.g AND q.id = p.id)
+  WHERE NOT low OR d >= k) SELECT g AS period, id, CAST(max(k) - 1 AS BIGINT) AS core_number FROM peel GROUP BY 1, 2""")
+def core_number(s, d):
+    return rounds.core_numbers(period_arcs(s, d)).withColumnRenamed("g", "period")
+
+
+@query("betweenness", f"""WITH {levels(9, GRAPHS)}, n AS (SELECT g, count(*) AS n FROM l0 GROUP BY g),
+  way AS (SELECT st.g, sv.t AS id, sum(sv.paths * vt.paths / st.paths) AS b FROM pairs st JOIN pairs sv ON sv.g = st.g AND sv.s = st.s JOIN pairs vt ON vt.g = st.g AND vt.s = sv.t AND vt.t = st.t AND sv.d + vt.d = st.d
+    WHERE sv.t <> st.s AND sv.t <> st.t GROUP BY 1, 2)
+  SELECT l0.g AS period, l0.s AS id, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM l0 JOIN n ON n.g = l0.g LEFT JOIN way ON way.g = l0.g AND way.id = l0.s""")
+def betweenness(s, d):
+    return rounds.betweenness(period_arcs(s, d)).select(F.col("g").alias("period"), "id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query("harmonic", f"""WITH {levels(9, GRAPHS)}, h AS (SELECT g, s, coalesce(sum(1.0::DOUBLE / d) FILTER (WHERE d > 0), 0) AS h FROM pairs GROUP BY g, s)
+  SELECT g AS period, s AS id, round(h / max(h) OVER (PARTITION BY g), 9) AS harmonic FROM h""")
+def harmonic(s, d):
+    return rounds.harmonic(period_arcs(s, d)).select(F.col("g").alias("period"), "id", F.round("harmonic", 9).alias("harmonic"))
+
+
+@query("katz")
+def katz(s, d):
+    return rounds.katz(period_arcs(s, d)).withColumnRenamed("g", "period")
+
+
+@query("eigenvector")
+def eigenvector(s, d):
+    return spectra.eigenvector(period_arcs(s, d)).withColumnRenamed("g", "period")
+
+
+@query("spectral")
+def spectral(s, d):
+    return spectra.spectral(period_arcs(s, d)).withColumnRenamed("g", "period")
+
+
+@query("communities")
+def communities(s, d):
+    return leiden.leiden(period_arcs(s, d)).withColumnRenamed("g", "period")
+
+
+@query("pagerank_settled", f"""WITH RECURSIVE {E}, {PAIRS}, nn AS (SELECT count(*) AS n FROM members), both_ways AS (SELECT a AS s, b AS t FROM pairs UNION ALL SELECT b, a FROM pairs), arcs AS MATERIALIZED (SELECT s, t, count(*) OVER (PARTITION BY s) AS d FROM both_ways),
+  pr AS (SELECT id, 1.0::DOUBLE / n AS r, 0 AS k FROM members, nn UNION ALL SELECT m.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(x, 0), k + 1 FROM members m JOIN pr ON pr.id = m.id LEFT JOIN (SELECT t, sum(r / d) AS x FROM arcs JOIN pr ON s = id GROUP BY t) got ON got.t = m.id, nn WHERE k < 100)
+  SELECT id, round(r, 7) AS pagerank FROM pr WHERE k = 100""")
+def pagerank_settled(s, d):
+    nodes = members(s, d).select(F.lit("all").alias("g"), "id")
+    return rounds.pagerank(whole_arcs(s, d), nodes, tolerance=1e-11).select("id", F.round("pagerank", 7).alias("pagerank"))
+
+
+def period_arcs(s, d):
+    return rounds.arcs(grouped(s, d))
+
+
+def whole_arcs(s, d):
+    return rounds.arcs(edges(s, d).withColumn("period", F.lit("all")))
+
+
+def inside(arcs, members):
+    """The arcs within clusters, as graphs of their own: g tells period and cluster."""
+    own = arcs.join(members.toDF("s", "c"), "s").join(members.toDF("t", "c2"), "t").filter("c = c2")
+    return own.select(F.concat_ws(":", "g", F.col("c").cast("string")).alias("g"), "s", "t", "w")
+
+
+def cluster_paths(arcs, members):
+    out = rounds.path_lengths(inside(arcs, members))
+    return out.select(F.substring_index("g", ":", 1).alias("period"), F.substring_index("g", ":", -1).cast("long").alias("c"), F.round("avg_path_length", 9).alias("avg_path_length"))
+
+
+INSIDE = f"{GRAPHS.replace('arcs AS', 'every AS')}, c AS (SELECT vec_id AS id, label AS c FROM embeddings), arcs AS MATERIALIZED (SELECT g || ':' || x.c AS g, s, t FROM every JOIN c x ON x.id = s JOIN c y ON y.id = t WHERE x.c = y.c)"
+
+
+@query("path_length", f"""WITH {levels(12, INSIDE)} SELECT split_part(g, ':', 1) AS period, CAST(split_part(g, ':', 2) AS BIGINT) AS c,
+  round(CASE WHEN count(DISTINCT s) >= 3 THEN avg(d) FILTER (WHERE d > 0) END, 9) AS avg_path_length FROM pairs GROUP BY g""")
 def path_length(s, d):
-    return local_graph.path_length(grouped(s, d), emb(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("c")))
+    return cluster_paths(period_arcs(s, d), emb(s, d).select(F.col("vec_id").alias("id"), F.col("label").alias("c")))
 
 
 @query("cluster_geometry")
 def cluster_geometry(s, d):
-    return local_graph.cluster_geometry(emb(s, d).select(F.col("label").alias("c"), F.col("embedding").alias("v")))
+    return shapes.cluster_geometry(emb(s, d).select(F.col("label").alias("c"), F.col("embedding").alias("v")))
 
 
 @query("intrinsic_dim")
 def intrinsic_dim(s, d):
-    return local_graph.intrinsic_dim(edges(s, d), emb(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    return shapes.intrinsic_dim(edges(s, d), emb(s, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
 
 
 @query("distance_to_centroid", f"WITH unit AS ({UNIT}), {CENTS} SELECT id, unit.c, round(1 - list_inner_product(u, centroid), 6) AS distance_to_centroid FROM unit JOIN cents ON unit.c = cents.c")
@@ -241,12 +328,16 @@ mn AS (SELECT al.c, avg(list_inner_product(a.u, b.u)) FILTER (WHERE hop = 1) AS
 SELECT z.c, round(CASE WHEN n >= 5 AND m2 IS NOT NULL THEN (m3 - m1) / 2 END, 6) AS propagation_speed FROM (SELECT c, count(*) AS n FROM members GROUP BY c) z LEFT JOIN mn USING (c)"""
 
 
-@query("propagation_speed", PROP)
-def propagation_speed(s, d):
+def speeds(s, d, e):
     from driftloom.functions.vectors import normalised
 
     u = emb(s, d).select(F.col("vec_id").alias("id"), normalised(F.col("embedding")).alias("u"))
-    return gaps.propagation(edges(s, d), members(s, d), u).withColumn("propagation_speed", F.round("propagation_speed", 6))
+    return gaps.propagation(e, members(s, d), u).withColumn("propagation_speed", F.round("propagation_speed", 6))
+
+
+@query("propagation_speed", PROP)
+def propagation_speed(s, d):
+    return speeds(s, d, stored(edges(s, d)))
 
 
 @query("two_nearest_dim", f"""WITH {E}, d AS (SELECT src, max(1 - sim) FILTER (WHERE rank = 1) AS d1, max(1 - sim) FILTER (WHERE rank = 2) AS d2 FROM edges WHERE rank <= 2 GROUP BY src)
@@ -255,19 +346,29 @@ def two_nearest_dim(s, d):
     return clusters.two_nearest_dim(edges(s, d), members(s, d)).withColumn("two_nn_dim", F.round("two_nn_dim", 4))
 
 
+def bundle(arcs):
+    """One row a node: all measures of its graph side by side."""
+    degree = arcs.groupBy("g", F.col("s").alias("id")).agg(F.count("*").alias("degree"))
+    for more in (leiden.leiden(arcs), rounds.core_numbers(arcs), rounds.betweenness(arcs), rounds.harmonic(arcs), spectra.eigenvector(arcs), rounds.katz(arcs)):
+        degree = degree.join(more, ["g", "id"])
+    return degree
+
+
 @query("graph_bundle")
 def graph_bundle(s, d):
-    return local_graph.bundle(grouped(s, d))
+    return bundle(period_arcs(s, d)).withColumnRenamed("g", "period")
 
 
 @query("graph_measures")
 def graph_measures(s, d):
-    e = edges(s, d)
-    return clusters.merged_measures(e, members(s, d), local_graph.bundle(e.withColumn("period", F.lit("all"))).drop("period"))
+    e, m = stored(edges(s, d)), members(s, d)
+    arcs = rounds.arcs(e.withColumn("period", F.lit("all")))
+    rank = rounds.pagerank(arcs, m.select(F.lit("all").alias("g"), "id")).drop("g")
+    return clusters.merged_measures(e, m, bundle(arcs).drop("g"), rank)
 
 
 @query("topology")
 def topology(s, d):
-    e, m = edges(s, d), members(s, d)
-    paths = local_graph.path_length(e.withColumn("period", F.lit("all")), m).select("c", "avg_path_length")
-    return clusters.topology(e, m, member_measures(s, d), propagation_speed(s, d), paths)
+    e, m = stored(edges(s, d)), members(s, d)
+    paths = cluster_paths(rounds.arcs(e.withColumn("period", F.lit("all"))), m).select("c", "avg_path_length")
+    return clusters.topology(e, m, clusters.member_measures(e, m), speeds(s, d, e), paths)

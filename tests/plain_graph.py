@@ -1,20 +1,11 @@
-"""Measures that walk a whole graph, one (corpus, period) graph to a task, with numpy.
-
-A period's graph is the unit that the analysis defines; its size is checked against ``MOST`` before it is gathered, and a
-larger one is refused rather than measured in part.
-"""
+"""Whole-graph measures in plain Python and numpy, against which the rounds of joins are held."""
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MOST = 5_000_000
 
 
 class Graph:
@@ -53,19 +44,6 @@ class Graph:
         return far
 
 
-def per_graph(edges: DataFrame, name: str, f: Callable[[Graph], np.ndarray], kind: str = "double") -> DataFrame:
-    sizes = edges.groupBy("period").count().agg(F.max("count")).first()[0] or 0
-    if sizes > MOST:
-        raise ValueError(f"a period of {sizes} edges; at most {MOST} fit a task")
-    arrow = {"double": pa.float64(), "long": pa.int64()}[kind]
-
-    def one(t: pa.Table) -> pa.Table:
-        g = Graph(t)
-        return pa.table({"period": pa.array([t.column("period")[0].as_py()] * g.n, pa.string()), "id": pa.array(g.ids, pa.int64()), name: pa.array(f(g), arrow)})
-
-    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, f"period string, id long, {name} {kind}")
-
-
 def louvain(g: Graph, resolution: float = 1.0, seed: int = 42) -> np.ndarray:
     """Communities by local moves and aggregation in seeded order, split into connected parts; ids by falling size."""
     rng = np.random.default_rng(seed)
@@ -129,10 +107,6 @@ def louvain(g: Graph, resolution: float = 1.0, seed: int = 42) -> np.ndarray:
     return rank[part]
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "community", louvain, "long")
-
-
 def cores(g: Graph) -> np.ndarray:
     degree = np.array([len(x) for x in g.near])
     core, left, k = np.zeros(g.n, np.int64), set(range(g.n)), 0
@@ -149,27 +123,6 @@ def cores(g: Graph) -> np.ndarray:
     return core
 
 
-def core_number(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "core_number", cores, "long")
-
-
-def bundle(edges: DataFrame) -> DataFrame:
-    """All measures of a period's graph, of which it is built once: a row a node. A measure that fails fails the job; none is silently null."""
-    sizes = edges.groupBy("period").count().agg(F.max("count")).first()[0] or 0
-    if sizes > MOST:
-        raise ValueError(f"a period of {sizes} edges; at most {MOST} fit a task")
-    whole, real = {"community": louvain, "core_number": cores}, {"betweenness": brandes, "harmonic": harmonics, "eigenvector": eigenvectors, "katz": katz_values}
-
-    def one(t: pa.Table) -> pa.Table:
-        g = Graph(t)
-        cols = {"period": pa.array([t.column("period")[0].as_py()] * g.n, pa.string()), "id": pa.array(g.ids, pa.int64()), "degree": pa.array([len(x) for x in g.near], pa.int64())}
-        cols |= {k: pa.array(f(g), pa.int64()) for k, f in whole.items()} | {k: pa.array(f(g), pa.float64()) for k, f in real.items()}
-        return pa.table(cols)
-
-    schema = "period string, id long, degree long, " + ", ".join([*[f"{k} long" for k in whole], *[f"{k} double" for k in real]])
-    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, schema)
-
-
 def sampled(ids: np.ndarray, most: int, seed: int = 42) -> list[int]:
     """Places of at most most ids, in the order of a hash."""
     if len(ids) <= most:
@@ -204,19 +157,11 @@ def brandes(g: Graph, most: int = 256) -> np.ndarray:
     return out * g.n / max(1, len(sources)) / max(1, (g.n - 1) * (g.n - 2))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "betweenness", brandes)
-
-
 def harmonics(g: Graph) -> np.ndarray:
     h = np.array([(1.0 / d[d > 0]).sum() for d in map(g.hops, range(g.n))])
     return h / max(h.max(initial=0), 1e-12)
 
 
-def harmonic(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "harmonic", harmonics)
-
-
 def eigenvectors(g: Graph) -> np.ndarray:
     x = np.full(g.n, 1 / np.sqrt(g.n))
     for _ in range(200):
@@ -228,92 +173,8 @@ def eigenvectors(g: Graph) -> np.ndarray:
     return y
 
 
-def eigenvector(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "eigenvector", eigenvectors)
-
-
 def katz_values(g: Graph) -> np.ndarray:
     alpha, x = 1 / (1 + max(len(p) for p in g.near)), np.ones(g.n)
     for _ in range(50):
         x = 1 + alpha * g.spread(x)
     return x / np.linalg.norm(x)
-
-
-def katz(edges: DataFrame) -> DataFrame:
-    return per_graph(edges, "katz", katz_values)
-
-
-def spectral(edges: DataFrame) -> DataFrame:
-    """Of each period: the second Laplacian eigenvalue, and the gap to the third; null under 3 nodes. A task holds n x n numbers."""
-
-    def one(t: pa.Table) -> pa.Table:
-        g = Graph(t)
-        got = (None, None)
-        if g.n >= 3:
-            m = np.zeros((g.n, g.n))
-            m[g.u, g.v] = m[g.v, g.u] = -g.w
-            m[np.arange(g.n), np.arange(g.n)] = -m.sum(1)
-            e = np.linalg.eigvalsh(m)
-            got = (float(e[1]), float(e[2] - e[1]))
-        return pa.table({"period": [t.column("period")[0].as_py()], "n": pa.array([g.n], pa.int64()), "algebraic_connectivity": pa.array([got[0]], pa.float64()), "spectral_gap": pa.array([got[1]], pa.float64())})
-
-    return edges.select(F.col("period").cast("string").alias("period"), "src", "dst", "sim").groupBy("period").applyInArrow(one, "period string, n long, algebraic_connectivity double, spectral_gap double")
-
-
-def path_length(edges: DataFrame, members: DataFrame, most: int = 200, sources: int = 50) -> DataFrame:
-    """Mean hops between reachable members within a cluster, from all or, over most members, a hashed sample of sources."""
-    inside = edges.join(members.toDF("src", "c"), "src").join(members.toDF("dst", "c2"), "dst").filter("c = c2")
-
-    def one(t: pa.Table) -> pa.Table:
-        g = Graph(t)
-        mean = None
-        if g.n >= 3:
-            d = np.concatenate([x[x > 0] for x in map(g.hops, sampled(g.ids, g.n if g.n <= most else sources))])
-            mean = float(d.mean()) if len(d) else None
-        return pa.table({"period": [t.column("period")[0].as_py()], "c": pa.array([t.column("c")[0].as_py()], pa.int64()), "avg_path_length": pa.array([mean], pa.float64())})
-
-    return inside.select(F.col("period").cast("string").alias("period"), F.col("c").cast("long").alias("c"), "src", "dst", "sim").groupBy("period", "c").applyInArrow(one, "period string, c long, avg_path_length double")
-
-
-def cluster_geometry(vectors: DataFrame) -> DataFrame:
-    """elongation (uncentred singular values 1 to 2, 1..100, from 5 members), volume (product of the first three), skew and kurtosis along the first two principal components (sign: largest loading positive)."""
-
-    def moments(x: np.ndarray) -> tuple[float, float]:
-        z = x - x.mean()
-        s = z.std()
-        return (0.0, 0.0) if s < 1e-12 else (float((z**3).mean() / s**3), float((z**4).mean() / s**4 - 3))
-
-    def one(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("v").to_pylist(), np.float64)
-        n = len(x)
-        s = np.sqrt(np.maximum(0, np.linalg.eigvalsh(x.T @ x)[::-1]))
-        elongation = float(np.clip(s[0] / max(s[1], 1e-12), 1, 100)) if n >= 5 and len(s) > 1 else None
-        volume = float(max(np.prod(s[:3]), 1e-6))
-        shape = [None] * 4
-        if n >= 3:
-            z = x - x.mean(0)
-            _, axes = np.linalg.eigh(z.T @ z)
-            for k in range(2):
-                a = axes[:, -1 - k]
-                a = a * np.sign(a[np.abs(a).argmax()])
-                shape[2 * k : 2 * k + 2] = moments(z @ a)
-        names = ["pc1_skew", "pc1_kurt", "pc2_skew", "pc2_kurt"]
-        return pa.table({"c": pa.array([t.column("c")[0].as_py()], pa.int64()), "size": pa.array([n], pa.int64()), "elongation": pa.array([elongation], pa.float64()), "volume": pa.array([volume], pa.float64()), **{k: pa.array([v], pa.float64()) for k, v in zip(names, shape, strict=True)}})
-
-    rows = vectors.filter("c is not null and v is not null").select(F.col("c").cast("long").alias("c"), "v")
-    return rows.groupBy("c").applyInArrow(one, "c long, size long, elongation double, volume double, pc1_skew double, pc1_kurt double, pc2_skew double, pc2_kurt double")
-
-
-def intrinsic_dim(edges: DataFrame, vectors: DataFrame, share: float = 0.9) -> DataFrame:
-    """Components that hold 90 % of the variance of a node's neighbourhood; null under 3 neighbours. A node has k rows."""
-    near = edges.join(vectors.toDF("dst", "v"), "dst").select("src", "v")
-
-    def one(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("v").to_pylist(), np.float64)
-        dim = None
-        if len(x) >= 3:
-            e = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
-            dim = int(np.searchsorted(np.cumsum(e) / max(e.sum(), 1e-12), share) + 1)
-        return pa.table({"id": t.column("src")[:1], "intrinsic_dim": pa.array([dim], pa.int64())})
-
-    return near.groupBy("src").applyInArrow(one, "id long, intrinsic_dim long")

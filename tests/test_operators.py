@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import clusters, local_graph, matcher
+from driftloom.operators import clusters, geometry, graph_rounds, matcher, spectra
 from driftloom.operators.knn import knn
 from driftloom.sources import readers
 from driftloom.streaming import events
@@ -28,19 +28,10 @@ def test_void_needs_nearness_and_no_edge(spark):
     assert clusters.voids(cents, spark.createDataFrame([(1, 0)], "cluster_a int, cluster_b int")).count() == 0
 
 
-def graph(pairs):
-    return local_graph.Graph(pa.table({"src": [a for a, _ in pairs], "dst": [b for _, b in pairs], "sim": [1.0] * len(pairs)}))
-
-
-def test_local_graph_measures():
-    two = [(a, b) for g in (0, 4) for a in range(g, g + 4) for b in range(a + 1, g + 4)] + [(3, 4)]
-    g = graph(two)
-    part = local_graph.louvain(g)
-    assert len(set(part[:4])) == len(set(part[4:])) == 1 and part[0] != part[4]
-    assert local_graph.cores(g).tolist() == [3] * 8
-    between = local_graph.brandes(g)
-    assert {int(i) for i in np.argsort(-between)[:2]} == {3, 4}
-    assert graph([(0, 1), (1, 2)]).hops(0).tolist() == [0, 1, 2]
+def test_hops_have_no_end(spark):
+    way = spark.createDataFrame([(i, i + 1) for i in range(15)], "cluster_a int, cluster_b int")
+    got = {(r.a, r.b): r.hops for r in geometry.hops(way).collect()}
+    assert got == {(i, j): abs(i - j) for i in range(16) for j in range(16) if i != j}
 
 
 def test_lineage_is_reborn_within_lookback(spark):
@@ -76,12 +67,13 @@ def test_children_of_a_split_inherit(spark):
     assert got[1, 2] == got[1, 3] == (got[0, 1][0], "split_child") and got[1, 4][1] == "new"
 
 
-def test_fold_demotes_the_weaker_claim(spark):
-    """A reborn claim and a lookback claim on one lineage: the higher score keeps it."""
-    names = "corpus string, kind string, period long, c long, parent long, gap int, score double, lineage string"
-    rows = [("x", "cluster", 0, 1, None, None, None, None), ("x", "cluster", 1, 9, None, None, None, None), ("x", "cluster", 2, 2, None, None, None, None), ("x", "cluster", 2, 3, None, None, None, None)]
-    rows += [("x", "back", 2, 2, 1, 2, 0.8, None), ("x", "back", 2, 3, 1, 2, 0.9, None)]
-    got = {(r.period, r.c): (r.lineage, r.match_type) for r in spark.createDataFrame(rows, names).groupBy("corpus").applyInArrow(matcher.fold, matcher.OUT).collect()}
+def test_the_weaker_claim_is_demoted(spark):
+    """Two reborn claims on one lineage: the higher score keeps it."""
+    own = spark.createDataFrame([("x", 0, 1), ("x", 1, 9), ("x", 2, 2), ("x", 2, 3)], "corpus string, period long, c long")
+    none = spark.createDataFrame([], "corpus string, period long, c long, parent long, score double")
+    back = spark.createDataFrame([("x", 2, 2, 1, 0.8, 2), ("x", 2, 3, 1, 0.9, 2)], "corpus string, period long, c long, parent long, score double, gap int")
+    rows, _ = matcher.advance(matcher.empty(spark), none, none, back, own, 2)
+    got = {(r.period, r.c): (r.lineage, r.match_type) for r in rows.collect()}
     assert got[2, 3] == (got[0, 1][0], "reborn") and got[2, 2][1] == "new" and got[2, 2][0] not in (got[0, 1][0], got[1, 9][0])
 
 
@@ -137,12 +129,24 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_spectral_of_a_large_period(spark):
+    """3100 nodes in a ring with three chords each: no dense matrix is made."""
     n = 3100
-    ring = spark.range(n).select(F.lit("p").alias("period"), F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("sim"))
-    got = local_graph.spectral(ring).first()
+    ring = spark.range(n).select(F.lit("p").alias("period"), F.col("id").alias("src"), F.explode(F.array(*[((F.col("id") * m + k) % n) for m, k in ((1, 1), (7, 3), (13, 5), (19, 11))])).alias("dst"), F.lit(1.0).alias("sim")).filter("src <> dst")
+    m = np.zeros((n, n))
+    for r in ring.collect():
+        m[r.src, r.dst] = m[r.dst, r.src] = -1
+    np.fill_diagonal(m, -m.sum(1))
+    e = np.linalg.eigvalsh(m)
+    got = spectra.spectral(graph_rounds.arcs(ring)).first()
     assert got.n == n
-    assert got.algebraic_connectivity == pytest.approx(2 - 2 * np.cos(2 * np.pi / n), abs=1e-10)
-    assert got.spectral_gap == pytest.approx(0, abs=1e-10)
+    assert got.algebraic_connectivity == pytest.approx(e[1], abs=1e-6)
+    assert got.spectral_gap == pytest.approx(e[2] - e[1], abs=1e-6)
+
+
+def test_what_does_not_settle_raises(spark):
+    way = spark.range(400).select(F.lit("p").alias("period"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("sim"))
+    with pytest.raises(RuntimeError):
+        spectra.lowest(spectra.laplacian(graph_rounds.arcs(way)), 3, 5, most=1)
 
 
 def test_graph_bundle_against_plain_python(spark):
