@@ -31,33 +31,30 @@ def keyed(namespace: str, text: Column) -> Column:
     return F.concat(F.lit(f"{namespace}:"), text)
 
 
+# The forms of classification codes.
+IPCR = r"^([A-H])(\d{2})([A-Z])\s+(\d+)/(\d+)\s+(\d{8})([ACN])([FILS])([A-Z]?)"
+CPC = r"^([A-HY])(\d{2})([A-Z])\s*(\d+)/(\d+)"
+BLANKS = " \t\n\r\f\x0b"
+
+
+def fields(text: Column, pattern: str, names: tuple[str, ...]) -> Column:
+    """A struct of the pattern's groups, none of them empty; null where the text is not of that form. The text is worked out once."""
+
+    def told(t: Column) -> Column:
+        groups = F.split(F.regexp_replace(t, f"(?s){pattern}.*", "\x01".join(f"${i}" for i in range(1, len(names) + 1))), "\x01")
+        return F.when(F.rlike(t, F.lit(pattern)), F.transform(F.array(groups), lambda g: F.struct(*[F.nullif(g[i], F.lit("")).alias(n) for i, n in enumerate(names)]))[0])
+
+    return F.transform(F.array(F.btrim(text, F.lit(BLANKS))), told)[0]
+
+
 def ipcr(text: Column) -> Column:
-    """The fields of a fixed-width classification: section, class, subclass, group, subgroup, version, level, position and value.
-
-    The places are those of the exchange format; null fields where the section is no letter of A to H.
-    """
-    cut = lambda at, n: F.trim(F.substring(text, at, n))
-    slash = F.instr(text, "/")
-    rest = F.trim(F.substr(text, slash + 1))
-    tail = F.ltrim(F.regexp_replace(rest, "^[0-9]+", ""))
-    made = F.struct(
-        cut(1, 1).alias("section"), cut(2, 2).alias("class"), cut(4, 1).alias("subclass"), F.trim(F.substr(text, F.lit(5), slash - 5)).alias("group"),
-        F.regexp_extract(rest, "^[0-9]+", 0).alias("subgroup"), F.substring(tail, 1, 8).alias("version"), F.substring(tail, 9, 1).alias("level"),
-        F.substring(tail, 10, 1).alias("position"), F.substring(tail, 11, 1).alias("value"),
-    )
-    return F.when(F.substring(text, 1, 1).between("A", "H") & (slash > 5), made)
+    """section, class, subclass, group, subgroup, version, level, position and value; null for a malformed code."""
+    return fields(text, IPCR, ("section", "class", "subclass", "group", "subgroup", "version", "level", "position", "value"))
 
 
 def cpc(symbol: Column) -> Column:
-    """section, class, subclass, group and subgroup of a symbol, blanks ignored; the section may be Y."""
-    s = F.regexp_replace(symbol, r"\s", "")
-    slash = F.instr(s, "/")
-    made = F.struct(
-        F.substring(s, 1, 1).alias("section"), F.substring(s, 2, 2).alias("class"), F.substring(s, 4, 1).alias("subclass"),
-        F.substr(s, F.lit(5), slash - 5).alias("group"), F.substr(s, slash + 1).alias("subgroup"),
-    )
-    first = F.substring(s, 1, 1)
-    return F.when((first.between("A", "H") | (first == "Y")) & (slash > 5), made)
+    """section, class, subclass, group and subgroup of a symbol; the section may be Y; null for a malformed symbol."""
+    return fields(symbol, CPC, ("section", "class", "subclass", "group", "subgroup"))
 
 
 def cpc_plain(symbol: Column) -> Column:
@@ -80,9 +77,12 @@ def chunk_text(title: Column, abstract: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 20, most: int = 5, else_chars: int = 2000) -> Column:
-    """Up to ``most`` sentences of ``least`` characters or more, else one piece of the first ``else_chars``."""
-    parts = F.filter(F.split(text, r'(?<=[.?!])\s+(?=[A-Z0-9"(\[])'), lambda x: F.length(x) >= least)
-    return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(F.array(F.left(text, F.lit(else_chars))))
+    """Up to ``most`` sentences of ``least`` characters or more, else one piece of the first ``else_chars``; none of a text under ``least``. Blanks around are no part."""
+    text = F.btrim(text, F.lit(BLANKS))
+    parts = F.transform(F.split(text, r'(?<=[.?!])\s+(?=[A-Z0-9"(\[])'), lambda x: F.btrim(x, F.lit(BLANKS)))
+    parts = F.filter(parts, lambda x: F.length(x) >= least)
+    whole = F.when(F.length(text) >= least, F.array(F.left(text, F.lit(else_chars)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(parts) > 0, F.slice(parts, 1, most)).otherwise(whole)
 
 
 def resolved_text(abstracts: Column, titles: Column, english: str = "en") -> Column:

@@ -145,7 +145,7 @@ def cluster_reachability(s, d):
 
 
 CHAIN = "ce AS (SELECT DISTINCT (c_nationkey + k) % 25 AS a, (c_nationkey + k + 1 + k * 3) % 25 AS b FROM customer, (SELECT unnest(range(2)) AS k) WHERE c_nationkey % 4 <> 3)"
-WALK = f"""WITH RECURSIVE {CHAIN}, arcs AS (SELECT a, b FROM ce WHERE a <> b UNION SELECT b, a FROM ce WHERE a <> b), walk AS (SELECT a, b, 1 AS hops FROM arcs UNION SELECT w.a, arcs.b, hops + 1 FROM walk w JOIN arcs ON w.b = arcs.a WHERE hops < 10),
+WALK = f"""WITH RECURSIVE {CHAIN}, arcs AS (SELECT a, b FROM ce WHERE a <> b UNION SELECT b, a FROM ce WHERE a <> b), walk AS (SELECT a, b, 1 AS hops FROM arcs UNION SELECT w.a, arcs.b, hops + 1 FROM walk w JOIN arcs ON w.b = arcs.a WHERE hops < 25),
   hop AS (SELECT a, b, min(hops) AS hops FROM walk WHERE a <> b GROUP BY 1, 2)"""
 
 

@@ -113,35 +113,40 @@ def id_normalise(s, d):
 
 
 CODE = "concat(substr('ABCDEFGHY', CAST(p_partkey % 9 + 1 AS INT), 1), lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), 'L  ', CAST(p_partkey AS VARCHAR(20)), '/', lpad(CAST(p_size AS VARCHAR(9)), 2, '0'), '        20060101AFI20250627BHCN')"
-IPCR = r"^([A-H])(\d{2})([A-Z])\s+(\d+)/(\d+)\s+(\d{8})([A-Z])([A-Z])([A-Z])"
+#: One code in three is malformed or has blanks around it.
+MIXED = f"CASE p_partkey % 15 WHEN 0 THEN lower({CODE}) WHEN 1 THEN replace({CODE}, '/', '-') WHEN 2 THEN replace({CODE}, 'AFI', 'AXI') WHEN 3 THEN concat('  ', {CODE}, ' ') WHEN 4 THEN replace({CODE}, 'L  ', '7  ') ELSE {CODE} END"
+IPCR = r"^([A-H])(\d{2})([A-Z])\s+(\d+)/(\d+)\s+(\d{8})([ACN])([FILS])([A-Z])"
 IPCR_NAMES = ["section", "class", "subclass", "group", "subgroup", "version", "level", "position", "value"]
-CPC = r"^([A-HY])(\d{2})([A-Z])(\d+)/(\d+)$"
+CPC = r"^([A-HY])(\d{2})([A-Z])\s*(\d+)/(\d+)"
 
 
 def fields_sql(pattern: str, names: list[str], of: str) -> str:
     return ", ".join(f"nullif(regexp_extract({of}, '{pattern}', {i}), '') AS \"f_{n}\"" for i, n in enumerate(names, 1))
 
 
-@query("ipcr_parse", f"SELECT p_partkey, {fields_sql(IPCR, IPCR_NAMES, 's')} FROM (SELECT p_partkey, {CODE} AS s FROM part)")
+@query("ipcr_parse", f"SELECT p_partkey, {fields_sql(IPCR, IPCR_NAMES, 'trim(s)')} FROM (SELECT p_partkey, {MIXED} AS s FROM part)")
 def ipcr_parse(s, d):
-    made = table(s, d, "part").select("p_partkey", texts.ipcr(F.expr(CODE)).alias("x"))
+    made = table(s, d, "part").select("p_partkey", texts.ipcr(F.expr(MIXED)).alias("x"))
     return made.select("p_partkey", *[F.col("x")[n].alias(f"f_{n}") for n in IPCR_NAMES])
 
 
-@query("cpc_parse", f"""SELECT p_partkey, {fields_sql(CPC, IPCR_NAMES[:5], 's')}, CASE WHEN length(s) <= 4 THEN s ELSE substr(s, 1, 4) || '  ' || substr(s, 5) END AS spaced
-  FROM (SELECT p_partkey, regexp_replace(CASE WHEN p_partkey % 10 = 0 THEN substr(c, 1, 4) ELSE substr(c, 1, instr(c, '/') + 2) END, '\\s', '', 'g') AS s FROM (SELECT p_partkey, {CODE} AS c FROM part))""")
+@query("cpc_parse", f"""SELECT p_partkey, {fields_sql(CPC, IPCR_NAMES[:5], 'trim(c)')}, CASE WHEN length(s) <= 4 THEN s ELSE substr(s, 1, 4) || '  ' || substr(s, 5) END AS spaced
+  FROM (SELECT p_partkey, c, regexp_replace(c, '\\s', '', 'g') AS s FROM (SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN substr(c, 1, 4) ELSE substr(c, 1, instr(c, '/') + 2) END AS c FROM (SELECT p_partkey, {MIXED} AS c FROM part)))""")
 def cpc_parse(s, d):
-    raw = table(s, d, "part").select("p_partkey", F.expr(CODE).alias("c"))
+    raw = table(s, d, "part").select("p_partkey", F.expr(MIXED).alias("c"))
     raw = raw.withColumn("s", F.when(F.col("p_partkey") % 10 == 0, F.substring("c", 1, 4)).otherwise(F.substr("c", F.lit(1), F.instr("c", "/") + 2)))
     made = raw.withColumn("x", texts.cpc(F.col("s")))
     return made.select("p_partkey", *[F.col("x")[n].alias(f"f_{n}") for n in IPCR_NAMES[:5]], texts.cpc_spaced(F.col("s")).alias("spaced"))
 
 
 @query("sentence_chunks", r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, c[i] AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM
-  (SELECT doc_id, CASE WHEN len(s) > 0 THEN s[1:5] ELSE [left(text, 2000)] END AS c FROM
-  (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.?!])\s+([A-Z0-9"(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: length(x) >= 20) AS s FROM documents WHERE text IS NOT NULL)))""")
+  (SELECT doc_id, CASE WHEN len(s) > 0 THEN s[1:5] WHEN length(t) >= 20 THEN [left(t, 2000)] ELSE [] END AS c FROM
+  (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.?!])\s+([A-Z0-9"(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: length(x) >= 20) AS s FROM
+  (SELECT doc_id, trim(CASE WHEN doc_id % 9 = 0 THEN '  ' || left(text, 30) || chr(10) ELSE text END, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE text IS NOT NULL))))""")
 def sentence_chunks(s, d):
-    made = table(s, d, "documents").filter("text is not null").select("doc_id", texts.sentences(F.col("text")).alias("c"))
+    """One text in nine is cut to 30 characters with blanks around, so that some are too short."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("  "), F.left("text", F.lit(30)), F.lit("\n"))).otherwise(F.col("text"))
+    made = table(s, d, "documents").filter("text is not null").select("doc_id", texts.sentences(text).alias("c"))
     return made.select("doc_id", F.posexplode("c").alias("chunk", "text"))
 
 

@@ -220,17 +220,17 @@ def corpora_by_size(s, d):
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.col("source").asc_nulls_last())))
 
 
-CAP = 220
+CAP = 180
 
 
-@query("search_windows", f"""WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR o_orderkey % 2 = 0 GROUP BY 1),
+@query("search_windows", f"""WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1),
   r AS (SELECT *, sum(n) OVER (PARTITION BY date_trunc('quarter', day)) AS nq, sum(n) OVER (PARTITION BY date_trunc('month', day)) AS nm FROM c),
   k AS (SELECT n, CASE WHEN nq < {CAP} THEN 'quarterly' WHEN nm < {CAP} THEN 'monthly' ELSE 'weekly' END AS resolution, CAST(CASE WHEN nq < {CAP} THEN date_trunc('quarter', day) WHEN nm < {CAP} THEN date_trunc('month', day) ELSE greatest(date_trunc('week', day), date_trunc('month', day)) END AS DATE) AS s FROM r)
   SELECT resolution, s AS window_start, CASE resolution WHEN 'quarterly' THEN last_day(CAST(s + INTERVAL 2 MONTH AS DATE)) WHEN 'monthly' THEN last_day(s) ELSE least(CAST(date_trunc('week', s) + INTERVAL 6 DAY AS DATE), last_day(s)) END AS window_end, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1, 2""")
 def search_windows(s, d):
     from driftloom.sources.exports import search_windows as windows
 
-    o = table(s, d, "orders").filter("o_orderdate < timestamp '1997-01-01' or o_orderkey % 2 = 0")
+    o = table(s, d, "orders")
     return windows(o.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n")), CAP)
 
 
@@ -244,12 +244,12 @@ def copy_lines(s, d):
 
 
 
-@query("xml_children", "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS sequence, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 3")
+@query("xml_children", "SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, l_linenumber AS sequence, s_name AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def xml_children(s, d):
     """Orders written as XML and read back: one child row a line."""
     from driftloom.sources import records as xml
 
-    j = table(s, d, "lineitem").filter("l_linenumber <= 3").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     line = F.concat(F.lit('<party sequence="'), "l_linenumber", F.lit('"><name>'), "s_name", F.lit("</name></party>"))
     docs = j.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("x"))
     text = F.concat(F.lit('<e:doc doc-id="'), "l_orderkey", F.lit('"><title>x &unknown; y</title>'), "x", F.lit("</e:doc>"))
