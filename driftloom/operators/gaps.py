@@ -1,18 +1,28 @@
 """What lies between clusters: dark matter, gaps of all pairs, and how similarity falls along the neighbour graph.
 
-rows: c (null for none), chunk, v (unit vectors); cents: c, m (mean). Members are compared with pairs of clusters through
-one array of the pairs' midpoints, so that a member makes no row for each pair; sums are combined before the shuffle.
+rows: c (null for none), chunk, v (unit vectors); cents: c, m (mean). Members meet points (midpoints of pairs, centroids,
+members of other clusters) in blocks: a task multiplies the vectors of one block by those of another, and returns a row for
+each point or pair of clusters, its best of the block. So a member makes a row for each block of points, not for each point.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.vectors import dot, normalised
+from driftloom.storage import stored
 
 JUNK, VOID_RADIUS, FRINGE_RADIUS, BOUNDARY = 2, 0.15, 0.20, 0.3
+#: Pairs of clusters beyond which a period's gaps are left out, as the analysis has it.
+MOST_PAIRS = 10_000
+#: Vectors of a block.
+BLOCK = 4096
 
 
 def dark_matter(members: DataFrame, junk: int = JUNK) -> DataFrame:
@@ -33,31 +43,67 @@ def midpoints(cents: DataFrame) -> DataFrame:
     return both.select("a", "b", (1 - dot(F.col("ma"), F.col("mb"))).alias("centroid_distance"), normalised(F.zip_with("ma", "mb", lambda x, y: x + y)).alias("mid"))
 
 
-def gaps(rows: DataFrame, cents: DataFrame, weights: DataFrame, boundary: DataFrame, junk: int = JUNK, void_radius: float = VOID_RADIUS, fringe_radius: float = FRINGE_RADIUS, boundary_least: float = BOUNDARY) -> DataFrame:
-    """One row a pair of clusters. weights: a, b, weight_ab, weight_ba; boundary: chunk, boundary_score."""
-    points = midpoints(cents)
+def met(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f of each block of left with each block of right; both are dealt by a hash of their key k."""
+
+    def dealt(df: DataFrame, own: str, other: str, blocks: int, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    m, n = (max(1, -(-df.count() // BLOCK)) for df in (left, right))
+    return dealt(left, "i", "j", m, n).groupBy("i", "j").cogroup(dealt(right, "j", "i", n, m).groupBy("i", "j")).applyInArrow(f, schema)
+
+
+def matrix(t: pa.Table, name: str) -> np.ndarray:
+    flat = t.column(name).combine_chunks()
+    return np.array(flat.flatten(), np.float64).reshape(len(flat), -1)
+
+
+def nearest_of_points(rows: DataFrame, points: DataFrame, kind: str, radius: float) -> DataFrame:
+    """(k, d, chunk, dark, n): of each point the nearest member, ties to the smaller chunk, and dark members within the radius.
+
+    rows: k (chunk), v, dark; points: k of type kind, p.
+    """
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table({"k": y.column("k")[:0], "d": pa.array([], pa.float64()), "chunk": x.column("k")[:0], "dark": pa.array([], pa.bool_()), "n": pa.array([], pa.int64())})
+        x = x.sort_by("k")
+        dark = np.array(x.column("dark"), bool)
+        d = np.round(1 - matrix(x, "v") @ matrix(y, "p").T, 9)
+        at = d.argmin(0)
+        near = (d[dark] < radius).sum(0)
+        return pa.table({"k": y.column("k"), "d": pa.array(d[at, np.arange(d.shape[1])]), "chunk": x.column("k").take(pa.array(at)), "dark": pa.array(dark[at]), "n": pa.array(near, pa.int64())})
+
+    chunk = rows.schema["k"].dataType.simpleString()
+    found = met(rows, points, best, f"k {kind}, d double, chunk {chunk}, dark boolean, n long")
+    return found.groupBy("k").agg(F.min(F.struct("d", "chunk", "dark")).alias("best"), F.sum("n").alias("n"))
+
+
+def gaps(rows: DataFrame, cents: DataFrame, weights: DataFrame, boundary: DataFrame, junk: int = JUNK, void_radius: float = VOID_RADIUS, fringe_radius: float = FRINGE_RADIUS, boundary_least: float = BOUNDARY, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """One row a pair of clusters of one period, none if there are over most_pairs. weights: a, b, weight_ab, weight_ba; boundary: chunk, boundary_score."""
+    clusters = cents.count()
+    if clusters * (clusters - 1) // 2 > most_pairs:
+        cents, rows = cents.filter("false"), rows.filter("false")
+    points = stored(midpoints(cents))
     marked = dark_matter(rows.select(F.col("chunk").alias("id"), "c"), junk)
-    dark = marked.filter("is_dark_matter").select(F.col("id").alias("chunk"))
-    n_dark = dark.agg(F.count("*").alias("n_dark"))
-    # members against midpoints and centroids: by blocks of pairs, a partial best of each before the shuffle
-    near = rows.join(marked.select(F.col("id").alias("chunk"), "is_dark_matter"), "chunk").crossJoin(points.select("a", "b", "mid"))
-    d = near.select("a", "b", "chunk", "is_dark_matter", F.round(1 - dot(F.col("v"), F.col("mid")), 9).alias("d"))
-    per = d.groupBy("a", "b").agg(
-        F.min(F.struct("d", "chunk", "is_dark_matter")).alias("best"), F.count_if(F.col("is_dark_matter") & (F.col("d") < void_radius)).alias("n_dark_near")
-    )
-    sizes = rows.filter("c is not null").groupBy("c").agg(F.count("*").alias("n"))
-    to_cent = rows.join(dark, "chunk", "left_semi").crossJoin(cents.select(F.col("c").alias("k"), "m"))
-    fringe = to_cent.groupBy("k").agg(F.count_if(F.round(1 - dot(F.col("v"), F.col("m")), 9) < fringe_radius).alias("f"))
-    density = cents.select("c").join(fringe.withColumnRenamed("k", "c"), "c", "left").join(sizes, "c", "left")
+    members = stored(rows.join(marked.select(F.col("id").alias("chunk"), F.col("is_dark_matter").alias("dark")), "chunk").select(F.col("chunk").alias("k"), "c", "v", "dark"))
+    n_dark = members.filter("dark").agg(F.count("*").alias("n_dark"))
+    c = cents.schema["c"].dataType.simpleString()
+    pair = points.select(F.struct("a", "b").alias("k"), F.col("mid").alias("p"))
+    per = nearest_of_points(members.select("k", "v", "dark"), pair, f"struct<a:{c},b:{c}>", void_radius).select("k.a", "k.b", "best", F.col("n").alias("n_dark_near"))
+    sizes = members.filter("c is not null").groupBy("c").agg(F.count("*").alias("n"))
+    fringe = nearest_of_points(members.filter("dark").select("k", "v", "dark"), cents.select(F.col("c").alias("k"), F.col("m").alias("p")), c, fringe_radius).select(F.col("k").alias("c"), F.col("n").alias("f"))
+    density = cents.select("c").join(fringe, "c", "left").join(sizes, "c", "left")
     density = density.select("c", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("f", F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("fringe"))
     out = points.drop("mid").join(per, ["a", "b"]).join(density.toDF("a", "size_a", "fringe_density_a"), "a").join(density.toDF("b", "size_b", "fringe_density_b"), "b")
-    out = out.join(edge_distance(rows.filter("c <> -1"), boundary, boundary_least), ["a", "b"], "left").join(weights, ["a", "b"], "left").join(n_dark)
+    own = members.filter("c <> -1").select("c", F.col("k").alias("chunk"), "v")
+    out = out.join(edge_distance(own, boundary, boundary_least), ["a", "b"], "left").join(weights, ["a", "b"], "left").join(n_dark)
     ab, ba = F.coalesce("weight_ab", F.lit(0.0)), F.coalesce("weight_ba", F.lit(0.0))
     near_density = F.when(F.col("n_dark_near") > 0, F.col("n_dark_near") / (void_radius**2 * F.col("n_dark") + 1e-9)).otherwise(0.0)
     return out.select(
         F.col("a").alias("cluster_a"), F.col("b").alias("cluster_b"), "centroid_distance", F.coalesce("boundary_distance", "centroid_distance").alias("boundary_distance"),
         F.col("best.d").alias("void_depth"), "n_dark_near", near_density.alias("dark_density_near"), "fringe_density_a", "fringe_density_b", F.greatest(ab, ba).alias("connection_weight"),
-        ab.alias("weight_ab"), ba.alias("weight_ba"), "size_a", "size_b", F.col("best.is_dark_matter").alias("nearest_is_dark"),
+        ab.alias("weight_ab"), ba.alias("weight_ba"), "size_a", "size_b", F.col("best.dark").alias("nearest_is_dark"),
         gap_type(F.greatest(ab, ba), F.col("n_dark_near"), F.col("fringe_density_a"), F.col("fringe_density_b")).alias("gap_type"),
     )
 
@@ -70,10 +116,28 @@ def edge_members(rows: DataFrame, boundary: DataFrame, least: float = BOUNDARY)
 
 
 def edge_distance(rows: DataFrame, boundary: DataFrame, least: float = BOUNDARY) -> DataFrame:
-    """a, b, boundary_distance: the least distance of boundary members of two clusters; only a task's best go on."""
-    e = edge_members(rows, boundary, least)
-    both = e.toDF("a", "ca", "va").join(e.toDF("b", "cb", "vb"), F.col("a") < F.col("b"))
-    return both.groupBy("a", "b").agg(F.min(F.round(1 - dot(F.col("va"), F.col("vb")), 9)).alias("boundary_distance"))
+    """a, b, boundary_distance: the least distance of boundary members of two clusters a < b; a row a pair of clusters and block goes on."""
+    c = rows.schema["c"].dataType.simpleString()
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b, least = [], [], []
+        if x.num_rows and y.num_rows:
+            x, y = x.sort_by("c"), y.sort_by("c")
+            d = np.round(1 - matrix(x, "v") @ matrix(y, "v").T, 9)
+            own, other = (np.array(t.column("c")) for t in (x, y))
+            first, first_other = (np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) for o in (own, other))
+            low = np.minimum.reduceat(np.minimum.reduceat(d, first, axis=0), first_other, axis=1)
+            for i, p in enumerate(own[first].tolist()):
+                for j, q in enumerate(other[first_other].tolist()):
+                    if p < q:
+                        a.append(p)
+                        b.append(q)
+                        least.append(low[i, j])
+        kind = x.schema.field("c").type
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind), "d": pa.array(least, pa.float64())})
+
+    e = stored(edge_members(rows, boundary, least).select(F.col("chunk").alias("k"), "c", "v"))
+    return met(e, e, best, f"a {c}, b {c}, d double").groupBy("a", "b").agg(F.min("d").alias("boundary_distance"))
 
 
 def propagation(edges: DataFrame, members: DataFrame, vectors: DataFrame, sources: int = 20, least: int = 5) -> DataFrame:

@@ -30,16 +30,18 @@ def index(works: DataFrame, key: str) -> DataFrame:
 
 
 def link(works: DataFrame, source: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """source with work and how: the first of keys by which it is found, each tried for what is not linked yet; null for none."""
-    left = source.select("*", F.lit(None).cast("string").alias("work"), F.lit(None).cast("string").alias("how"))
-    done = None
+    """source with work and how: the first of keys by which it is found; null for none.
+
+    One left join a key, whose hits are told apart by the order of keys. A null key stands for a value of the row's own, which
+    no work has, so that rows without the key are dealt out and not joined in one task.
+    """
+    out = source.withColumn("__row", F.monotonically_increasing_id().cast("string"))
     for key in keys:
-        tried = left.filter(F.col(key).isNotNull()).drop("work", "how").join(index(works, key), key, "left")
-        tried = tried.select(*source.columns, F.col("__w").alias("work"), F.when(F.col("__w").isNotNull(), key).alias("how"))
-        hit, miss = tried.filter("work is not null"), tried.filter("work is null")
-        left = left.filter(F.col(key).isNull()).unionByName(miss)
-        done = hit if done is None else done.unionByName(hit)
-    return left if done is None else done.unionByName(left)
+        found = index(works, key).select(F.col(key).cast("string").alias("__key"), F.col("__w").alias(f"__w_{key}"))
+        out = out.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), "__row"))).join(found, "__key", "left").drop("__key")
+    hits = [F.col(f"__w_{key}") for key in keys]
+    how = F.coalesce(*[F.when(h.isNotNull(), key) for h, key in zip(hits, keys, strict=True)])
+    return out.select(*source.columns, F.coalesce(*hits).alias("work"), how.alias("how"))
 
 
 def filled(works: DataFrame, facts: DataFrame, columns: list[str], on: str = "work") -> DataFrame:

@@ -311,7 +311,7 @@ def gap_pairs(s, d):
     real = rows.filter("c is not null and c <> -1")
     cents = geometry.means(real, ["c"]).select("c", "m")
     gm = real.select(F.col("chunk").alias("id"), "c")
-    e = clusters.labelled(edges(s, d), gm)
+    e = stored(clusters.labelled(edges(s, d), gm))
     score = e.groupBy(F.col("src").alias("chunk")).agg(F.avg((F.col("ca") != F.col("cb")).cast("double")).alias("boundary_score"))
     weights = gaps.touching(e, gm)
     out = gaps.gaps(rows, cents, weights, score, void_radius=0.9, fringe_radius=0.95, boundary_least=0.9)

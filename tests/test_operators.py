@@ -212,6 +212,19 @@ def test_graph_bundle_against_plain_python(spark):
     assert q > 0.2 and part[ids[0]] is not None
 
 
+def test_gaps_over_blocks_are_those_of_one(spark, monkeypatch):
+    from driftloom.operators import gaps
+    from driftloom.plans import graph as plans
+
+    one = sorted(map(tuple, plans.gap_pairs(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(gaps, "BLOCK", 150)
+    assert sorted(map(tuple, plans.gap_pairs(spark, "/root/testdata/sf0.001").collect())) == one and len(one) > 30
+    cents = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "c int, m array<double>")
+    rows = spark.createDataFrame([(i % 4, i, [1.0, 0.0]) for i in range(12)], "c int, chunk long, v array<double>")
+    none = spark.createDataFrame([], "a int, b int, weight_ab double, weight_ba double"), spark.createDataFrame([], "chunk long, boundary_score double")
+    assert gaps.gaps(rows, cents, *none).count() == 6 and gaps.gaps(rows, cents, *none, most_pairs=5).count() == 0
+
+
 def test_paths_and_shapes_against_plain_python(spark):
     from driftloom.plans import graph as plans
 
