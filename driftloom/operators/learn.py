@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftloom.operators import tree_shares
 from driftloom.storage import stored
 
 FEATURES = ["size", "value", "size_1", "growth", "age"]
@@ -90,15 +91,28 @@ def gbt(df: DataFrame, folds: int = 5, rounds: int = 10) -> DataFrame:
 
     Folds are dealt by a hash within each class, so that each holds its share of both.
     """
-    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
     df = weighed(vectors(df).withColumnRenamed("raw", "features")).withColumn("fold", F.pmod(F.xxhash64("lineage", "period"), F.lit(folds))).cache()
-    make = lambda rows: GBTClassifier(weightCol="w", maxDepth=4, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(rows)
     train = df.filter("train")
-    found = [auc(make(train.filter(F.col("fold") != k)).transform(train.filter(F.col("fold") == k))) for k in range(folds)]
-    model = make(train)
-    return model.transform(df.filter("not train")).select("lineage", "period", F.round(vector_to_array("probability")[1], 6).alias("risk"), "label", F.lit(round(float(np.mean(found)), 4)).alias("cv_auc"))
+    found = [auc(boosted(train.filter(F.col("fold") != k), rounds).transform(train.filter(F.col("fold") == k))) for k in range(folds)]
+    model = boosted(train, rounds)
+    later = stored(model.transform(df.filter("not train")).select("lineage", "period", F.round(vector_to_array("probability")[1], 6).alias("risk"), "label", F.lit(round(float(np.mean(found)), 4)).alias("cv_auc")))
+    df.unpersist()
+    return later
+
+
+def boosted(rows: DataFrame, rounds: int = 10):
+    """The classifier of gbt() over rows with features, label and w."""
+    from pyspark.ml.classification import GBTClassifier
+
+    return GBTClassifier(weightCol="w", maxDepth=4, maxIter=rounds, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(rows)
+
+
+def gbt_attributions(df: DataFrame, rounds: int = 10) -> DataFrame:
+    """lineage, period, feature, attribution, place: what each feature adds to the classifier's margin for the rows of the later periods."""
+    model = boosted(weighed(vectors(df).withColumnRenamed("raw", "features")).filter("train"), rounds)
+    return tree_shares.attributions(df.filter("not train"), model, FEATURES, ["lineage", "period"])
 
 
 def phase_regressor(series: DataFrame, features: list[str], target: str, rounds: int = 20) -> DataFrame:

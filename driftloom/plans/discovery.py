@@ -103,6 +103,12 @@ def gbt_death(s, d):
     return learn.gbt(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")))
 
 
+@query("tree_attribution")
+def tree_attribution(s, d):
+    made = learn.gbt_attributions(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")))
+    return made.withColumn("attribution", F.round("attribution", 6))
+
+
 @query("kmeans_archetypes")
 def kmeans_archetypes(s, d):
     return learn.archetypes(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")))
