@@ -23,6 +23,17 @@ def quoted_tsv(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def abstracts(spark: SparkSession, folder: str, ids: DataFrame, names: tuple[str, ...] = ("g_patent_abstract.tsv", "g_abstract.tsv")) -> DataFrame:
+    """patent_id, abstract of the first of the named files that is there, for ids (patent_id); blanks around go, empty ones too. Raises if there is none."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            rows = spark.read.csv(path.toString(), sep="\t", quote='"', escape='"', header=True, multiLine=True).toDF("patent_id", "abstract")
+            rows = rows.select("patent_id", F.btrim("abstract", F.lit(" \t\n\r\f\x0b")).alias("abstract")).filter("abstract <> ''")
+            return rows.join(ids.select("patent_id").distinct(), "patent_id", "left_semi")
+    raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
+
+
 def nulls(c: str) -> Column:
     return F.when(~F.col(c).isin(*NULLS), F.col(c))
 

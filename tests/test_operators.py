@@ -108,6 +108,17 @@ def test_zipped_records_go_on_after_a_bad_file(spark, tmp_path):
     assert [(r.doc_number, r.title, str(r.published)) for r in p] == [("1", "E", "2020-01-02")]
 
 
+def test_abstracts_come_from_the_first_file_there_is(spark, tmp_path):
+    ids = spark.createDataFrame([("1",), ("2",), ("4",)], "patent_id string")
+    with pytest.raises(FileNotFoundError):
+        readers.abstracts(spark, str(tmp_path), ids)
+    (tmp_path / "g_abstract.tsv").write_text('patent_id\tpatent_abstract\n1\t" one ""quoted""\nline "\n2\t"  "\n3\tthree\n4\tfour\n')
+    got = {r.patent_id: r.abstract for r in readers.abstracts(spark, str(tmp_path), ids).collect()}
+    assert got == {"1": 'one "quoted"\nline', "4": "four"}
+    (tmp_path / "g_patent_abstract.tsv").write_text("patent_id\tpatent_abstract\n2\ttwo\n")
+    assert [r.abstract for r in readers.abstracts(spark, str(tmp_path), ids).collect()] == ["two"]
+
+
 def test_upsert_modes(spark):
     old = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
     new = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
