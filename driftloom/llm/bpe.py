@@ -7,8 +7,8 @@ strings together. Words are encoded once for each distinct spelling that a bound
 Normalisation, splitting and special tokens are read from the tokenizer's own file, as far as the file uses what is
 built here; other files are refused rather than encoded wrongly.
 
-Defined results: a null or empty text has no tokens; rows that repeat are encoded alike; an empty table gives an empty
-table; other columns stay, clashing ones are replaced.
+Defined results: a null or empty text has no tokens; rows that repeat are encoded alike; texts of any length are
+encoded whole; an empty table gives an empty table; other columns stay, clashing ones are replaced.
 """
 
 from __future__ import annotations

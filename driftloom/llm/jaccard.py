@@ -19,7 +19,8 @@ these are 24 trees and 36 of 64 minhashes: 0.0014 of the pairs are missed at DEP
 trees share the minhashes; the figures have the variance of these in.
 
 Defined results: a null text, or one without words, links with nothing; rows that repeat are copies, linked to each
-other; a doc_id of several texts has a class for each; a null key links with nothing; an empty table gives an empty table.
+other; a doc_id of several texts has a class for each; a null key links with nothing; texts of any length are read whole, in
+pieces; an empty table gives an empty table. near_duplicates returns its own columns alone, distinct_documents those of df.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ which its workers map and probe, so that one pass over the documents does howeve
 that decide nothing (below ``min_docs``) are left out of the arrays.
 
 Defined results: a null text is one empty line; keys shorter than ``min_chars`` code points never go; repeated rows are
-documents of their own; an empty table gives an empty table; clashing column names are replaced.
+documents of their own; texts and lines of any length are taken whole; an empty table gives an empty table; clashing column names are replaced.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ saw, parts of the tables are added up and stored, and each executor lays them ou
 Broadcast are ``top`` tokens at most.
 
 Defined results: a null text is an empty one, of which the end alone is scored; a null doc_id is of the training rows;
-rows that repeat are scored alike; without training rows the base score is 0; an empty table gives an empty table.
+rows that repeat are scored alike; texts of any length are scored whole; without training rows the base score is 0; an empty
+table gives an empty table. score returns its own columns alone, so that none of df's can clash.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ the end of the rule's last match) and its forward automaton the longest end. Bot
 rule so are its leftmost, longest, non-overlapping matches; a rule's ``least`` drops those whose last group is short,
 after they have used up their text.
 
-Defined results: a null text is an empty one and has no spans; rows that repeat are scanned alike; an empty table gives
-an empty table; other columns stay, clashing ones are replaced.
+Defined results: a null text is an empty one and has no spans; rows that repeat are scanned alike; texts of any
+length are scanned whole; an empty table gives an empty table; other columns stay, clashing ones are replaced.
 """
 
 from __future__ import annotations
