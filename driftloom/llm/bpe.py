@@ -32,7 +32,9 @@ from driftloom.llm.common import in_batches, map_rows, small_batches, without
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Python's str.split() also splits at these.
 ODD = regex.compile("[\x1c-\x1f]")
-CACHED = 150_000
+CACHED = 400_000
+#: The same where other operators work beside this one in a job.
+CACHED_BESIDE = 150_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -68,7 +70,8 @@ def late_small() -> dict[int, int]:
 
 
 class Bpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
+        self.cached = cached
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -142,7 +145,7 @@ class Bpe:
         spelt[-1] += self.end
         vocab = self.vocab
         ids = self.merge([vocab[s] for s in spelt if s in vocab])
-        if len(self.words) >= CACHED:
+        if len(self.words) >= self.cached:
             self.words.clear()
         self.words[piece] = out = np.array(ids, "<u4").tobytes()
         return out
@@ -158,7 +161,7 @@ class Bpe:
                 pieces = self.strict
         out = b"".join([self.word(p) for p in pieces.findall(low)])
         if len(text) <= 64:
-            if len(self.chunks) >= CACHED:
+            if len(self.chunks) >= self.cached:
                 self.chunks.clear()
             self.chunks[text] = out
         return out
@@ -187,9 +190,9 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> Bpe:
+def tokenizer(path: str, cached: int = CACHED) -> Bpe:
     """One for each Python worker, with its caches."""
-    return Bpe(path)
+    return Bpe(path, cached)
 
 
 def default_path() -> str:
@@ -198,15 +201,15 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
-    """df with an array of token ids."""
+def encode(df: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", cached: int = CACHED_BESIDE) -> DataFrame:
+    """df with an array of token ids; a worker keeps those of so many spellings."""
     path = path or default_path()
     small_batches(df.sparkSession, 500)
     df = without(df, ids)
     place = df.columns.index(text)
 
     def run(batches):
-        bpe = tokenizer(path)
+        bpe = tokenizer(path, cached)
         for b in batches:
             made = [np.frombuffer(bpe.encode(t), "<u4").astype(np.int32) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
