@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftloom.operators import learn, lineage, matcher, trajectories
+from driftloom.operators import formulas, learn, lineage, matcher, trajectories
 from driftloom.operators import panel as series_ops
 from driftloom.operators import rules as ops
 from driftloom.plans.core import plain, query, table
@@ -189,6 +189,13 @@ def tree_attribution(s, d):
     return made.withColumn("attribution", F.round("attribution", 6))
 
 
+@query("symbolic_formulas")
+def symbolic_formulas(s, d):
+    """Formulas for the next period's size; tests/test_formulas.py holds the search against planted laws."""
+    got = formulas.search(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")), learn.FEATURES, "next")
+    return got.withColumns({c: F.round(c, 6) for c in ("r2", "slope", "intercept")})
+
+
 @query("kmeans_archetypes")
 def kmeans_archetypes(s, d):
     return learn.archetypes(learn.panel_features(table(s, d, "orders"), table(s, d, "customer")))
