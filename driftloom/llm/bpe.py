@@ -94,13 +94,14 @@ class Bpe:
         self.white = regex.compile(f"[{regex.escape(WHITE)}]+")
         pattern = split["pattern"]["Regex"].replace(r"\s", regex.escape(WHITE))
         self.pieces = regex.compile(pattern)
-        late = regex.escape(late_letters())
-        self.late = regex.compile(f"[{late}]") if late else None
+        late = late_letters()
+        self.late = frozenset(late)
+        late = regex.escape(late)
         for p in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(p, f"[{p}--[{late}]]")
         self.strict = regex.compile(f"(?V1){pattern}") if late else self.pieces
         self.small = late_small()
-        self.capitals = regex.compile(f"[{''.join(map(chr, self.small))}]") if self.small else None
+        self.capitals = frozenset(map(chr, self.small))
         self.letters = byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -155,9 +156,9 @@ class Bpe:
         low = text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
         pieces = self.pieces
         if not low.isascii():
-            if self.capitals and self.capitals.search(low):
+            if not self.capitals.isdisjoint(low):
                 low = low.translate(self.small)
-            if self.late and self.late.search(low):
+            if not self.late.isdisjoint(low):
                 pieces = self.strict
         out = b"".join([self.word(p) for p in pieces.findall(low)])
         if len(text) <= 64:
