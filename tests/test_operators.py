@@ -21,6 +21,35 @@ def test_knn_over_blocks_is_one_matrix(spark):
     assert knn(df.limit(0), 5).count() == 0
 
 
+def test_knn_multiplies_few_pairs_in_double_precision(monkeypatch):
+    """Neighbours of a block are those of the whole product, copies and ties too, though few columns are looked at closely."""
+    from driftloom.operators import knn as ops
+
+    x = np.random.default_rng(3).normal(size=(9000, 16)).astype(np.float32)
+    x[100:400] = x[100]  # copies: ties go to the smaller id
+    x[7000:7050] = x[100]
+    x[8000] = 0
+    ids = np.random.default_rng(4).permutation(9000)
+    t = pa.table({"id": pa.array(ids, pa.int64()), "v": pa.array(list(x), pa.list_(pa.float32()))})
+    looked = []
+    unit = ops.Vectors.unit
+    right = ops.Vectors(t)
+    left = ops.Vectors(t.slice(0, 600))
+    monkeypatch.setattr(ops.Vectors, "unit", lambda self, rows: (looked.append(1 if isinstance(rows, slice) else 0), unit(self, rows))[1])
+    src, dst, sim = ops.nearest(left, right, 16)
+    n = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    u = x.astype(np.float64) / np.where(n == 0, 1, n)
+    s = np.round(u[:600] @ u.T, 9)
+    s[np.arange(600), np.arange(600)] = -np.inf
+    got = {(a, b): c for a, b, c in zip(src.tolist(), dst.tolist(), sim.tolist(), strict=True)}
+    assert len(got) == len(src) == 600 * 16
+    for i in range(600):
+        best = sorted(range(9000), key=lambda j: (-s[i, j], ids[j]))[:16] if i % 37 == 0 or i in (100, 399) else []
+        assert all(got[ids[i], ids[j]] == pytest.approx(s[i, j], abs=2e-9) for j in best)
+    blocks = -(-600 // ops.ROWS)
+    assert sum(looked) <= blocks * (1 + 3)  # each block's own rows, its first slice, and slices with many copies
+
+
 def test_void_needs_nearness_and_no_edge(spark):
     cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "c int, centroid array<double>")
     pairs = spark.createDataFrame([], "cluster_a int, cluster_b int")
