@@ -12,6 +12,12 @@ from driftloom.functions.vectors import cosine
 from driftloom.storage import stored
 
 
+def divided(a: Column, b: Column) -> Column:
+    """a over b as in IEEE arithmetic and SQL's doubles: over 0 it is infinite, and of 0 over 0 not a number, never an error."""
+    over_zero = F.when(a == 0, float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, F.when(F.isnan(a), a).otherwise(over_zero)).otherwise(F.try_divide(a, b))
+
+
 def levels(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """key, item: a tercile item such as size_high for each column."""
     cuts = df.agg(*[F.percentile(c, F.array(F.lit(0.33), F.lit(0.67))).alias(f"__{c}") for c in columns])  # one row

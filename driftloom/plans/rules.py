@@ -199,7 +199,7 @@ def cross_corpus_scores(s, d):
     """All corpora scored against the distribution of one."""
     x = scored(s, d)
     one = x.filter("corpus = 'BUILDING'").agg(F.avg("risk").alias("m"), F.stddev_pop("risk").alias("sd"))
-    return x.join(F.broadcast(one)).select("lineage", "period", F.round((F.col("risk") - F.col("m")) / F.col("sd"), 4).alias("z"))
+    return x.join(F.broadcast(one)).select("lineage", "period", F.round(ops.divided(F.col("risk") - F.col("m"), F.col("sd")), 4).alias("z"))
 
 
 @query("training_corpus", """WITH k AS (SELECT n_name AS corpus, CASE WHEN n_nationkey % 3 = 0 THEN r_name END AS parent FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0)

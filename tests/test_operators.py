@@ -287,3 +287,25 @@ def test_paths_and_shapes_against_plain_python(spark):
         e = np.linalg.svd(np.stack([vec[j][1] for j in own]) - np.mean([vec[j][1] for j in own], 0), compute_uv=False) ** 2
         assert dims[i] == int((np.cumsum(e) / e.sum() < 0.9).sum()) + 1
     assert plans.topology(spark, data).count() == len(shapes) and plans.graph_measures(spark, data).filter("pagerank is null or core_number is null").count() == 0
+
+
+def test_scores_against_a_corpus_of_equal_risks(spark, tmp_path):
+    """Large sizes all have risk 1, so the deviation is 0: z is what SQL's doubles give, not an error."""
+    import datetime
+
+    import duckdb
+
+    from driftloom.plans import registry
+
+    day = datetime.datetime(2020, 2, 3)
+    spark.createDataFrame([(1, "BUILDING", 1), (2, "MACHINERY", 1), (3, "MACHINERY", 2)], "c_custkey long, c_mktsegment string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(c, day + datetime.timedelta(days=91 * q), 10.0) for c, n in ((1, 200), (2, 200), (3, 2)) for q in range(2) for _ in range(n)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderdate timestamp, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = registry.queries()["cross_corpus_scores"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    for t in ("customer", "orders"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(registry.oracle_sql()["cross_corpus_scores"]).fetchall()
+    key = lambda rows: sorted((a, str(b)[:10], str(z)) for a, b, z in rows)
+    assert key(got) == key(want)
+    assert {str(z) for *_, z in got} == {"nan", "-inf"}
