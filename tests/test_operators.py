@@ -183,6 +183,21 @@ def test_spectral_of_a_large_period(spark):
     assert got.spectral_gap == pytest.approx(e[2] - e[1], abs=1e-6)
 
 
+def test_spectral_with_a_hub(spark):
+    """A node that is tied to hundreds doesn't slow the eigenvalues of the others down."""
+    rng = np.random.default_rng(5)
+    pairs = {(60 * g + i, 60 * g + int(j)) for g in range(4) for i in range(60) for j in rng.integers(0, 60, 4) if i != j}
+    pairs |= {(59, 60), (10, 130), (70, 131), (119, 120), (125, 190), (179, 180)} | {(i, 240) for i in range(60)}
+    weight = lambda b: 20.0 if b == 240 else 1.0
+    m = np.zeros((241, 241))
+    for a, b in pairs:
+        m[a, b] = m[b, a] = -weight(b)
+    np.fill_diagonal(m, -m.sum(1))
+    arcs = graph_rounds.arcs(spark.createDataFrame([("p", a, b, weight(b)) for a, b in pairs], "period string, src long, dst long, sim double"))
+    values, _ = spectra.lowest(spectra.laplacian(arcs), 3, 5, most=4)
+    assert np.allclose(values["p"], np.linalg.eigvalsh(m)[:3], atol=1e-5)
+
+
 def test_what_does_not_settle_raises(spark):
     way = spark.range(400).select(F.lit("p").alias("period"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("sim"))
     with pytest.raises(RuntimeError):
