@@ -233,7 +233,7 @@ def against_lowest(large: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 def candidates(reps: DataFrame, threshold: float) -> DataFrame:
     """(u, v): ties whose components hold each pair of near sets; reps: node, sig."""
     sigs, out, least = reps.select("node", "sig"), None, near_for(threshold)
-    rows = first_level(reps, threshold)
+    rows = stored(first_level(reps, threshold))  # or paths would be made anew for the sizes and for the join
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("m"), F.min("node").alias("low")).filter("m > 1")
         shared = stored(rows.join(sizes, "path"))
@@ -247,7 +247,7 @@ def candidates(reps: DataFrame, threshold: float) -> DataFrame:
             held = stored(against_lowest(large, sigs, least))
             dense = held.groupBy("path").agg(F.avg(F.col("near").cast("int")).alias("share")).filter(F.col("share") >= DENSE).select("path")
             star = held.join(dense, "path", "left_semi")
-            rows = next_level(held.join(dense, "path", "left_anti"), level + 1, threshold)
+            rows = stored(next_level(held.join(dense, "path", "left_anti"), level + 1, threshold))
         out = out.union(star.filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")))
     return out
 

@@ -184,6 +184,33 @@ def test_jaccard_splits_large_buckets(spark):
     assert all(got[i] <= links[i] for i in range(240)) and recall > 0.99
 
 
+def test_jaccard_makes_each_path_once(spark, monkeypatch):
+    """Rows of a large bucket that go down are made once, and as often as the group has members, not pairs."""
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(60)]
+    made, tables, real = spark.sparkContext.accumulator(0), [], jaccard.next_level
+
+    def counted(rows, level, threshold):
+        def run(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        tables.append(real(rows, level, threshold))
+        return tables[-1].mapInArrow(run, tables[-1].schema)
+
+    monkeypatch.setattr(jaccard, "next_level", counted)
+    got = []
+    for n in (100, 200):
+        made.value = 0
+        tables.clear()
+        df = spark.createDataFrame([(i, " ".join([*shared, *[f"w{rng.randrange(10**6)}" for _ in range(60)]])) for i in range(n)], "doc_id long, text string")
+        assert jaccard.digest(df).filter("n_links > 0").count() == 0
+        assert made.value == sum(t.count() for t in tables) > 0
+        got.append(made.value)
+    assert got[1] < 3 * got[0]
+
+
 def test_distinct_documents_goes_by_rows(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
     rows = [(1, a, 0), (5, a, 0), (5, b, 0), (7, c, 0), (7, c, 0), (7, c, 1), (8, "", 0), (8, "", 0), (None, a, 0), (None, a, 0)]
