@@ -324,3 +324,27 @@ def test_scores_against_a_corpus_of_equal_risks(spark, tmp_path):
     key = lambda rows: sorted((a, str(b)[:10], str(z)) for a, b, z in rows)
     assert key(got) == key(want)
     assert {str(z) for *_, z in got} == {"nan", "-inf"}
+
+
+def test_neighbours_found_in_slices_wait(monkeypatch):
+    """What is found is multiplied and ranked as often as the columns double, not once a slice; results as by the whole product."""
+    from driftloom.operators import knn as nn
+
+    monkeypatch.setattr(nn, "COLUMNS", 64)
+    x = np.random.default_rng(4).normal(size=(64 * 40 + 5, 16)).astype(np.float32)
+    x[1000:1100] = x[7]  # copies
+    v = nn.Vectors(pa.table({"id": np.arange(len(x)), "v": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    calls, real = [], nn.few
+    monkeypatch.setattr(nn, "few", lambda *a: calls.append(1) or real(*a))
+    src, dst, sim = nn.nearest(v, v, 6)
+    rows = -(-len(x) // nn.ROWS)
+    assert len(calls) < 15 * rows
+    u = v.unit(slice(None))
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -s), axis=1)[:, :6]
+    got = np.zeros((len(x), 6))
+    got[src, np.arange(len(src)) % 6] = sim
+    assert np.allclose(got, np.take_along_axis(s, order, 1), atol=2e-9) and (dst.reshape(-1, 6) == order).mean() > 0.999
+    flags = np.random.default_rng(5).random(1003) < 0.02
+    assert nn.places(flags).tolist() == np.flatnonzero(flags).tolist()
