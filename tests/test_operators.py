@@ -348,3 +348,42 @@ def test_neighbours_found_in_slices_wait(monkeypatch):
     assert np.allclose(got, np.take_along_axis(s, order, 1), atol=2e-9) and (dst.reshape(-1, 6) == order).mean() > 0.999
     flags = np.random.default_rng(5).random(1003) < 0.02
     assert nn.places(flags).tolist() == np.flatnonzero(flags).tolist()
+
+
+def test_neighbours_are_searched_piece_by_piece(monkeypatch):
+    """A block meets pieces as they come; of many copies a piece lends k + 1; results as by the whole product, slices without finds among them."""
+    from driftloom.operators import knn as nn
+
+    monkeypatch.setattr(nn, "COLUMNS", 32)
+    n, k, pieces = 2400, 4, 6
+    x = np.random.default_rng(6).normal(size=(n, 8)).astype(np.float32)
+    x[300:1500] = x[7]  # copies: ties go to the smaller id
+    x[2000] = np.nan
+    whole = pa.table({"g": ["a"] * n, "id": np.arange(n), "c": pa.array(np.arange(n) % pieces, pa.int32()), "v": pa.array(list(x), pa.list_(pa.float32()))})
+    rows = [nn.packed(whole.take(pa.array(np.flatnonzero(np.arange(n) % pieces == c))), k) for c in range(pieces)]
+    assert max(r.column("met")[0].as_py() for r in rows) <= 200 + k + 1
+    calls, real = [], nn.every
+    monkeypatch.setattr(nn, "every", lambda *a: calls.append(1) or real(*a))
+    blocks = 2
+    batches = []
+    for i in range(blocks):
+        for c in sorted(range(pieces), key=lambda c: (c % blocks != i, c)):
+            batches += rows[c].append_column("i", pa.array([i], pa.int32())).append_column("own", pa.array([c % blocks == i])).to_batches()
+    got = pa.Table.from_batches(nn.searched(iter(batches), k)).to_pylist()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -np.inf)
+    s[np.isnan(s)] = -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(n), s.shape), -s), axis=1)[:, :k]
+    near = {(r["src"], r["rank"]): r for r in got}
+    assert len(near) == len(got) == k * (n - 1)
+    assert all(near[i, r + 1]["dst"] == order[i, r] and near[i, r + 1]["sim"] == pytest.approx(s[i, order[i, r]], abs=2e-9) for i in range(n) if i != 2000 for r in range(k))
+    assert len(calls) <= 3 * -(-n // nn.ROWS)
+
+
+def test_neighbours_are_dealt_as_pieces(spark):
+    """What is shuffled to the blocks is a row a piece, and each block has a partition of its own."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(90)], "vec_id long, embedding array<float>")
+    out = knn(df, 3, block=10)
+    assert out.rdd.getNumPartitions() == 9 and sorted(out.rdd.mapPartitions(lambda p: [len({r.src for r in p})]).collect())[0] > 0
+    assert out.count() == 270
