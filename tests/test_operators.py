@@ -387,3 +387,22 @@ def test_neighbours_are_dealt_as_pieces(spark):
     out = knn(df, 3, block=10)
     assert out.rdd.getNumPartitions() == 9 and sorted(out.rdd.mapPartitions(lambda p: [len({r.src for r in p})]).collect())[0] > 0
     assert out.count() == 270
+
+
+def test_neighbours_are_searched_once(spark):
+    """Degrees and triangles use their pairs several times; what the pairs come from is worked out once."""
+    found = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            found.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.5), (2, 0, 0.5), (3, 0, 0.5)], "src long, dst long, sim double").mapInArrow(counted, "src long, dst long, sim double")
+    members = spark.createDataFrame([(i, 0) for i in range(5)], "id long, c int")
+    for f, name, want in ((clusters.degrees, "degree", [3, 2, 2, 1, 0]), (clusters.triangles, "triangle_count", [1, 1, 1, 0, 0])):
+        before = found.value
+        out = f(edges, members)
+        assert [r[name] for r in sorted(out.collect())] == want
+        out.collect()
+        assert found.value - before == 4
