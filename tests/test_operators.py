@@ -406,3 +406,35 @@ def test_neighbours_are_searched_once(spark):
         assert [r[name] for r in sorted(out.collect())] == want
         out.collect()
         assert found.value - before == 4
+
+
+def counted(df, found):
+    """df, whose rows add to found whenever they are worked out."""
+
+    def through(batches):
+        for b in batches:
+            found.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(through, df.schema)
+
+
+def test_modularity_reads_its_edges_once(spark):
+    """One pass, however the plan is cut; weights of 0 give what SQL's doubles give, not an error."""
+    found = spark.sparkContext.accumulator(0)
+    rows = [(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.25), (2, 3, 0.75), (3, 4, 0.5), (4, 2, -0.5), (5, 4, 0.5)]
+    members = spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1), (4, 1)], "id long, c int")
+    edges = spark.createDataFrame(rows, "src long, dst long, sim double")
+    reuse, adaptive = "spark.sql.exchange.reuse", "spark.sql.adaptive.enabled"
+    before = {name: spark.conf.get(name) for name in (reuse, adaptive)}
+    try:
+        spark.conf.set(reuse, "false")
+        spark.conf.set(adaptive, "false")
+        got = clusters.modularity(counted(edges, found), members, 2.0).first().modularity
+    finally:
+        for name, was in before.items():
+            spark.conf.set(name, was)
+    assert got == pytest.approx(1.75 / 2 - 2 * ((1.25 / 4) ** 2 + (2.75 / 4) ** 2), abs=1e-6)
+    assert found.value == len(rows)
+    assert np.isnan(clusters.modularity(edges.withColumn("sim", F.lit(0.0)), members).first().modularity)
+    assert clusters.modularity(edges.limit(0), members).first().modularity is None
