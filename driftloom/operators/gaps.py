@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.vectors import dot, normalised
+from driftloom.operators.clusters import labelled
 from driftloom.storage import stored
 
 JUNK, VOID_RADIUS, FRINGE_RADIUS, BOUNDARY = 2, 0.15, 0.20, 0.3
@@ -144,19 +145,22 @@ def propagation(edges: DataFrame, members: DataFrame, vectors: DataFrame, source
     """c, propagation_speed: the slope of mean cosine at 1, 2 and 3 hops within a cluster, from up to so many sources.
 
     Sources are those of the smallest hash; clusters of fewer than least members, or that three hops don't reach, get null.
-    edges: src, dst; members: id, c; vectors: id, u (unit).
+    edges: src, dst; members: id, c; vectors: id, u (unit). Edges are read once; those within clusters are stored, and so is each hop.
     """
     size = members.groupBy("c").agg(F.count("*").alias("n"))
-    inside = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().join(members.toDF("src", "c"), "src").join(members.toDF("dst", "c2"), "dst").filter("c = c2").select("src", "dst")
+    inside = labelled(edges.select("src", "dst"), members).filter("ca = cb")
+    inside = stored(inside.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))).distinct())
     order = F.row_number().over(Window.partitionBy("c").orderBy(F.md5(F.col("id").cast("string")), "id"))
     start = members.withColumn("k", order).filter(F.col("k") <= sources).select("c", F.col("id").alias("s"))
-    known = start.select("c", "s", F.col("s").alias("t"), F.lit(0).alias("hop"))
+    known = stored(start.select("c", "s", F.col("s").alias("t"), F.lit(0).alias("hop")))
     front = known
     for hop in (1, 2, 3):
         step = front.select("c", "s", F.col("t").alias("src")).join(inside, "src").select("c", "s", F.col("dst").alias("t")).distinct()
-        front = step.join(known.select("s", "t"), ["s", "t"], "left_anti").select("c", "s", "t", F.lit(hop).alias("hop"))
+        front = stored(step.join(known.select("s", "t"), ["s", "t"], "left_anti").select("c", "s", "t", F.lit(hop).alias("hop")))
         known = known.union(front)
-    sims = known.filter("hop > 0").join(vectors.toDF("s", "us"), "s").join(vectors.toDF("t", "ut"), "t")
+    reached = known.filter("hop > 0")
+    near = vectors.join(reached.select(F.explode(F.array("s", "t")).alias("id")).distinct(), "id", "left_semi")  # or all vectors are brought to unit length
+    sims = reached.join(near.toDF("s", "us"), "s").join(near.toDF("t", "ut"), "t")
     m = sims.groupBy("c").agg(*[F.avg(F.when(F.col("hop") == h, dot(F.col("us"), F.col("ut")))).alias(f"m{h}") for h in (1, 2, 3)])
     speed = F.when((F.col("n") >= least) & F.col("m2").isNotNull(), (F.col("m3") - F.col("m1")) / 2)
     return size.join(m, "c", "left").select("c", speed.alias("propagation_speed"))

@@ -419,6 +419,22 @@ def counted(df, found):
     return df.mapInArrow(through, df.schema)
 
 
+def test_propagation_reads_its_edges_once(spark):
+    """Hops go over stored edges within clusters; what the edges come from is worked out once, whatever hops and sums do."""
+    from driftloom.operators import gaps
+
+    found = spark.sparkContext.accumulator(0)
+    way = [(i, i + 1) for i in range(5)] + [(1, 0), (2, 9), (9, 3), (6, 7)]
+    edges = counted(spark.createDataFrame(way, "src long, dst long"), found)
+    members = spark.createDataFrame([(i, 0) for i in range(6)] + [(6, 1), (7, 1), (9, 2)], "id long, c int")
+    angle = lambda i: [float(np.cos(i / 4)), float(np.sin(i / 4))]
+    vectors = spark.createDataFrame([(i, angle(i)) for i in (*range(8), 9)], "id long, u array<double>")
+    out = gaps.propagation(edges, members, vectors)
+    got = {r.c: r.propagation_speed for r in out.collect()}
+    assert got == {0: pytest.approx((np.cos(3 / 4) - np.cos(1 / 4)) / 2), 1: None, 2: None}
+    assert found.value == len(way)
+
+
 def test_modularity_reads_its_edges_once(spark):
     """One pass, however the plan is cut; weights of 0 give what SQL's doubles give, not an error."""
     found = spark.sparkContext.accumulator(0)
