@@ -454,3 +454,16 @@ def test_modularity_reads_its_edges_once(spark):
     assert found.value == len(rows)
     assert np.isnan(clusters.modularity(edges.withColumn("sim", F.lit(0.0)), members).first().modularity)
     assert clusters.modularity(edges.limit(0), members).first().modularity is None
+
+
+def test_blocks_bound_what_is_shuffled_and_held():
+    """Every piece goes to every block: as many vectors as in 6 GB make under 4 GB of that on 12 cores, and a block of wide vectors stays small."""
+    from driftloom.operators import knn as nn
+
+    blocks, pieces = nn.shares(615_384, 64, 12)
+    assert blocks * 615_384 * 64 * 4 < 4e9 and blocks >= 24
+    assert 615_384 * 64 * 8 / pieces <= nn.PIECE and pieces % blocks == 0 and pieces < 2 * blocks
+    for width in (64, 768, 4096):
+        assert 10_000_000 // nn.shares(10_000_000, width, 12)[0] * width * 8 <= nn.BLOCK_BYTES
+    assert nn.shares(1, 0, 12) == (1, 1)
+    assert nn.shares(5000, 64, 12)[0] == 5
