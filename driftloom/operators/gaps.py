@@ -16,12 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftloom.functions.vectors import dot, normalised
+from driftloom.operators import all_pairs
 from driftloom.operators.clusters import labelled
 from driftloom.storage import stored
 
 JUNK, VOID_RADIUS, FRINGE_RADIUS, BOUNDARY = 2, 0.15, 0.20, 0.3
-#: Pairs of clusters beyond which a period's gaps are left out, as the analysis has it.
-MOST_PAIRS = 10_000
 #: Vectors of a block.
 BLOCK = 4096
 
@@ -80,11 +79,12 @@ def nearest_of_points(rows: DataFrame, points: DataFrame, kind: str, radius: flo
     return found.groupBy("k").agg(F.min(F.struct("d", "chunk", "dark")).alias("best"), F.sum("n").alias("n"))
 
 
-def gaps(rows: DataFrame, cents: DataFrame, weights: DataFrame, boundary: DataFrame, junk: int = JUNK, void_radius: float = VOID_RADIUS, fringe_radius: float = FRINGE_RADIUS, boundary_least: float = BOUNDARY, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """One row a pair of clusters of one period, none if there are over most_pairs. weights: a, b, weight_ab, weight_ba; boundary: chunk, boundary_score."""
-    clusters = cents.count()
-    if clusters * (clusters - 1) // 2 > most_pairs:
-        cents, rows = cents.filter("false"), rows.filter("false")
+def gaps(rows: DataFrame, cents: DataFrame, weights: DataFrame, boundary: DataFrame, junk: int = JUNK, void_radius: float = VOID_RADIUS, fringe_radius: float = FRINGE_RADIUS, boundary_least: float = BOUNDARY, most_pairs: int | None = None) -> DataFrame:
+    """One row a pair of clusters of one period, however many; only a caller who names most_pairs, as the reference does, gets none beyond. weights: a, b, weight_ab, weight_ba; boundary: chunk, boundary_score."""
+    if most_pairs is not None:
+        clusters = cents.count()
+        if clusters * (clusters - 1) // 2 > most_pairs:
+            cents, rows = cents.filter("false"), rows.filter("false")
     points = stored(midpoints(cents))
     marked = dark_matter(rows.select(F.col("chunk").alias("id"), "c"), junk)
     members = stored(rows.join(marked.select(F.col("id").alias("chunk"), F.col("is_dark_matter").alias("dark")), "chunk").select(F.col("chunk").alias("k"), "c", "v", "dark"))
@@ -166,6 +166,14 @@ def propagation(edges: DataFrame, members: DataFrame, vectors: DataFrame, source
     return size.join(m, "c", "left").select("c", speed.alias("propagation_speed"))
 
 
+def propagation_from_all(arcs: DataFrame, members: DataFrame, vectors: DataFrame, least: int = 5) -> DataFrame:
+    """As propagation(), from all members. arcs: g (the cluster as text), s, t, both ways and within clusters."""
+    size = members.groupBy("c").agg(F.count("*").alias("n"))
+    sums = all_pairs.cosines(arcs, vectors).groupBy("g").agg(*[(F.sum(f"s{h}") / F.nullif(F.sum(f"n{h}"), F.lit(0))).alias(f"m{h}") for h in (1, 2, 3)])
+    speed = F.when((F.col("n") >= least) & F.col("m2").isNotNull(), (F.col("m3") - F.col("m1")) / 2)
+    return size.join(sums, F.col("c").cast("string") == F.col("g"), "left").select("c", speed.alias("propagation_speed"))
+
+
 def touching(edges: DataFrame, members: DataFrame) -> DataFrame:
     """a, b, weight_ab, weight_ba of pairs a < b: the share of a's members with a neighbour (either way) in b, and of b's in a.
 

@@ -280,6 +280,16 @@ def test_gaps_over_blocks_are_those_of_one(spark, monkeypatch):
     assert gaps.gaps(rows, cents, *none).count() == 6 and gaps.gaps(rows, cents, *none, most_pairs=5).count() == 0
 
 
+def test_gaps_have_no_limit_of_pairs(spark):
+    """145 clusters are 10,440 pairs: beyond 10,000 there were none."""
+    from driftloom.operators import gaps
+
+    cents = spark.createDataFrame([(i, [float(np.cos(i)), float(np.sin(i))]) for i in range(145)], "c int, m array<double>")
+    rows = spark.createDataFrame([(i, i, [float(np.cos(i)), float(np.sin(i))]) for i in range(145)], "c int, chunk long, v array<double>")
+    none = spark.createDataFrame([], "a int, b int, weight_ab double, weight_ba double"), spark.createDataFrame([], "chunk long, boundary_score double")
+    assert gaps.gaps(rows, cents, *none).count() == 145 * 144 // 2
+
+
 def test_paths_and_shapes_against_plain_python(spark):
     from driftloom.plans import graph as plans
 
