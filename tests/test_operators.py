@@ -290,6 +290,30 @@ def test_gaps_have_no_limit_of_pairs(spark):
     assert gaps.gaps(rows, cents, *none).count() == 145 * 144 // 2
 
 
+def test_topology_takes_all_members_as_sources(spark):
+    """Speeds against plain hops from every member; with 20 sources a cluster they differ."""
+    from driftloom.plans import graph as plans
+
+    data = "/root/testdata/sf0.001"
+    got = {r.c: r.propagation_speed for r in plans.topology(spark, data).collect()}
+    label = {r.id: r.c for r in plans.members(spark, data).collect()}
+    unit = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(np.array(r.embedding, float)) for r in plans.emb(spark, data).collect()}
+    near: dict[int, set[int]] = {i: set() for i in label}
+    for r in plans.edges(spark, data).collect():
+        if label[r.src] == label[r.dst]:
+            near[r.src].add(r.dst)
+            near[r.dst].add(r.src)
+    sums = {c: [[], [], []] for c in set(label.values())}
+    for i, c in label.items():
+        seen, front = {i}, {i}
+        for hop in range(3):
+            front = {k for j in front for k in near[j]} - seen
+            seen |= front
+            sums[c][hop] += [unit[i] @ unit[k] for k in front]
+    want = {c: (np.mean(m[2]) - np.mean(m[0])) / 2 for c, m in sums.items()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_paths_and_shapes_against_plain_python(spark):
     from driftloom.plans import graph as plans
 
